@@ -6,6 +6,7 @@ ANSI mode, so one stray value cannot fail a job.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -79,42 +80,48 @@ def garbage_to_null(c: Column | str, garbage: list[str] | None = None) -> Column
     return F.when(~F.upper(text).isin(garbage or vocab.GARBAGE_WIDE), text)
 
 
-def _shape(fmt: str) -> tuple[int, list[tuple[int, str]]]:
-    plain = fmt.replace("'", "")
-    marks, quoted, pos = [], False, 0
-    for ch in fmt:
-        if ch == "'":
-            quoted = not quoted
-            continue
-        pos += 1
-        if quoted or not ch.isalpha():
-            marks.append((pos, ch))
-    return len(plain), marks
-
-
-def has_shape(c: Column | str, fmt: str) -> Column:
-    """True where the text is as long as ``fmt`` and has its separators in place."""
-    c = as_col(c)
-    width, marks = _shape(fmt)
-    return reduce(
-        lambda a, b: a & b, [F.substring(c, pos, 1) == mark for pos, mark in marks], F.length(c) == width
-    )
+# regular expressions of the parts of a fixed-width format
+_PART = {"yyyy": r"(\d{4})", "MM": r"(\d{2})", "dd": r"(\d{2})", "HH": "(?:[01]\\d|2[0-3])", "mm": r"[0-5]\d", "ss": r"[0-5]\d"}
+_TOKEN = re.compile(r"yyyy|MM|dd|HH|mm|ss|'[^']*'|.")
+
+
+def _date_pattern(formats: list[str]) -> tuple[str, str]:
+    """(pattern, replacement) that turns ``#`` and a text of any of the formats into ``yyyy-MM-dd``."""
+    tails: dict[str, list[str]] = {}
+    order: dict[str, list[str]] = {}
+    for fmt in formats:
+        tokens = _TOKEN.findall(fmt)
+        last = max(i for i, t in enumerate(tokens) if t in ("yyyy", "MM", "dd")) + 1
+        text = [_PART.get(t, re.escape(t.strip("'") if len(t) > 1 else t)) for t in tokens]
+        head = "".join(text[:last])
+        tails.setdefault(head, []).append("".join(text[last:]))
+        order[head] = [t for t in tokens[:last] if t in ("yyyy", "MM", "dd")]
+    groups: dict[str, list[int]] = {"yyyy": [], "MM": [], "dd": []}
+    count = 0
+    for parts in order.values():
+        for part in parts:
+            count += 1
+            groups[part].append(count)
+    pattern = "|".join(f"{head}(?:{'|'.join(ends)})" for head, ends in tails.items())
+    year, month, day = ("".join(f"${g}" for g in groups[p]) for p in ("yyyy", "MM", "dd"))
+    return f"^#(?:{pattern})$", f"{year}-{month}-{day}"
 
 
 def parse_date(c: Column | str, formats: list[str]) -> Column:
-    """First format that reads the text, as a date; NULL if none does.
+    """Date of a text in any of the fixed-width formats; NULL if none fits.
 
-    The formats are of fixed width, so a length and separator check picks the
-    one candidate. A failed parse raises and catches inside the JVM; the check
-    keeps that off the hot path.
+    One regular expression rewrites every accepted format to ISO, so a value
+    is parsed once. Trying a formatter per format throws inside the JVM for
+    each miss, and the generated method grows too large for its compiler.
+    A mark in front, which a match removes, keeps other text from being cast.
     """
-    c = as_col(c)
-    return F.coalesce(*[F.when(has_shape(c, f), F.try_to_date(c, f)) for f in formats])
+    pattern, iso = _date_pattern(formats)
+    return F.regexp_replace(F.concat(F.lit("#"), as_col(c)), pattern, iso).try_cast("date")
 
 
 def parse_timestamp(c: Column | str, formats: list[str]) -> Column:
     c = as_col(c)
-    return F.coalesce(*[F.when(has_shape(c, f), F.try_to_timestamp(c, F.lit(f))) for f in formats])
+    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats])
 
 
 def return_date(c: Column | str) -> Column:
@@ -128,8 +135,7 @@ def rescued_text(key: str, rescued: Column | str = "_rescued_data") -> Column:
 
 def rescued_any(keys: list[str], rescued: Column | str = "_rescued_data") -> Column:
     """First of the keys found in the rescued JSON object; keys are case-sensitive."""
-    found = F.from_json(as_col(rescued), "map<string,string>")
-    return F.coalesce(*[F.try_element_at(found, F.lit(k)) for k in keys])
+    return F.coalesce(*[rescued_text(k, rescued) for k in keys])
 
 
 def size_list(c: Column | str) -> Column:

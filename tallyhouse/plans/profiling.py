@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vocab
 from ..functions.columns import date_shape_name, money, nan_to_null, number, parse_timestamp, percent_or_fraction, unify
 from ..operators.dedup import repeated
-from ..operators.lookup import count_orphans
+from ..operators.lookup import count_orphans, orphans
 from ..operators.ranking import few_values
 from ..operators.report import checks, counts_by, finish_checks, stack, with_share
 from .standardise import CUSTOMER_ID
@@ -161,8 +161,8 @@ def discount_format_census(df: DataFrame) -> DataFrame:
 def discount_range(df: DataFrame) -> DataFrame:
     plain = df.filter(~F.col("discount").endswith("%")).select(number("discount").alias("d"))
     return plain.agg(
-        F.count_if("d > 1").alias("above_one"),
-        F.count_if("d < 0").alias("negative"),
+        F.count_if(F.expr("d > 1")).alias("above_one"),
+        F.count_if(F.expr("d < 0")).alias("negative"),
         F.min("d").alias("min_discount"),
         F.max("d").alias("max_discount"),
     )
@@ -261,8 +261,8 @@ def date_sequence(df: DataFrame, today: Column | None = None) -> DataFrame:
     stamps = {n: parse_timestamp(c, vocab.SEQUENCE_FORMATS) for n, c in SEQUENCE.items()}
     rows = df.select(*[c.alias(n) for n, c in stamps.items()]).filter("bought is not null and approved is not null")
     counted = rows.agg(
-        F.count_if("approved < bought").alias("approved_before_purchase"),
-        F.count_if("delivered < approved").alias("delivered_before_approved"),
+        F.count_if(F.expr("approved < bought")).alias("approved_before_purchase"),
+        F.count_if(F.expr("delivered < approved")).alias("delivered_before_approved"),
         F.count_if(F.col("bought") > (today if today is not None else F.current_timestamp())).alias("purchase_in_future"),
     )
     return counted.unpivot([], counted.columns, "check_name", "fails")
@@ -338,3 +338,9 @@ def _counted(group: str, label: str, fails: DataFrame, rows: DataFrame, conseque
 
 def refund_recovery() -> Column:
     return money(F.get_json_object("_rescued_data", "$.refund_amount"))
+
+
+def orphaned_returns(raw_returns: DataFrame, raw_orders: DataFrame) -> DataFrame:
+    """Returns whose order is unknown."""
+    back = raw_returns.select(unify(raw_returns, "order_id", "OrderId").alias("order_id"), FILE)
+    return orphans(back, "order_id", raw_orders.select(F.col("order_id").alias("known_order")), "known_order", null_is_orphan=True)
