@@ -1,8 +1,8 @@
 """Joins of facts with reference tables.
 
-No broadcast hints here: the sides grow with the data, so Spark's own size
-check (``autoBroadcastJoinThreshold``, AQE) picks the strategy, and AQE splits
-skewed partitions of the larger side.
+Sides that grow with the data carry no broadcast hint: Spark's own size check
+(``autoBroadcastJoinThreshold``, AQE) picks the strategy, and AQE splits skewed
+partitions of the larger side. Only a side that was counted gets a hint.
 """
 
 from __future__ import annotations
@@ -11,9 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+SMALL_ROWS = 10_000
+
+
+def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if a count shows at most ``max_rows`` rows, else ``df`` as it is."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def look_up(facts: DataFrame, dim: DataFrame, on: str, take: list[str], missing: dict[str, object] | None = None) -> DataFrame:
     """Left join that adds ``take`` columns of ``dim``; ``missing`` gives values where nothing matched."""
-    out = facts.join(dim.select(on, *take), on, "left")
+    out = facts.join(dim, on, "left").select(*facts.columns, *take)
     if missing:
         out = out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in missing.items()})
     return out

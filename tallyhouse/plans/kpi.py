@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import exact_avg, exact_sum, scaled
 from ..operators.numbering import number_rows
-from ..operators.report import stack
+from ..operators.report import stack, with_share
 from .star import Star
 
 SLOW_SHARE = 0.5
 
 
 def revenue_by_region(star: Star) -> DataFrame:
-    facts = star.fact_transactions.join(star.dim_region, "region_key", "left")
-    return facts.groupBy("source_region").agg(
+    by_key = star.fact_transactions.groupBy("region_key").agg(
         exact_sum("sales_amount").alias("total_revenue"),
         F.count_distinct("order_id").alias("total_orders"),
         exact_avg("sales_amount").alias("avg_order_value"),
     )
+    return by_key.join(star.regions, "region_key", "left").drop("region_key")
 
 
 def vendor_returns(star: Star, grain: str = "per_return") -> DataFrame:
@@ -90,7 +90,7 @@ def _sales_by_product_region(star: Star) -> DataFrame:
         F.sum(scaled("sales_amount")).alias("sales"), F.count("order_id").alias("order_count")
     )
     products = star.dim_product.select("product_key", "product_name", "category")
-    regions = star.dim_region.withColumnRenamed("source_region", "region_name")
+    regions = star.regions.withColumnRenamed("source_region", "region_name")
     return by_key.join(products, "product_key").join(regions, "region_key")
 
 
@@ -116,7 +116,7 @@ def slow_products_by_region(star: Star, slow_share: float = SLOW_SHARE) -> DataF
 
 def top_categories_by_region(star: Star) -> DataFrame:
     lines = star.fact_transactions.join(star.dim_product.select("product_key", "category"), "product_key").join(
-        star.dim_region.withColumnRenamed("source_region", "region_name"), "region_key"
+        star.regions.withColumnRenamed("source_region", "region_name"), "region_key"
     )
     return lines.groupBy("region_name", "category").agg(
         F.count_distinct("order_id").alias("total_orders"),
@@ -172,11 +172,11 @@ def ranked_return_products(star: Star) -> DataFrame:
 
 def revenue_trend(star: Star) -> DataFrame:
     """Revenue by month and region."""
-    lines = star.fact_transactions.filter("order_link_flag").join(star.dim_region, "region_key", "left")
     month = F.floor(F.col("date_key") / 100).cast("int").alias("month_key")
-    return lines.groupBy(month, "source_region").agg(
+    by_key = star.fact_transactions.filter("order_link_flag").groupBy(month, "region_key").agg(
         exact_sum("sales_amount").alias("total_revenue"), F.count_distinct("order_id").alias("total_orders")
     )
+    return by_key.join(star.regions, "region_key", "left").drop("region_key")
 
 
 def customer_lifetime_value(star: Star) -> DataFrame:
@@ -201,8 +201,6 @@ def customer_lifetime_value(star: Star) -> DataFrame:
 
 def return_reasons(star: Star) -> DataFrame:
     """Returns and refunds per reason, with their share of all returns."""
-    from ..operators.report import with_share
-
     grouped = star.tables["returns"].groupBy("return_reason").agg(
         F.count(F.lit(1)).alias("return_count"), exact_sum("refund_amount").alias("refund_value")
     )

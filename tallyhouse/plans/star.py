@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..functions.columns import date_key
-from ..operators.lookup import look_up
+from ..functions.columns import date_key, exact_sum
+from ..operators.lookup import look_up, small_side
 from ..operators.numbering import number_rows
 
 UNKNOWN_CUSTOMER = {
@@ -62,7 +63,11 @@ def dim_customer(customers: DataFrame) -> DataFrame:
 
 
 class Star:
-    """Lazy star schema over clean tables.
+    """Star schema over clean tables.
+
+    ``keep(df, name)`` may store a table the first time it is needed and return
+    the stored one, so that reports read columns of a table instead of
+    computing the joins again. Without it everything stays one lazy plan.
 
     Dimension look-ups happen on orders, which are fewer than lines and
     returns; the facts then join the keyed orders once, on ``order_id``.
@@ -70,32 +75,45 @@ class Star:
     ``"order"`` (the regional system that sent the order).
     """
 
-    def __init__(self, tables: dict[str, DataFrame], region_source: str = "customer"):
+    def __init__(
+        self,
+        tables: dict[str, DataFrame],
+        region_source: str = "customer",
+        keep: Callable[[DataFrame, str], DataFrame] | None = None,
+    ):
         self.tables = tables
         self.region_source = region_source
+        self._keep = keep or (lambda df, name: df)
+        self._returns: dict[str, DataFrame] = {}
 
     @cached_property
     def dim_date(self) -> DataFrame:
-        return dim_date(self.tables["orders"])
+        return self._keep(dim_date(self.tables["orders"]), "dim_date")
 
     @cached_property
     def dim_region(self) -> DataFrame:
         if self.region_source == "order":
             names = self.tables["orders"].select(F.col("source_region").alias("region"))
-            return dim_region(names)
-        return dim_region(self.tables["customers"])
+        else:
+            names = self.tables["customers"]
+        return self._keep(dim_region(names), "dim_region")
+
+    @cached_property
+    def regions(self) -> DataFrame:
+        """``dim_region`` for joins: few rows, and few keys that would all meet in a few shuffle partitions."""
+        return small_side(self.dim_region)
 
     @cached_property
     def dim_product(self) -> DataFrame:
-        return dim_product(self.tables["products"])
+        return self._keep(dim_product(self.tables["products"]), "dim_product")
 
     @cached_property
     def dim_vendor(self) -> DataFrame:
-        return dim_vendor(self.tables["vendors"])
+        return self._keep(dim_vendor(self.tables["vendors"]), "dim_vendor")
 
     @cached_property
     def dim_customer(self) -> DataFrame:
-        return dim_customer(self.tables["customers"])
+        return self._keep(dim_customer(self.tables["customers"]), "dim_customer")
 
     @cached_property
     def keyed_orders(self) -> DataFrame:
@@ -108,7 +126,7 @@ class Star:
         orders = look_up(orders, self.dim_vendor, "vendor_id", ["vendor_key"])
         name = "order_region" if self.region_source == "order" else "region"
         orders = orders.withColumn("source_region", F.col(name))
-        return look_up(orders, self.dim_region, "source_region", ["region_key"])
+        return self._keep(look_up(orders, self.regions, "source_region", ["region_key"]), "keyed_orders")
 
     @cached_property
     def fact_transactions(self) -> DataFrame:
@@ -116,7 +134,7 @@ class Star:
         orders = self.keyed_orders.select("order_id", "customer_key", "vendor_key", "region_key", "order_purchase_date")
         linked = lines.join(orders, "order_id", "left")
         products = self.dim_product.select("product_id", "product_key")
-        return linked.join(products, "product_id", "left").select(
+        facts = linked.join(products, "product_id", "left").select(
             "order_id",
             F.coalesce("customer_key", F.lit(vocab.UNKNOWN_KEY)).alias("customer_key"),
             "product_key",
@@ -126,15 +144,17 @@ class Star:
             F.col("sales").alias("sales_amount"),
             F.col("order_purchase_date").isNotNull().alias("order_link_flag"),
         )
+        return self._keep(facts, "fact_transactions")
 
     @cached_property
     def order_sales(self) -> DataFrame:
         """Lines added up per order; the product is kept only where it is the same on all lines."""
         lines = self.tables["transactions"]
-        return lines.groupBy("order_id").agg(
-            (F.sum(F.floor(F.col("sales") * 10000.0 + 0.5).cast("bigint")) / 10000.0).alias("sales"),
+        sales = lines.groupBy("order_id").agg(
+            exact_sum("sales").alias("sales"),
             F.when(F.min("product_id") == F.max("product_id"), F.min("product_id")).alias("product_id"),
         )
+        return self._keep(sales, "order_sales")
 
     def fact_returns(self, grain: str = "per_return") -> DataFrame:
         """Returns with order, customer and sales context.
@@ -149,7 +169,10 @@ class Star:
             sold = self.order_sales
         else:
             raise ValueError(f"unknown grain: {grain}")
-        return self.enrich_returns(self.tables["returns"], sold)
+        if grain not in self._returns:
+            facts = self.enrich_returns(self.tables["returns"], sold)
+            self._returns[grain] = self._keep(facts, f"fact_returns_{grain}")
+        return self._returns[grain]
 
     def enrich_returns(self, returns: DataFrame, sold: DataFrame) -> DataFrame:
         """Left joins of returns, batch or stream, with static tables, and the flags."""

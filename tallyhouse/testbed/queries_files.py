@@ -140,8 +140,8 @@ add("snk_01_stream_append", _stream_append, "select order_id, product_id, sales,
 
 def _dim_table(b):
     path = b.folder("dim_product")
-    store.write_files(b.star().dim_product, path)
-    return store.write_files(b.star().dim_product, path)
+    store.write_files(b.lazy_star().dim_product, path)
+    return store.write_files(b.lazy_star().dim_product, path)
 
 
 add("snk_02_recomputed_table", _dim_table, "select * from dim_product")
@@ -342,7 +342,7 @@ add(
 def _question_history(b):
     name, path = "tallyhouse_question_history", b.folder("questions")
     b.spark.sql(f"drop table if exists {name}")
-    rows = retrieval.answers(retrieval.documents(b.star()), retrieval.questions(b.spark)).drop("question_id").withColumn("asked_at", F.current_timestamp())
+    rows = retrieval.answers(b.documents, retrieval.questions(b.spark)).drop("question_id").withColumn("asked_at", F.current_timestamp())
     return store.save_table(rows, name, "append", path).drop("asked_at")
 
 

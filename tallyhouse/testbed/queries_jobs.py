@@ -17,14 +17,14 @@ FILE = "_source_file_name"
 
 # -- star schema and KPIs ---------------------------------------------------------
 
-add("sch_01_dim_date", lambda b: b.star().dim_date, "select * from dim_date")
-add("sch_02_dim_region", lambda b: b.star().dim_region, "select * from dim_region")
-add("sch_03_dim_product", lambda b: b.star().dim_product, "select * from dim_product")
-add("sch_04_dim_vendor", lambda b: b.star().dim_vendor, "select * from dim_vendor")
-add("sch_05_dim_customer", lambda b: b.star().dim_customer, "select * from dim_customer")
-add("sch_06_fact_transactions", lambda b: b.star().fact_transactions, "select * from fact_transactions")
-add("sch_07_fact_returns", lambda b: b.star().fact_returns(), "select * from fact_returns")
-add("sch_07_fact_returns_per_line", lambda b: b.star().fact_returns("per_line"), "select * from fact_returns_line")
+add("sch_01_dim_date", lambda b: b.lazy_star().dim_date, "select * from dim_date")
+add("sch_02_dim_region", lambda b: b.lazy_star().dim_region, "select * from dim_region")
+add("sch_03_dim_product", lambda b: b.lazy_star().dim_product, "select * from dim_product")
+add("sch_04_dim_vendor", lambda b: b.lazy_star().dim_vendor, "select * from dim_vendor")
+add("sch_05_dim_customer", lambda b: b.lazy_star().dim_customer, "select * from dim_customer")
+add("sch_06_fact_transactions", lambda b: b.lazy_star().fact_transactions, "select * from fact_transactions")
+add("sch_07_fact_returns", lambda b: b.lazy_star().fact_returns(), "select * from fact_returns")
+add("sch_07_fact_returns_per_line", lambda b: b.lazy_star().fact_returns("per_line"), "select * from fact_returns_line")
 add("kpi_01_revenue_by_region", lambda b: kpi.revenue_by_region(b.star()), "select * from revenue_by_region")
 add(
     "kpi_01_revenue_by_order_region",
@@ -486,7 +486,7 @@ def _documents_sql() -> str:
 
 
 add("rag_01_documents", lambda b: retrieval.documents(b.star()), _documents_sql())
-add("rag_02_vectors", lambda b: retrieval.vectors(retrieval.documents(b.star())))
+add("rag_02_vectors", lambda b: retrieval.vectors(b.documents))
 add(
     "rag_03_nearest_vectors",
     lambda b: retrieval.nearest(
@@ -497,5 +497,5 @@ add(
     d as (select query_id, vec_id as doc_id, list_sum(list_transform(list_zip(qv, embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double))) as dist from q, embeddings)
     select query_id, doc_id, round(dist, 6) as distance, cast(rn as integer) as rank from (select *, row_number() over (partition by query_id order by round(dist, 6), doc_id) as rn from d) where rn <= 15""",
 )
-add("rag_04_reranked", lambda b: retrieval.retrieve(retrieval.documents(b.star()), retrieval.questions(b.spark)).select("question_id", "doc_id", "score", "rank"))
-add("rag_05_question_batch", lambda b: retrieval.answers(retrieval.documents(b.star()), retrieval.questions(b.spark)))
+add("rag_04_reranked", lambda b: retrieval.retrieve(b.documents, retrieval.questions(b.spark)).select("question_id", "doc_id", "score", "rank"))
+add("rag_05_question_batch", lambda b: retrieval.answers(b.documents, retrieval.questions(b.spark)))

@@ -1,8 +1,9 @@
 """All layers over one data directory.
 
-As in any lakehouse the raw and the clean layer are stored tables: each is
-written once per session, in the shared folder, when a query first needs it.
-Standardised, tagged and quarantined rows and the star schema stay lazy.
+As in any lakehouse the raw tables, the clean tables and the star schema are
+stored: each is written once per session, in the shared folder, when a query
+first needs it. Standardised, tagged and quarantined rows stay lazy, and
+``lazy_star`` computes the star schema as one plan.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from functools import cache, cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans import cleanse, standardise
+from ..plans import cleanse, retrieval, standardise
 from ..plans.star import Star
 from ..sources.entities import ENTITIES
 from ..sources.store import work_dir, write_files
@@ -55,8 +56,17 @@ class Tables:
 
     @cache
     def star(self, region_source: str = "customer") -> Star:
+        return Star(self.all_clean, region_source, lambda df, name: write_files(df, self.folder(name)))
+
+    @cache
+    def lazy_star(self, region_source: str = "customer") -> Star:
         return Star(self.all_clean, region_source)
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        """Rendered documents; retrieval reads them several times."""
+        return write_files(retrieval.documents(self.star()), self.folder("documents"))
+
     @cached_property
     def landing(self) -> str:
         """Regional files of all entities, written once per session."""
