@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import exact_avg, exact_sum, scaled
+from ..functions.text import fixed2
 from ..operators.numbering import number_rows
 from ..operators.report import stack, with_share
 from .star import Star
@@ -74,7 +75,9 @@ def insight_rows(star: Star) -> DataFrame:
     """(insight_type, kpi_data): each rollup as one JSON text."""
 
     def row(kind: str, rollup: DataFrame) -> DataFrame:
-        return rollup.select(F.lit(kind).alias("insight_type"), F.to_json(F.struct("*")).alias("kpi_data"))
+        # numbers as text: a JSON double of this size would be written with an exponent
+        values = [fixed2(c).alias(c) for c in rollup.columns]
+        return rollup.select(F.lit(kind).alias("insight_type"), F.to_json(F.struct(*values)).alias("kpi_data"))
 
     return stack(
         [

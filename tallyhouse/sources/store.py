@@ -44,3 +44,13 @@ def create_view(df: DataFrame, name: str) -> DataFrame:
     """Create or replace a view; it is evaluated when read."""
     df.createOrReplaceTempView(name)
     return df.sparkSession.table(name)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan over at least as many partitions as there are cores.
+
+    A small table in one file would otherwise be transformed by one core. A
+    table with enough splits, as any large one has, is left as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -44,8 +44,23 @@ _INVENTORY_ROLLUP = (
 add("kpi_04_revenue_rollup", lambda b: kpi.revenue_rollup(kpi.revenue_by_region(b.star())), _REVENUE_ROLLUP)
 add("kpi_05_vendor_rollup", lambda b: kpi.vendor_rollup(kpi.vendor_returns(b.star())), _VENDOR_ROLLUP)
 add("kpi_06_inventory_rollup", lambda b: kpi.inventory_rollup(kpi.inventory_velocity(b.star())), _INVENTORY_ROLLUP)
-# the text of large doubles differs between the engines, so this one has no oracle
-add("kpi_07_insight_rows", lambda b: enrich.business_insights(b.star()).drop("generated_at"))
+
+
+def _insight_sql(kind: str, rollup: str, columns: list[str]) -> str:
+    values = " || ',' || ".join(f"'\"{c}\":\"' || {O.fixed2(c)} || '\"'" for c in columns)
+    return f"select '{kind}' as insight_type, '{{' || {values} || '}}' as kpi_data from ({rollup})"
+
+
+add(
+    "kpi_07_insight_rows",
+    lambda b: enrich.business_insights(b.star()).drop("generated_at"),
+    "select *, 'The figures for ' || replace(insight_type, '_', ' ') || ' are ' || kpi_data || '.' as summary from ("
+    + " union all ".join([
+        _insight_sql("revenue_performance", _REVENUE_ROLLUP, ["total_revenue", "avg_revenue"]),
+        _insight_sql("vendor_return_rate", _VENDOR_ROLLUP, ["avg_return_rate", "total_return_rate"]),
+        _insight_sql("slow_moving_inventory", _INVENTORY_ROLLUP, ["total_slow_inventory", "avg_inventory", "total_orders", "avg_orders"]),
+    ]) + ")",
+)
 add("kpi_08_slow_products_by_region", lambda b: kpi.slow_products_by_region(b.star()), "select * from slow_products")
 add("kpi_09_top_categories_by_region", lambda b: kpi.top_categories_by_region(b.star()), "select * from top_categories")
 add("kpi_10_high_return_products", lambda b: kpi.high_return_products(b.star()), "select * from high_return_products")

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.store import spread
+
 
 class SparkDialect:
     @staticmethod
@@ -342,7 +344,7 @@ def raw_frame(spark: SparkSession, sf_dir: str, entity: str) -> DataFrame:
     """The raw table of an entity, as a lazy projection of the benchmark table."""
     source, stages = ENTITIES[entity](SparkDialect)
     table, _, predicate = source.partition(" where ")
-    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
     if predicate:
         df = df.filter(predicate)
     for i, stage in enumerate(stages):
