@@ -97,7 +97,9 @@ def _model(docs: DataFrame):
     unit = Normalizer(p=2.0, inputCol="_tfidf", outputCol="_unit")
 
     def counted(df: DataFrame) -> DataFrame:
-        return hashing.transform(df.withColumn("_words", words("text")))
+        # figures tell nothing about the subject and would dominate the vector by their rarity
+        subject = F.filter(words("text"), lambda w: ~w.rlike("^[0-9]+$"))
+        return hashing.transform(df.withColumn("_words", subject))
 
     idf = IDF(inputCol="_tf", outputCol="_tfidf").fit(counted(docs))
 

@@ -18,8 +18,12 @@ from ..streaming import ingest, tables as streams
 from . import oracle as O
 from .catalog import add
 
-N = F.count(F.lit(1))
-STEM = F.regexp_extract("_source_file_name", r"^([^.-]+)", 1)
+
+def rows_n():
+    return F.count(F.lit(1))
+
+def stem():
+    return F.regexp_extract("_source_file_name", r"^([^.-]+)", 1)
 
 # -- sources ------------------------------------------------------------------
 
@@ -78,7 +82,7 @@ add(
 )
 add(
     "src_06_rescue_column",
-    lambda b: stack([_landed(b, e).select(F.lit(e).alias("entity"), STEM.alias("system"), "_rescued_data") for e in ["customers", "returns"]]),
+    lambda b: stack([_landed(b, e).select(F.lit(e).alias("entity"), stem().alias("system"), "_rescued_data") for e in ["customers", "returns"]]),
     f"select 'customers' as entity, {O.STEM} as system, _rescued_data from raw_customers union all "
     f"select 'returns', {O.STEM}, case when isnan(refund_amount) then null else _rescued_data end from raw_returns",
 )
@@ -114,13 +118,13 @@ def _reads(b):
     view = store.create_view(b.spark.read.parquet(path), "tallyhouse_clean_orders")
     copy, checkpoint = b.folder("orders_streamed"), b.folder("checkpoint")
     streams.append_table(streams.table_stream(b.spark, path), copy, checkpoint)
-    return stack([df.agg(N.alias("row_count")).select(F.lit(k).alias("read_as"), "row_count") for k, df in [("batch", b.spark.read.parquet(path)), ("stream", b.spark.read.parquet(copy)), ("view", view)]])
+    return stack([df.agg(rows_n().alias("row_count")).select(F.lit(k).alias("read_as"), "row_count") for k, df in [("batch", b.spark.read.parquet(path)), ("stream", b.spark.read.parquet(copy)), ("view", view)]])
 
 
 add("src_11_table_reads", _reads, " union all ".join(f"select '{k}' as read_as, count(*) as row_count from clean_orders" for k in ["batch", "stream", "view"]))
 add(
     "src_12_literal_member_row",
-    lambda b: b.star().dim_customer.groupBy((F.col("customer_key") == -1).alias("is_unknown")).agg(N.alias("row_count")),
+    lambda b: b.star().dim_customer.groupBy((F.col("customer_key") == -1).alias("is_unknown")).agg(rows_n().alias("row_count")),
     "select customer_key = -1 as is_unknown, count(*) as row_count from dim_customer group by 1",
 )
 
@@ -164,7 +168,7 @@ def _history(b):
     report = enrich.explained_issues(b.quarantine("customers"), b.quarantine("orders"))
     for _ in range(2):
         out = store.save_table(report, name, "append", path)
-    return out.groupBy("entity").agg(N.alias("row_count"), F.sum("count").alias("rows_reported"))
+    return out.groupBy("entity").agg(rows_n().alias("row_count"), F.sum("count").alias("rows_reported"))
 
 
 add(
@@ -198,7 +202,7 @@ add("snk_06_one_pass_two_tables", _split, _SPLIT_SQL)
 def _triggered(b):
     table = b.folder("ingested_vendors")
     query = ingest.ingest(b.spark, ENTITIES["vendors"], b.landing, table, b.folder("checkpoint"))
-    return ingest.raw_table(b.spark, table).agg(N.alias("row_count")).withColumn("finished", F.lit(not query.isActive))
+    return ingest.raw_table(b.spark, table).agg(rows_n().alias("row_count")).withColumn("finished", F.lit(not query.isActive))
 
 
 add("str_01_triggered_run", _triggered, "select count(*) as row_count, true as finished from raw_vendors")
@@ -253,7 +257,7 @@ def _stream_static(b):
 add("jon_08_stream_static_join", _stream_static, "select * from fact_returns")
 add(
     "str_06_stream_static_enrichment",
-    lambda b: _stream_static(b).groupBy("data_quality_flag").agg(N.alias("row_count")),
+    lambda b: _stream_static(b).groupBy("data_quality_flag").agg(rows_n().alias("row_count")),
     "select data_quality_flag, count(*) as row_count from fact_returns group by 1",
 )
 

@@ -16,7 +16,9 @@ from ..plans.standardise import CUSTOMER_ID
 from . import oracle as O
 from .catalog import add
 
-N = F.count(F.lit(1))
+
+def rows_n():
+    return F.count(F.lit(1))
 
 # -- joins ----------------------------------------------------------------------
 
@@ -74,7 +76,7 @@ add(
 )
 add(
     "jon_10_dimension_lookup_and_group",
-    lambda b: b.star().fact_transactions.groupBy("vendor_key").agg(N.alias("row_count"))
+    lambda b: b.star().fact_transactions.groupBy("vendor_key").agg(rows_n().alias("row_count"))
     .join(b.star().dim_vendor.select("vendor_key", "vendor_name"), "vendor_key", "left").select("vendor_name", "row_count"),
     "select v.vendor_name, n as row_count from (select vendor_key, count(*) as n from fact_transactions group by 1) f left join dim_vendor v on f.vendor_key = v.vendor_key",
 )
@@ -137,7 +139,7 @@ add(
 )
 add(
     "agg_09_histogram_of_group_sizes",
-    lambda b: counts_by(b.clean("transactions").groupBy("order_id").agg(N.alias("lines_per_order")), "lines_per_order", name="num_orders"),
+    lambda b: counts_by(b.clean("transactions").groupBy("order_id").agg(rows_n().alias("lines_per_order")), "lines_per_order", name="num_orders"),
     "select lines_per_order, count(*) as num_orders from (select order_id, count(*) as lines_per_order from clean_transactions group by 1) group by 1",
 )
 add(
@@ -186,7 +188,7 @@ add(
 )
 add(
     "agg_16_null_safe_ratios",
-    lambda b: b.clean("transactions").groupBy("payment_installments").agg(C.percent(F.count_if("profit_was_null"), N).alias("null_profit_pct"), C.percent(F.count_if(F.expr("profit < 0")), F.count_if(F.expr("profit <> 0"))).alias("loss_pct")),
+    lambda b: b.clean("transactions").groupBy("payment_installments").agg(C.percent(F.count_if("profit_was_null"), rows_n()).alias("null_profit_pct"), C.percent(F.count_if(F.expr("profit < 0")), F.count_if(F.expr("profit <> 0"))).alias("loss_pct")),
     f"select payment_installments, {O.pct('count(*) filter (profit_was_null)', 'count(*)')} as null_profit_pct, {O.pct('count(*) filter (profit < 0)', 'count(*) filter (profit <> 0)')} as loss_pct from clean_transactions group by 1",
 )
 
@@ -230,7 +232,7 @@ add(
 
 add(
     "set_01_union_of_metrics",
-    lambda b: stack([metrics(b.raw(e), e, {"rows": N, "rescued": F.count("_rescued_data")}) for e in b.all_raw]),
+    lambda b: stack([metrics(b.raw(e), e, {"rows": rows_n(), "rescued": F.count("_rescued_data")}) for e in b.all_raw]),
     " union all ".join(
         f"select '{e}' as entity, 'rows' as metric, cast(count(*) as double) as value from raw_{e} union all select '{e}', 'rescued', cast(count(_rescued_data) as double) from raw_{e}"
         for e in O.ENTITIES
