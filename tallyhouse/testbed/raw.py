@@ -194,7 +194,7 @@ _LINE = {
 
 def transactions(d) -> tuple[str, list[dict[str, str]]]:
     stages = [
-        {**_LINE, "reg": "case l_orderkey % 3 when 0 then 3 when 1 then 2 else 4 end"},
+        {**_LINE, "reg": "case (l_orderkey + case when l_partkey % 251 = 3 then 1 else 0 end) % 3 when 0 then 3 when 1 then 2 else 4 end"},
         {
             "sales_c": "cast(floor((ext_c * (100 - pct) + 50) / 100) as bigint)",
             "oid": f"case when l_orderkey % 887 = 5 then null else 'OR-' || {_text('l_orderkey')} end",
