@@ -11,14 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder for this run, below the shared folder the cluster names.
 
-    Only without ``spark.checkpoint.dir``, as in local tests, is a local
-    temporary folder used.
+    Without ``spark.checkpoint.dir`` a cluster falls back to its warehouse
+    folder, which all executors share too; only a local session, as in tests,
+    uses a temporary folder of the machine.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="tallyhouse-")
+        if context.master.startswith("local"):
+            shared = tempfile.mkdtemp(prefix="tallyhouse-")
+        else:
+            shared = spark.conf.get("spark.sql.warehouse.dir")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

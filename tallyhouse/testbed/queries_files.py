@@ -263,7 +263,7 @@ add(
 
 
 def _late(b):
-    """Orders of two systems first, the third system's files arrive before the second run."""
+    """The product files arrive after the first run and are read by the second."""
     from .landing import write_landing
 
     root, table, checkpoint = b.folder("late"), b.folder("ingested_late"), b.folder("checkpoint")
