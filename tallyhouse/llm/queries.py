@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import warc
+from . import packing, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": warc.op5_warc,
+    "op9_packing": packing.op9_packing,
 }
 ORACLES: dict[str, str] = {
     "op5_warc": warc.OP5_SQL,
