@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, warc
+from . import ann, packing, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": warc.op5_warc,
     "op9_packing": packing.op9_packing,
+    "op10_ann": ann.op10_ann,
 }
 ORACLES: dict[str, str] = {
     "op5_warc": warc.OP5_SQL,
