@@ -16,7 +16,7 @@ spread over all blocks like any other.
 
 Vectors that are null, zero or hold null or non-finite components take no part, neither as queries nor as candidates;
 shorter vectors count as padded with zeros. Rows with the query's own vec_id are not its candidates; a repeated row is a
-candidate each time. Rows without vec_id are candidates of all queries, listed last among ties. Ties go to the smaller
+candidate each time, and a query once. Rows without vec_id are candidates of all queries, listed last among ties. Ties go to the smaller
 vec_id. An empty table gives no rows.
 """
 
@@ -163,7 +163,7 @@ def nearest_vectors(
     embedding."""
     spark = vectors.sparkSession
     python_tasks(spark)
-    x, q = stored(usable(vectors), "vectors"), stored(usable(queries).filter("vec_id is not null"), "queries")
+    x, q = stored(usable(vectors), "vectors"), stored(usable(queries).filter("vec_id is not null").distinct(), "queries")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, b: a + b * b))
     n, dim, longest = x.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max(norm)).first()
     nq, q_dim = q.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()

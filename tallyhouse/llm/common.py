@@ -55,3 +55,25 @@ def row_key() -> list[Column]:
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows kept for testing: crc32 of the id as text is divisible by 5. A null id is hashed as an empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """doc_id, text, label of at most ``rows`` labelled training rows of each label value.
+
+    Rows are drawn in order of a hash of their id. Held-out rows, and ids with missing or contradicting labels, are not
+    drawn. Ids drawn are few by that bound, so they are broadcast, and no text is shuffled. Of documents with the same
+    id any number may come.
+    """
+    clear = (
+        labels.filter(~held_out() & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
+        .groupBy("doc_id")
+        .agg(F.min(label).cast("int").alias("label"), F.max(label).alias("other"))
+        .filter("label = other")
+        .select("doc_id", "label")
+    )
+    order = F.xxhash64(F.col("doc_id").cast("long"), F.lit(label))
+    drawn = None
+    for value in (0, 1):
+        some = clear.filter(F.col("label") == value).orderBy(order, "doc_id").limit(rows)
+        drawn = some if drawn is None else drawn.unionByName(some)
+    return with_text(docs).join(F.broadcast(drawn), "doc_id")

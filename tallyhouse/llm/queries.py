@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, packing, warc
+from . import ann, packing, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality": quality.op3_quality,
     "op5_warc": warc.op5_warc,
     "op9_packing": packing.op9_packing,
     "op10_ann": ann.op10_ann,
