@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, packing, quality, warc
+from . import ann, packing, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": quality.op3_quality,
     "op5_warc": warc.op5_warc,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op9_packing": packing.op9_packing,
     "op10_ann": ann.op10_ann,
 }
