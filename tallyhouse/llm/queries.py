@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, packing, quality, toxicity, warc
+from . import ann, jaccard, packing, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": quality.op3_quality,
     "op5_warc": warc.op5_warc,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
     "op9_packing": packing.op9_packing,
     "op10_ann": ann.op10_ann,
 }
 ORACLES: dict[str, str] = {
     "op5_warc": warc.OP5_SQL,
+    "op7_ngram_jaccard": jaccard.OP7_SQL,
 }
