@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, jaccard, packing, quality, toxicity, warc
+from . import ann, jaccard, packing, quality, repeats, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": repeats.op1_suffix_dedup,
     "op3_quality": quality.op3_quality,
     "op5_warc": warc.op5_warc,
     "op6_toxicity": toxicity.op6_toxicity,
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ann": ann.op10_ann,
 }
 ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": repeats.OP1_SQL,
     "op5_warc": warc.OP5_SQL,
     "op7_ngram_jaccard": jaccard.OP7_SQL,
 }
