@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, jaccard, packing, quality, repeats, toxicity, warc
+from . import ann, decontaminate, jaccard, packing, quality, repeats, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": repeats.op1_suffix_dedup,
+    "op2_decontamination": decontaminate.op2_decontamination,
     "op3_quality": quality.op3_quality,
     "op5_warc": warc.op5_warc,
     "op6_toxicity": toxicity.op6_toxicity,
