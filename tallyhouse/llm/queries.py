@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, jaccard, packing, quality, repeats, toxicity, warc
+from . import ann, decontaminate, jaccard, packing, pii, quality, repeats, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": repeats.op1_suffix_dedup,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": warc.op5_warc,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
+    "op8_pii": pii.op8_pii,
     "op9_packing": packing.op9_packing,
     "op10_ann": ann.op10_ann,
 }
