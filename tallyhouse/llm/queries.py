@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, jaccard, packing, pii, quality, repeats, secrets, toxicity, warc
+from . import ann, decontaminate, jaccard, packing, pii, quality, repeats, secret_scan, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": repeats.op1_suffix_dedup,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op3_quality": quality.op3_quality,
-    "op4_secrets": secrets.op4_secrets,
+    "op4_secrets": secret_scan.op4_secrets,
     "op5_warc": warc.op5_warc,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
