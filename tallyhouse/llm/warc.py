@@ -237,6 +237,8 @@ class WarcReader(DataSourceReader):
         return True
 
     def read(self, partition: Piece) -> Iterator[tuple]:
+        if partition is None:  # what Spark plans where there are no files
+            return
         store, _ = file_system(self.path)
         with store.open_input_file(partition.path) as f:
             at = partition.start
