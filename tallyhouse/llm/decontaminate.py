@@ -192,7 +192,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE) -> DataFrame:
     """Rows of documents that hold no item. What has to go is few rows next to the table; it is written once."""
     bad = stored(contaminated(docs, benchmark, q, rate).select("k1", "k2").distinct(), "contaminated")
-    keyed = docs.withColumn("text", F.coalesce("text", F.lit(""))).select("*", *row_key())
+    keyed = docs.select(*DOCUMENT).withColumn("text", F.coalesce("text", F.lit(""))).select("*", *row_key())
     return keyed.join(bad, ["k1", "k2"], "leftanti").select(*DOCUMENT)
 
 

@@ -150,17 +150,20 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
     return train([(t, y) for _, t, y in drawn], share)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (doc_id, text and any others) and score."""
+def score(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
+    """doc_id, or the given columns, and score of each row of ``docs`` (doc_id, text and others)."""
     spark = docs.sparkSession
     python_tasks(spark)
     sent = spark.sparkContext.broadcast(model)
+    columns = columns or ["doc_id"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in chunks(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sent.value.scores(data, off))], ["doc_id", "score"])
+            kept = [part.column(part.schema.get_field_index(c)) for c in columns]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sent.value.scores(data, off))], [*columns, "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
+    return docs.mapInArrow(run, f"{kinds}, score double")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
