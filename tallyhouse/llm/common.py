@@ -6,6 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,3 +78,32 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
         some = clear.filter(F.col("label") == value).orderBy(order, "doc_id").limit(rows)
         drawn = some if drawn is None else drawn.unionByName(some)
     return with_text(docs).join(F.broadcast(drawn), "doc_id")
+
+
+#: Bits of a sieve for each value in it, and the most bits of a sieve: 32 MB.
+SIEVE_BITS, SIEVE_MOST = 16, 1 << 28
+
+
+def sieve(values: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of bounded size, to drop rows early whose hash is certainly not among ``values``.
+
+    It is or-ed together in the tasks, 64 bits a row, so at most SIEVE_MOST / 64 rows reach the driver. Rows that pass
+    it still have to meet their match in a join; where a table has outgrown the bitmap, more rows pass."""
+    n = values.count()
+    bits = 1 << 16
+    while bits < min(SIEVE_BITS * n, SIEVE_MOST):
+        bits *= 2
+    place = F.col(column).bitwiseAND(F.lit(bits - 1))
+    found = (
+        values.select((place / 64).cast("long").alias("word"), F.expr(f"shiftleft(1L, int(({column} & {bits - 1}) % 64))").alias("bit"))
+        .groupBy("word")
+        .agg(F.bit_or("bit").alias("bit"))
+        .toPandas()
+    )
+    out = np.zeros(bits // 64, np.int64)
+    out[found["word"].to_numpy(np.int64)] = found["bit"].to_numpy(np.int64)
+    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+
+
+def passes(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return bitmap[values.view(np.int64) & (len(bitmap) - 1)]

@@ -12,8 +12,10 @@ from the trigger on (the core, which all windows of a phrase share) decide most
 1. A core that occurs once cannot be part of a repeated window: its phrase is dropped. This is most of unique text.
 2. A phrase that the parse holds twice repeats as a whole: all of its windows are removed without looking inside.
 3. What is left are dictionary entries that occur once, whose core occurs in other entries too, as at the edges of a
-   copied passage. Only these, and one occurrence of the entries that they meet, are expanded into suffixes; suffixes of
-   equal order to that depth are neighbours, and both are repeats.
+   copied passage. Only these, and one occurrence of the entries that they meet, are cut into blocks of ``BLOCK`` windows
+   by their offset from the trigger, and steps 1 and 2 are repeated with blocks for phrases.
+4. Blocks that are still unclear are expanded into suffixes; suffixes of equal order to that depth are neighbours, and
+   both are repeats.
 
 Orders are kept as hashes, 64 bits for cores and phrases together with each other and 128 bits for suffixes, so equal
 strings meet by shuffles with partial counts, and a passage that a third of the documents share costs one row per task.
@@ -25,6 +27,7 @@ whole, and matches never cross documents.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -33,12 +36,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytescan import Hashes, chunks, ragged, sliding_min
-from .common import python_tasks, row_key, stored, table, with_text
+from .bytescan import Hashes, chunks, mix, ragged, sliding_min
+from .common import passes, python_tasks, row_key, sieve, stored, table, with_text
 
 LENGTH = 200
 #: Places of which one is a trigger, and bytes of the hash that decides.
 REACH, TRIGGER = 112, 12
+#: Windows of a block.
+BLOCK = 16
+PHRASE = "k1 long, k2 long, first int, last int, core long, whole long"
+SUFFIX = "h1 long, h2 long, k1 long, k2 long, first int, single boolean"
+KEPT = "n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
 
 
 def parse(data: np.ndarray, off: np.ndarray, length: int = LENGTH, reach: int = REACH) -> list[np.ndarray]:
@@ -61,6 +69,20 @@ def parse(data: np.ndarray, off: np.ndarray, length: int = LENGTH, reach: int =
     return [row, begin - off[row], end - off[row], core, h2.of(begin, end + length)]
 
 
+def blocks(h: Hashes, h2: Hashes, first: int, last: int, reach: int, length: int) -> tuple[np.ndarray, ...]:
+    """First and last window, core and whole of the blocks of one phrase. Blocks begin at fixed offsets from the trigger,
+    so equal windows lie in blocks with equal cores; a block that the phrase cuts short is only equal to one cut alike."""
+    at = np.arange(last, first + reach)  # the trigger of all windows lies here
+    rank = h.of(at, at + TRIGGER) >> np.uint64(32)
+    trigger = int(at[rank.argmin()])
+    j = np.arange((trigger - last) // BLOCK, (trigger - first) // BLOCK + 1)
+    high, low = trigger - BLOCK * j, trigger - BLOCK * j - BLOCK + 1
+    begin, end = np.maximum(low, first), np.minimum(high, last)
+    core = h.of(high, low + length)
+    cut = ((high - end) * BLOCK + begin - low).astype(np.uint64)
+    return begin, end, core, mix(h2.of(begin, end + length) + cut)
+
+
 def suffixes(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows of one text."""
     at = np.arange(max(0, len(data) - length + 1))
@@ -79,21 +101,43 @@ def merged(first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256."""
-    python_tasks(docs.sparkSession)
+    spark = docs.sparkSession
+    python_tasks(spark)
     reach = min(REACH, length - TRIGGER)
     if reach < 1:
         raise ValueError(f"length must be above {TRIGGER}")
     docs = with_text(docs).select("doc_id", "text", *row_key())
 
-    def phrases(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def phrases(batches: Iterable[pa.RecordBatch], bitmap) -> Iterator[pa.RecordBatch]:
         for part, data, off in chunks(batches):
-            row, first, last, core, whole = parse(data, off, length, reach)
+            found = parse(data, off, length, reach)
+            if bitmap is not None:
+                some = passes(bitmap.value, found[3])
+                found = [x[some] for x in found]
+            row, first, last, core, whole = found
             k1, k2 = (part.column(i).to_numpy()[row] for i in (0, 1))
             columns = [k1, k2, first.astype(np.int32), last.astype(np.int32), core.view(np.int64), whole.view(np.int64)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c) for c in columns], ["k1", "k2", "first", "last", "core", "whole"]
             )
 
+    def opened(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, off in chunks(batches):
+            k1, k2 = (part.column(i).to_numpy() for i in (0, 1))
+            for i, open_at in enumerate(part.column(3).to_pylist()):
+                text, out = data[off[i] : off[i + 1]], []
+                h, h2 = Hashes(text), Hashes(text, 1)
+                for x in open_at:
+                    found = blocks(h, h2, x["first"], x["last"], reach, length)
+                    out.append((*found, np.full(len(found[0]), x["single"])))
+                begin, end, core, whole, single = (np.concatenate(c) for c in zip(*out, strict=True))
+                n = len(begin)
+                columns = [np.full(n, k1[i]), np.full(n, k2[i]), begin.astype(np.int32), end.astype(np.int32)]
+                columns += [core.view(np.int64), whole.view(np.int64), single]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c) for c in columns], ["k1", "k2", "first", "last", "core", "whole", "single"]
+                )
+
     def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in chunks(batches):
             k1, k2 = (part.column(i).to_numpy() for i in (0, 1))
@@ -132,41 +176,79 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 [part.column(0), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
             )
 
-    parsed = docs.select("k1", "k2", "text").mapInArrow(
-        phrases, "k1 long, k2 long, first int, last int, core long, whole long"
-    )
-    repeated = parsed.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
+    keyed = docs.select("k1", "k2", "text")
+    repeated = keyed.mapInArrow(functools.partial(phrases, bitmap=None), PHRASE).groupBy("core").agg(F.count(F.lit(1)).alias("n"))
+    repeated = stored(repeated.filter("n > 1").select("core"), "cores")
+    some = spark.sparkContext.broadcast(sieve(repeated, "core"))
+    parsed = keyed.mapInArrow(functools.partial(phrases, bitmap=some), PHRASE)
     parsed = stored(parsed.join(repeated, "core", "leftsemi"), "parse")
-    dictionary = stored(
-        parsed.groupBy("core", "whole").agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "first", "last")).alias("at")
-        ),
-        "dictionary",
-    )
-    several = dictionary.groupBy("core").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least"))
-    several = several.filter("m > 1 and least = 1").select("core")
-    unclear = dictionary.join(several, "core", "leftsemi")
-    unclear = stored(
-        unclear.groupBy("at.k1", "at.k2").agg(
-            F.collect_list(F.struct("at.first", "at.last", (F.col("n") == 1).alias("single"))).alias("open_at")
-        ),
-        "unclear",
+    entries = stored(dictionary(parsed.withColumn("single", F.lit(True))), "dictionary")
+    unclear = unclear_rows(entries)
+    inner = stored(rows_with(keyed, unclear).mapInArrow(opened, f"{PHRASE}, single boolean"), "blocks")
+    shared = inner.groupBy("core").agg(F.count(F.lit(1)).alias("m"), F.max("single").alias("any")).filter("m > 1 and any")
+    inner = stored(inner.join(shared.select("core"), "core", "leftsemi"), "shared_blocks")
+    inner_entries = stored(dictionary(inner), "inner")
+    suffix = stored(rows_with(keyed, unclear_rows(inner_entries)).mapInArrow(windows, SUFFIX), "suffixes")
+    twice = suffix.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
+    suffix = suffix.filter("single").join(twice, ["h1", "h2"], "leftsemi")
+    place = ["k1", "k2", "first", "last"]
+    ranges = (
+        parsed.join(entries.filter("n > 1").select("core", "whole"), ["core", "whole"], "leftsemi").select(place)
+        .unionByName(
+            inner.filter("single")
+            .join(inner_entries.filter("n > 1").select("core", "whole"), ["core", "whole"], "leftsemi")
+            .select(place)
+        )
+        .unionByName(suffix.select("k1", "k2", "first", F.col("first").alias("last")))
+        .groupBy("k1", "k2")
+        .agg(F.collect_set(F.struct("first", "last")).alias("found"))
     )
-    suffix = docs.join(unclear, ["k1", "k2"]).select("k1", "k2", "text", "open_at").mapInArrow(
-        windows, "h1 long, h2 long, k1 long, k2 long, first int, single boolean"
+    ranges = stored(ranges, "ranges")
+    # rows without a repeat are not shuffled
+    some = spark.sparkContext.broadcast(sieve(ranges, "k2"))
+    all_docs = docs.select("doc_id", "k1", "k2", "text")
+    hit = all_docs.mapInArrow(functools.partial(sifted, bitmap=some, keep=True), all_docs.schema)
+    missed = all_docs.mapInArrow(functools.partial(sifted, bitmap=some, keep=False), all_docs.schema)
+    kind = f"{docs.schema['doc_id'].simpleString().replace(':', ' ')}, {KEPT}"
+    found = hit.join(ranges, ["k1", "k2"], "left").select("doc_id", "text", "found").mapInArrow(cut, kind)
+    nothing = F.lit(None).cast(ranges.schema["found"].dataType)
+    return found.unionByName(missed.select("doc_id", "text", nothing.alias("found")).mapInArrow(cut, kind))
+
+
+def sifted(batches: Iterable[pa.RecordBatch], bitmap, keep: bool) -> Iterator[pa.RecordBatch]:
+    """Rows whose k2 passes the sieve, or those for which it doesn't."""
+    for batch in batches:
+        k2 = batch.column(batch.schema.get_field_index("k2")).to_numpy()
+        yield batch.filter(pa.array(passes(bitmap.value, k2) == keep))
+
+
+def dictionary(phrases: DataFrame) -> DataFrame:
+    """Distinct phrases: how often each occurs, whether each of its occurrences has to be decided, and one place."""
+    return phrases.groupBy("core", "whole").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max("single").alias("single"),
+        F.min(F.struct("k1", "k2", "first", "last")).alias("at"),
     )
-    neighbours = suffix.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
-    inside = suffix.filter("single").join(neighbours, ["h1", "h2"], "leftsemi")
-    inside = inside.select("k1", "k2", "first", F.col("first").alias("last"))
-    as_wholes = parsed.join(dictionary.filter("n > 1").select("core", "whole"), ["core", "whole"], "leftsemi")
-    ranges = as_wholes.select("k1", "k2", "first", "last").unionByName(inside)
-    ranges = ranges.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last")).alias("found"))
-    return docs.join(ranges, ["k1", "k2"], "left").select("doc_id", "text", "found").mapInArrow(
-        cut, f"{docs.schema['doc_id'].simpleString().replace(':', ' ')}, "
-        "n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
+
+
+def unclear_rows(entries: DataFrame) -> DataFrame:
+    """Per text, the places of entries whose core meets different entries, one of them undecided."""
+    alone = (F.col("n") == 1) & F.col("single")
+    cores = entries.groupBy("core").agg(F.count(F.lit(1)).alias("m"), F.max(alone).alias("any")).filter("m > 1 and any")
+    found = entries.join(cores.select("core"), "core", "leftsemi")
+    return stored(
+        found.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("at.first", "at.last", alone.alias("single"))).alias("open_at")),
+        "unclear",
     )
 
 
+def rows_with(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """k1, k2, text, open_at of wanted texts; few others are shuffled, thanks to the sieve."""
+    some = keyed.sparkSession.sparkContext.broadcast(sieve(wanted, "k2"))
+    near = keyed.mapInArrow(functools.partial(sifted, bitmap=some, keep=True), keyed.schema)
+    return near.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "open_at")
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
