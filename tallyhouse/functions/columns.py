@@ -48,8 +48,14 @@ def presence_score(weights: dict[str, int]) -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
+def finite(c: Column) -> Column:
+    """Texts like NaN and Infinity are no amounts."""
+    return F.when(F.abs(c) < float("inf"), c)
+
+
 def number(c: Column | str, kind: str = "double") -> Column:
-    return as_col(c).try_cast(kind)
+    value = as_col(c).try_cast(kind)
+    return finite(value) if kind == "double" else value
 
 
 def nan_to_null(c: Column | str) -> Column:
@@ -59,14 +65,14 @@ def nan_to_null(c: Column | str) -> Column:
 def percent_or_fraction(c: Column | str) -> Column:
     """``40%`` and ``0.4`` both give 0.4."""
     c = as_col(c)
-    return F.when(c.endswith("%"), F.replace(c, F.lit("%"), F.lit("")).try_cast("double") / 100).otherwise(
-        c.try_cast("double")
+    return finite(
+        F.when(c.endswith("%"), F.replace(c, F.lit("%"), F.lit("")).try_cast("double") / 100).otherwise(c.try_cast("double"))
     )
 
 
 def money(c: Column | str) -> Column:
     """``$1,130.65`` gives 1130.65."""
-    return F.regexp_replace(as_col(c), vocab.MONEY_MARKS, "").try_cast("double")
+    return finite(F.regexp_replace(as_col(c), vocab.MONEY_MARKS, "").try_cast("double"))
 
 
 def blank(c: Column | str) -> Column:
@@ -188,12 +194,15 @@ def date_shape_name(c: Column | str) -> Column:
 
 # -- order-independent arithmetic -------------------------------------------
 # Double sums depend on the order in which tasks finish. Sums here add scaled
-# longs instead: exact, code-generated, and equal from run to run. ANSI mode
-# raises on overflow (9.2e14 money units at four digits).
+# longs instead: exact, code-generated, and equal from run to run. Each addend
+# is rounded to ``digits`` first. A value that is not finite or does not fit
+# (9.2e14 money units at four digits) raises; ANSI mode raises if a sum overflows.
 
 
 def scaled(c: Column | str, digits: int = 4) -> Column:
-    return F.floor(as_col(c) * float(10**digits) + 0.5).cast("bigint")
+    value = as_col(c) * float(10**digits) + 0.5
+    wrong = F.raise_error(F.concat(F.lit("cannot add up "), as_col(c).cast("string"))).cast("double")
+    return F.floor(F.when(value.isNull() | (F.abs(value) < 9.2e18), value).otherwise(wrong)).cast("bigint")
 
 
 def exact_sum(c: Column | str, digits: int = 4) -> Column:

@@ -5,50 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_RANGE = 500_000
-SAMPLE_PER_RANGE = 40
-MAX_RANGES = 2_000
+from ..sources.store import work_dir, write_files
 
+#: Bits below the partition in Spark's increasing ids.
+ROW_BITS = 33
 
-def number_rows(
-    df: DataFrame, order_by: list[Column | str], name: str, rows_per_range: int = ROWS_PER_RANGE
-) -> DataFrame:
+
+def number_rows(df: DataFrame, order_by: list[Column | str], name: str, ranges: int | None = None) -> DataFrame:
     """``row_number() over (order by ...)`` (ascending), computed range by range.
 
-    A small count decides: up to ``rows_per_range`` rows one window is bounded
-    and cheap. Beyond that, cut points from a hash sample split the sort order
-    into ranges; each range is numbered on its own and shifted by the rows
-    before it. The cut points only balance the work, any choice gives the same
-    numbers. ``order_by`` must be unique for the numbers to be stable.
+    Rows are dealt over ranges of the sort order, sorted within them, and written once, each with its partition and its
+    place there. Partitions are counted, and each place is shifted by the rows of the partitions before. The counts are
+    as few as the partitions. ``order_by`` must be unique for the numbers to be stable.
     """
-    key = F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"k{i}") for i, c in enumerate(order_by)])
-    total = df.count()
-    if total <= rows_per_range:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(key)).cast("bigint"))
-
-    ranges = min(-(-total // rows_per_range), MAX_RANGES)
-    keyed = df.withColumn("_key", key)
-    sample = (
-        keyed.select("_key")
-        .orderBy(F.xxhash64("_key"), "_key")
-        .limit(ranges * SAMPLE_PER_RANGE)
-        .orderBy("_key")
-        .collect()
-    )
-    cuts = [row["_key"] for row in sample][SAMPLE_PER_RANGE::SAMPLE_PER_RANGE]
-    kind = keyed.schema["_key"].dataType
-    points = F.array(
-        *[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(cut, kind)]) for cut in cuts]
-    )
-    placed = keyed.withColumn("_range", F.size(F.filter(points, lambda p: p <= F.col("_key"))))
-    # at most MAX_RANGES + 1 rows
-    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_range").orderBy("_key")
+    keys = [(F.col(c) if isinstance(c, str) else c).alias(f"_k{i}") for i, c in enumerate(order_by)]
+    names = [f"_k{i}" for i in range(len(keys))]
+    keyed = df.select("*", *keys)
+    dealt = keyed.repartitionByRange(ranges, *names) if ranges else keyed.repartitionByRange(*names)
+    placed = dealt.sortWithinPartitions(*names).withColumn("_at", F.monotonically_increasing_id()).drop(*names)
+    rows = write_files(placed, work_dir(df.sparkSession, "numbered"))
+    part = F.shiftright("_at", ROW_BITS)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    shifts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    number = F.col("_at").bitwiseAND(F.lit((1 << ROW_BITS) - 1)) + F.col("_before") + 1
     return (
-        placed.withColumn("_n", F.row_number().over(within))
-        .join(F.broadcast(shifts), "_range")
-        .withColumn(name, (F.col("_n") + F.col("_before")).cast("bigint"))
-        .drop("_key", "_range", "_n", "_before")
+        rows.withColumn("_part", part)
+        .join(F.broadcast(shifts), "_part")
+        .select(*df.columns, number.cast("bigint").alias(name))
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
@@ -263,3 +263,33 @@ def quality_trend(raw: dict[str, DataFrame], entities: list[str] = REPORTED) ->
             )
         )
     return stack(parts).withColumn("quarantine_rate_pct", percent(F.col("quarantined_rows"), F.col("total_rows")))
+
+
+def trend_anomalies(trend: DataFrame, earlier: int = 3, limit: float = 3.0) -> DataFrame:
+    """The trend with mean and deviation of each entity's earlier loads, z-score and flag.
+
+    A load is flagged if at least ``earlier`` loads came before and its rate is more than ``limit`` deviations away
+    from their mean, or differs from it at all where they were all alike. Rates have two digits, so they are added up
+    as whole hundredths. A window holds the days of one entity.
+    """
+    before = Window.partitionBy("entity").orderBy("load_day").rowsBetween(Window.unboundedPreceding, -1)
+    cents = F.round(F.col("quarantine_rate_pct") * 100).cast("bigint")
+    t = trend.withColumns(
+        {
+            "earlier_loads": F.count("quarantine_rate_pct").over(before),
+            "_s": F.sum(cents).over(before).cast("double"),
+            "_q": F.sum(cents * cents).over(before).cast("double"),
+        }
+    )
+    n = F.col("earlier_loads").cast("double")
+    t = t.withColumn("_mean", F.try_divide("_s", n))
+    t = t.withColumn("_sd", F.when(n > 1, F.sqrt(F.greatest(F.col("_q") - F.col("_s") * F.col("_mean"), F.lit(0.0)) / (n - 1))))
+    gap = cents.cast("double") - F.col("_mean")
+    away = F.when(F.col("_sd") > 0, F.abs(gap) > limit * F.col("_sd")).otherwise(gap != 0)
+    return t.select(
+        *trend.columns,
+        "earlier_loads",
+        (F.floor(F.col("_mean") * 100 + 0.5) / 10000.0).alias("earlier_mean"),
+        F.when(F.col("_sd") > 0, F.floor(gap / F.col("_sd") * 100 + 0.5) / 100.0).alias("z_score"),
+        F.coalesce((F.col("earlier_loads") >= earlier) & away, F.lit(False)).alias("is_anomaly"),
+    )

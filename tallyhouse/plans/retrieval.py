@@ -148,6 +148,10 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataF
                 _local_nearest(ids, matrix, k, DIGITS), f"query_id {kind}, doc_id {id_type}, distance double"
             )
             parts.append(top_per_group(local, ["query_id"], [F.col("distance"), F.col("doc_id")], k))
+    if not parts:
+        kind = queries.schema["query_id"].dataType.simpleString()
+        schema = f"query_id {kind}, doc_id {id_type}, distance double, rank int"
+        return corpus.sparkSession.createDataFrame([], schema)
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

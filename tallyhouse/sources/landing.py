@@ -10,9 +10,10 @@ and no value is lost.
 from __future__ import annotations
 
 import csv
+import io
 from collections import defaultdict
 from collections.abc import Iterator
-from urllib.parse import unquote, urlparse
+from urllib.parse import urlparse
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,9 +24,9 @@ from ..functions import vocab
 from ..operators.report import stack
 from .entities import Entity
 
-HEAD_BYTES = 1 << 16
-# schemes that Arrow opens by itself; others take the header from a text scan
-ARROW_SCHEMES = {"", "file", "s3", "gs"}
+# schemes that Arrow opens by itself, and its names for others
+ARROW_SCHEMES = {"", "file", "s3", "gs", "hdfs", "abfs", "abfss"}
+ARROW_NAMES = {"s3a": "s3", "s3n": "s3"}
 
 
 def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -35,39 +36,51 @@ def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
 
 
 def first_lines(spark: SparkSession, paths: list[str]) -> list[tuple[str, str]]:
-    """(path, first line) of each file, read by the executors."""
-    size = HEAD_BYTES
+    """(path, header record) of each file, read by the executors up to the record's end, however long it is.
+
+    Line breaks within quotes belong to the record. Only stores that Arrow opens are read; for others it would take a
+    scan of all rows, so they raise an error.
+    """
+    names = dict(ARROW_NAMES)
+    unknown = {names.get(x, x) for x in (urlparse(p).scheme for p in paths)} - ARROW_SCHEMES
+    if unknown:
+        raise ValueError(f"no way to read file headers from {', '.join(sorted(unknown))}:// paths")
 
     # nested, so that tasks need no installed copy of this package
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
+        def record(stream) -> str:
+            data, quotes, at = b"", 0, 0
+            while True:
+                piece = stream.read(1 << 16)
+                data += piece
+                # a break ends the record if the quotes before it are paired
+                while (end := data.find(b"\n", at)) >= 0:
+                    quotes += data.count(b'"', at, end)
+                    if quotes % 2 == 0:
+                        return data[:end].decode("utf-8-sig", "replace").rstrip("\r")
+                    at = end + 1
+                if not piece:
+                    return data.decode("utf-8-sig", "replace").rstrip("\r")
+                quotes += data.count(b'"', at)
+                at = len(data)
+
         for pdf in batches:
             lines = []
             for path in pdf["path"]:
                 if path.startswith(("file:", "/")):
                     system, inner = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
                 else:
-                    system, inner = fs.FileSystem.from_uri(path)
+                    scheme, rest = path.split("://", 1)
+                    system, inner = fs.FileSystem.from_uri(f"{names.get(scheme, scheme)}://{rest}")
                 with system.open_input_stream(inner) as stream:
-                    text = stream.read(size).decode("utf-8-sig", "replace")
-                lines.append(text.split("\n", 1)[0].rstrip("\r"))
+                    lines.append(record(stream))
             yield pd.DataFrame({"path": pdf["path"], "header": lines})
 
-    if {urlparse(p).scheme for p in paths} <= ARROW_SCHEMES:
-        tasks = max(1, min(len(paths) // 16, 1000))
-        frame = spark.createDataFrame([(p,) for p in paths], "path string").repartition(tasks)
-        return [(r.path, r.header) for r in frame.mapInPandas(heads, "path string, header string").collect()]
-    return scan_first_lines(spark, paths)
-
-
-def scan_first_lines(spark: SparkSession, paths: list[str]) -> list[tuple[str, str]]:
-    """The same by a text scan, for file systems that only Spark can open."""
-    lines = spark.read.text(paths).filter("_metadata.file_block_start = 0").select(
-        F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("n")
-    )
-    heads = lines.groupBy("path").agg(F.min_by("value", "n").alias("header"))
-    return [(unquote(r.path), r.header) for r in heads.collect()]
+    tasks = max(1, min(len(paths) // 16, 1000))
+    frame = spark.createDataFrame([(p,) for p in paths], "path string").repartition(tasks)
+    return [(r.path, r.header) for r in frame.mapInPandas(heads, "path string, header string").collect()]
 
 
 def region_of(path: Column, name: Column) -> Column:
@@ -97,11 +110,15 @@ def by_name(entity: Entity, names: list[str]) -> list[Column]:
     """Declared columns out of text columns ``c0..`` called ``names``, and the rescue column."""
     at = {}
     extra: list[tuple[str, Column]] = []
+    taken = {"_corrupt_record"}
     for i, name in enumerate(names):
         if name in entity.columns and name not in at:
             at[name] = F.col(f"c{i}")
         else:
-            extra.append((name if name not in at else f"{name}#{i}", F.col(f"c{i}")))
+            # a name that is used already keeps its value under its place in the file
+            key = name if name not in at and name not in taken else f"{name}#{i}"
+            taken.add(key)
+            extra.append((key, F.col(f"c{i}")))
     picked = []
     for name in entity.columns:
         text = at.get(name, F.lit(None).cast("string"))
@@ -121,7 +138,7 @@ def by_name(entity: Entity, names: list[str]) -> list[Column]:
 def read_csv_files(spark: SparkSession, entity: Entity, paths: list[str]) -> DataFrame:
     groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
     for path, line in first_lines(spark, paths):
-        groups[tuple(next(csv.reader([line]), ()))].append(path)
+        groups[tuple(next(csv.reader(io.StringIO(line, newline="")), ()))].append(path)
     parts = []
     for header, files in sorted(groups.items()):
         schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
@@ -138,7 +155,17 @@ def read_csv_files(spark: SparkSession, entity: Entity, paths: list[str]) -> Dat
 
 
 def read_json_files(spark: SparkSession, entity: Entity, paths: list[str]) -> DataFrame:
-    """JSON documents; every key is found by inference and read as text."""
+    """JSON documents; every key is found by inference and read as text. Keys may differ by case only, so names are
+    resolved by case until columns have their place."""
+    before = spark.conf.get("spark.sql.caseSensitive")
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        return _read_json_files(spark, entity, paths)
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", before)
+
+
+def _read_json_files(spark: SparkSession, entity: Entity, paths: list[str]) -> DataFrame:
     options = {
         "multiLine": str(entity.multiline).lower(),
         "primitivesAsString": "true",

@@ -11,17 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder for this run, below the shared folder the cluster names.
 
-    Without ``spark.checkpoint.dir`` a cluster falls back to its warehouse
-    folder, which all executors share too; only a local session, as in tests,
-    uses a temporary folder of the machine.
+    A cluster has to name one (``spark.checkpoint.dir``), because executors do
+    not see each other's disks; only a local session, as in tests, uses a
+    temporary folder of the machine.
     """
     context = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not shared:
-        if context.master.startswith("local"):
-            shared = tempfile.mkdtemp(prefix="tallyhouse-")
-        else:
-            shared = spark.conf.get("spark.sql.warehouse.dir")
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="tallyhouse-")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -206,6 +206,36 @@ add(
     + ") group by 1, 2",
 )
 
+
+
+def _days(b):
+    """The trend by day of the order, which the derived tables have many of, as that of loads."""
+    rows = quality.tagged(b.raw("orders"), "orders").select(
+        F.lit("orders").alias("entity"), F.to_date("order_purchase_date").alias("load_day"), "is_quarantined"
+    )
+    counted = rows.filter("load_day is not null").groupBy("entity", "load_day").agg(
+        F.count(F.lit(1)).alias("total_rows"), F.count_if("is_quarantined").alias("quarantined_rows")
+    )
+    return counted.withColumn("quarantine_rate_pct", C.percent(F.col("quarantined_rows"), F.col("total_rows")))
+
+
+add(
+    "dq_12_trend_anomalies",
+    lambda b: quality.trend_anomalies(_days(b)),
+    f"""select entity, load_day, total_rows, quarantined_rows, quarantine_rate_pct, earlier_loads,
+      floor(m * 100 + 0.5) / 10000.0::double as earlier_mean,
+      case when sd > 0 then floor((c - m) / sd * 100 + 0.5) / 100.0::double end as z_score,
+      coalesce(earlier_loads >= 3 and case when sd > 0 then abs(c - m) > 3 * sd else c <> m end, false) as is_anomaly
+    from (select *, case when earlier_loads > 1 then sqrt(greatest(sq - su * m, 0) / (earlier_loads - 1)) end as sd
+      from (select *, su / nullif(earlier_loads, 0) as m
+        from (select *, count(*) over w as earlier_loads, cast(sum(c) over w as double) as su, cast(sum(c * c) over w as double) as sq
+          from (select *, cast(round(quarantine_rate_pct * 100) as bigint) as c
+            from (select 'orders' as entity, cast(order_purchase_date as date) as load_day, count(*) as total_rows, count(*) filter (is_quarantined) as quarantined_rows,
+              {O.pct('count(*) filter (is_quarantined)', 'count(*)')} as quarantine_rate_pct
+              from tag_orders where order_purchase_date is not null group by 1, 2))
+          window w as (partition by entity order by load_day rows between unbounded preceding and 1 preceding))))""",
+)
+
 # -- profiling ------------------------------------------------------------------------
 
 

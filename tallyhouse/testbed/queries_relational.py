@@ -265,6 +265,6 @@ ENTITY_METRICS_SQL = _blocks()
 add("set_04_metric_rows", lambda b: quality.entity_metrics(b.all_clean, b.star().order_sales.select("order_id", "sales")), ENTITY_METRICS_SQL)
 add(
     "sch_08_range_numbers",
-    lambda b: number_rows(b.raw("transactions").select(C.unify(b.raw("transactions"), "Product_id").alias("product_id")).filter("product_id is not null").distinct(), ["product_id"], "number", rows_per_range=200),
+    lambda b: number_rows(b.raw("transactions").select(C.unify(b.raw("transactions"), "Product_id").alias("product_id")).filter("product_id is not null").distinct(), ["product_id"], "number", ranges=7),
     "select product_id, row_number() over (order by product_id) as number from (select distinct Product_id as product_id from raw_transactions where Product_id is not null)",
 )

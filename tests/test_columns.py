@@ -64,7 +64,7 @@ def test_discount_money_and_numbers(spark):
     assert values(spark, ["40%", "0.4", "1.5", "?", "x%", None], C.percent_or_fraction("t")) == [0.4, 0.4, 1.5, None, None, None]
     assert values(spark, ["$1,130.65", "130.65", "abc", None], C.money("t")) == [1130.65, 130.65, None, None]
     assert values(spark, ["5", "5.5", "?", "", None], C.number("t", "int")) == [5, None, None, None, None]
-    assert math.isnan(values(spark, ["NaN"], C.number("t"))[0])
+    assert values(spark, ["NaN"], C.number("t")) == [None]
     assert values(spark, ["NaN", "1"], C.nan_to_null(C.number("t"))) == [None, 1.0]
 
 
@@ -115,3 +115,14 @@ def test_sums_do_not_depend_on_order(spark):
     one = spark.createDataFrame(rows, "v double").repartition(7).agg(C.exact_sum("v")).first()[0]
     two = spark.createDataFrame(rows[::-1], "v double").repartition(3).agg(C.exact_sum("v")).first()[0]
     assert one == two == 199900.0
+
+
+def test_amounts_are_finite_and_sums_do_not_saturate(spark):
+    texts = spark.createDataFrame([("NaN",), ("Infinity",), ("-inf",), ("1.5",), ("x",)], "t string")
+    for f in (C.number, C.money, C.percent_or_fraction):
+        assert [r[0] for r in texts.select(f("t")).collect()] == [None, None, None, 1.5, None]
+    good = spark.createDataFrame([(1.25,), (None,), (-3.0,)], "x double")
+    assert good.select(C.exact_sum("x")).first()[0] == -1.75
+    for wrong in (float("nan"), float("inf"), 1e15):
+        with pytest.raises(Exception, match="cannot add up"):
+            spark.createDataFrame([(1.0,), (wrong,)], "x double").select(C.exact_sum("x")).collect()

@@ -73,11 +73,24 @@ def test_lineage_and_region(spark, root):
     assert [r[0] for r in paths.select(landing.region_of(F.col("p"), F.col("n"))).collect()] == ["Region 4", "unknown"]
 
 
-def test_both_header_readers_agree(spark, root):
-    paths = [r.path for r in landing.list_files(spark, root, "*.csv").collect()]
-    plain = {os.path.basename(p): h for p, h in landing.first_lines(spark, paths)}
-    scanned = {os.path.basename(p): h for p, h in landing.scan_first_lines(spark, paths)}
-    assert plain == scanned and len(plain) == 5
+def test_headers_have_no_limit_and_names_may_repeat(spark, tmp_path):
+    long = ",".join(f"filler_{i:06d}" for i in range(6000))
+    put(str(tmp_path), "Region 1/customers_1.csv", f'{long},"two\nlines",customer_id,segment\n{"x," * 6001}C1,Home\n')
+    put(str(tmp_path), "Region 2/customers_2.csv", "customer_id,odd,odd,ODD\nC2,1,2,3\n")
+    rows = {r.customer_id: r for r in landing.read_entity(spark, ENTITIES["customers"], str(tmp_path)).collect()}
+    assert rows["C1"].segment == "Home"
+    assert json.loads(rows["C2"]._rescued_data) == {"odd": "1", "odd#2": "2", "ODD": "3"}
+    with pytest.raises(ValueError, match="ftp"):
+        landing.first_lines(spark, ["ftp://host/a.csv"])
+
+
+def test_json_keys_may_differ_by_case_only(spark, tmp_path):
+    entity = ENTITIES["returns"]
+    name = "Region 1/" + entity.glob.replace("*", "_1")
+    record = [{"order_id": "O1", "Order_ID": "O2"}]
+    put(str(tmp_path), name, json.dumps(record) if entity.multiline else json.dumps(record[0]))
+    row = landing.read_files(spark, entity, [str(tmp_path / name)]).first()
+    assert row.order_id == "O1" and json.loads(row._rescued_data) == {"Order_ID": "O2"}
 
 
 def test_inventory(spark, root):
@@ -110,6 +123,25 @@ def test_type_inference_with_hints(spark):
     assert kinds == {"a": "bigint", "b": "double", "c": "timestamp", "d": "string", "e": "string"}
 
 
+def test_a_cluster_has_to_name_a_shared_folder(spark):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(name, default=None):
+                return default
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        store.work_dir(Session(), "x")
+
+
 def test_work_folders_are_new_and_shared(spark):
     one, two = store.work_dir(spark, "x"), store.work_dir(spark, "x")
     assert one != two and one.startswith(spark.conf.get("spark.checkpoint.dir"))

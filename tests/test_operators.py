@@ -53,10 +53,10 @@ def test_keep_first_survives_a_hot_key(spark):
     assert "partial_min" in plan and "Window" not in plan
 
 
-@pytest.mark.parametrize("rows_per_range", [7, 50, 10_000])
-def test_numbers_equal_a_global_row_number(spark, rows_per_range):
+@pytest.mark.parametrize("ranges", [None, 1, 9])
+def test_numbers_equal_a_global_row_number(spark, ranges):
     df = spark.range(500).select(F.concat(F.lit("id-"), (F.col("id") * 7919 % 500).cast("string")).alias("k"))
-    found = number_rows(df, ["k"], "n", rows_per_range).orderBy("n").collect()
+    found = number_rows(df, ["k"], "n", ranges).orderBy("n").collect()
     assert [r.n for r in found] == list(range(1, 501))
     assert [r.k for r in found] == sorted(r.k for r in found)
 
@@ -64,7 +64,7 @@ def test_numbers_equal_a_global_row_number(spark, rows_per_range):
 def test_numbers_with_ties_in_the_leading_column(spark):
     # a third of the rows share the first sort column
     df = spark.range(300).select(F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.col("id").cast("double")).alias("r"), F.concat(F.lit("v"), F.col("id")).alias("k"))
-    found = number_rows(df, [-F.col("r"), "k"], "n", 20).orderBy("n").collect()
+    found = number_rows(df, [-F.col("r"), "k"], "n", 12).orderBy("n").collect()
     assert [(r.r, r.k) for r in found] == sorted([(r.r, r.k) for r in found], key=lambda x: (-x[0], x[1]))
     assert [r.n for r in found] == list(range(1, 301))
 
