@@ -12,7 +12,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import vocab
 from ..functions.text import dollars, fill, fixed2
 from ..operators.ranking import top_per_group
 from ..operators.report import stack
@@ -86,8 +85,22 @@ def words(c: Column | str) -> Column:
     return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
 
 
+#: Questions to try the documents with; any list of texts does.
+QUESTIONS = [
+    "vendors by value of returned goods",
+    "vendor with many returns and a high ratio",
+    "slow products of the Central region",
+    "slow movement status of products in the West region",
+    "category sales and orders in the Central region",
+    "category with most orders in the East region",
+    "product returned most often",
+    "high return product of the Women category",
+    "average return ratio of vendors",
+]
+
+
 def questions(spark: SparkSession, texts: list[str] | None = None) -> DataFrame:
-    rows = list(enumerate(texts or vocab.QUESTIONS, 1))
+    rows = list(enumerate(texts or QUESTIONS, 1))
     return spark.createDataFrame(rows, "question_id int, question string")
 
 
@@ -200,7 +213,7 @@ def rerank(candidates: DataFrame, docs: DataFrame, asked: DataFrame, k: int = KE
         .agg(F.count(F.lit(1)).alias("df"))
     )
     # the corpus figures are one row
-    pairs = candidates.select("question_id", "doc_id").join(tokens, "doc_id").join(terms, "question_id").join(seen, "term")
+    pairs = candidates.select("question_id", "doc_id").distinct().join(tokens, "doc_id").join(terms, "question_id").join(seen, "term")
     pairs = pairs.join(F.broadcast(corpus), F.lit(True))
     tf = F.size(F.filter("tokens", lambda t: t == F.col("term")))
     idf = F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -220,8 +233,10 @@ def retrieve(docs: DataFrame, asked: DataFrame, candidates: int = CANDIDATES, k:
     """Both stages for all questions at once: nearest vectors, then the rerank."""
     transform = _model(docs)
     queries = transform(asked.select(F.col("question_id").alias("query_id"), F.col("question").alias("text")))
+    # equal texts have one id; copies would use up candidates and count their terms twice
+    docs = docs.dropDuplicates(["doc_id"])
     near = nearest(transform(docs), queries, candidates).select(F.col("query_id").alias("question_id"), "doc_id")
-    return rerank(near, docs.dropDuplicates(["doc_id"]), asked, k)
+    return rerank(near, docs, asked, k)
 
 
 def answers(docs: DataFrame, asked: DataFrame, generate: Generator | None = None) -> DataFrame:

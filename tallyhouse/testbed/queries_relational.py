@@ -154,13 +154,27 @@ add(
 )
 
 
+def _deviation_sql(c):
+    n, total = (f"{f}(round(cast({c} as double) * 100)::decimal(20,0))" for f in ("count", "sum"))
+    squares = f"sum(round(cast({c} as double) * 100)::hugeint * round(cast({c} as double) * 100)::hugeint)"
+    return f"case when {n} > 1 then floor(sqrt(greatest({squares}::double - {total}::double * {total}::double / {n}, 0) / ({n} - 1)) * 100 + 0.5) / 10000.0::double end"
+
+
+def _deviation(c):
+    """Sample standard deviation to four digits, from exact sums of hundredths and their squares."""
+    cents = F.round(F.col(c).cast("double") * 100).cast("decimal(20,0)")
+    n, total, squares = F.count(cents), F.sum(cents).cast("double"), F.sum(cents * cents).cast("double")
+    spread = F.greatest(squares - total * total / n, F.lit(0.0)) / (n - 1)
+    return F.when(n > 1, F.floor(F.sqrt(spread) * 100 + 0.5) / 10000.0)
+
+
 def _describe(b):
     facts = b.star().fact_returns()
     columns = ["return_amount", "transaction_amount", "days_to_return"]
     return stack(
         [
             facts.agg(
-                F.count(c).alias("value_count"), C.exact_avg(c).alias("mean"), F.min(c).cast("double").alias("min_value"), F.max(c).cast("double").alias("max_value")
+                F.count(c).alias("value_count"), C.exact_avg(c).alias("mean"), _deviation(c).alias("deviation"), F.min(c).cast("double").alias("min_value"), F.max(c).cast("double").alias("max_value")
             ).select(F.lit(c).alias("column_name"), "*")
             for c in columns
         ]
@@ -171,7 +185,7 @@ add(
     "agg_12_summary_statistics",
     _describe,
     " union all ".join(
-        f"select '{c}' as column_name, count({c}) as value_count, {O.xavg(c)} as mean, cast(min({c}) as double) as min_value, cast(max({c}) as double) as max_value from fact_returns"
+        f"select '{c}' as column_name, count({c}) as value_count, {O.xavg(c)} as mean, {_deviation_sql(c)} as deviation, cast(min({c}) as double) as min_value, cast(max({c}) as double) as max_value from fact_returns"
         for c in ["return_amount", "transaction_amount", "days_to_return"]
     ),
 )
