@@ -4,8 +4,9 @@ A document's set holds the hashes of its distinct n-grams; documents with equal
 nodes link when 100 * intersection >= percent * union. The join is exact and works in steps:
 
 1. Count n-grams that are frequent in some task, so that frequent ones can be put last in the token orders.
-2. Near copies are found first: nodes whose smallest tokens agree under two of several hash orders are compared with
-   one centre of their bucket, never with each other, and connected into components.
+2. Near copies are found first: nodes are sorted by their smallest tokens under several hash orders, and neighbours
+   that agree under most orders are compared. Each node meets the next few in some sortings, never its whole
+   group; what links is connected into components, and later rounds look only across components.
 3. Prefix filter for the rest. Sorted by (frequency, hash), similar sets share at least ``SHARED`` of their first
    n - ceil(percent * n / 100) + SHARED tokens. Only tokens whose nodes lie in several components are looked at, and in
    each of them the members of its largest component are not compared with one another. Pairs are counted by shared
@@ -25,6 +26,7 @@ doc_id is null in component_id only if nobody in its component has one. Empty ta
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,17 +36,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytescan import LOWER, Hashes, chunks, distinct_by_row, mix, words
-from .common import python_tasks, row_key, stored, table, with_text
+from .common import passes, python_tasks, row_key, sieve, stored, table, with_text
 
-SHARED = 8
+SHARED = 4
 ORDERS = 2
-#: Pairs of hash orders whose smallest tokens make a bucket.
-KEYS = 6
+#: Sortings by smallest tokens, and the hash orders that each looks at.
+KEYS, DEPTH = 16, 4
+#: Sortings that are used, orders under which neighbours must agree to be compared, and how far apart they may lie in
+#: each round.
+SORTINGS, AGREE, ROUNDS = 6, 9, ((1, 1), (2, 6))
 GROUP = 200
 #: Tokens seen so often are put last, and in a task at least so often to be counted.
-OFTEN, OFTEN_IN_TASK = 32, 4
+OFTEN, OFTEN_IN_TASK = 32, 2
 FREQUENT = 1 << 20
-SEEDS = np.random.default_rng(11).integers(1, 1 << 63, 2 * KEYS + ORDERS, dtype=np.uint64)
+SEEDS = np.random.default_rng(11).integers(1, 1 << 63, KEYS + ORDERS, dtype=np.uint64)
 
 
 # ---- sets ---------------------------------------------------------------------
@@ -76,6 +81,17 @@ def token_sets(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, n
     return distinct_by_row(np.concatenate(rows), np.concatenate(grams))
 
 
+def sieved(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """Rows (k1, k2, text) whose k2 may be wanted."""
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passes(sent.value, batch.column(1).to_numpy())))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def required(size: np.ndarray, percent: int) -> np.ndarray:
     """Tokens that a set must share with any set it links with."""
     return (size * percent + 99) // 100
@@ -206,11 +222,41 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "comp")
 
 
+def neighbours(nodes: DataFrame, first: int, near: int, far: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that lie ``near`` to ``far`` places apart when sorted by their
+    smallest tokens, from the ``first`` order on, and agree under ``AGREE`` orders. Pairs across two partitions are left
+    to the other steps."""
+    order = [F.col("keys")[(first + i) % KEYS] for i in range(DEPTH)]
+    flat = nodes.select("node", "comp", "keys", *(k.alias(f"s{i}") for i, k in enumerate(order)))
+    sorting = [f"s{i}" for i in range(DEPTH)] + ["node"]
+
+    def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            node, comp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            keys = batch.column(2).flatten().to_numpy().reshape(-1, KEYS)
+            before = 0
+            if held is not None:
+                before = len(held[0])
+                node, comp, keys = (np.concatenate(x) for x in zip(held, (node, comp, keys), strict=True))
+            held = tuple(x[max(0, len(node) - far) :].copy() for x in (node, comp, keys))
+            for k in range(near, min(far, len(node) - 1) + 1):
+                begin = max(0, before - k)  # pairs within what was held are known
+                x, y = slice(begin, len(node) - k), slice(begin + k, len(node))
+                alike = ((keys[x] == keys[y]).sum(1) >= AGREE) & (comp[x] != comp[y])
+                a, b = node[x][alike], node[y][alike]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    ordered = flat.repartitionByRange(*sorting).sortWithinPartitions(*sorting)
+    return ordered.select("node", "comp", "keys").mapInArrow(pairs, "a long, b long")
+
+
 # ---- join -----------------------------------------------------------------------
 
 
 def similar_documents(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row; and k1, k2, which tell rows apart (see ``row_key``)."""
+    """doc_id, n_shingles, component_id of each row; k1, k2, which tell rows apart (see ``row_key``), and
+    comp, equal within a component."""
     spark = docs.sparkSession
     python_tasks(spark)
     docs = with_text(docs).select("doc_id", "text", *row_key())
@@ -228,9 +274,7 @@ def similar_documents(docs: DataFrame, n: int, percent: int) -> DataFrame:
             if some.any():
                 at = first[some]
                 node[some] = np.add.reduceat(mix(value ^ SEEDS[0]), at)
-                smallest = [np.minimum.reduceat(mix(value ^ s), at) for s in SEEDS[: 2 * KEYS]]
-                for k in range(KEYS):
-                    keys[some, k] = mix(smallest[2 * k] * np.uint64(31) + smallest[2 * k + 1])
+                keys[some] = np.column_stack([np.minimum.reduceat(mix(value ^ s), at) for s in SEEDS[:KEYS]])
             columns = [part.column(i) for i in (0, 2, 3)]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -267,19 +311,25 @@ def similar_documents(docs: DataFrame, n: int, percent: int) -> DataFrame:
     nodes = sets.filter("node is not null").groupBy("node").agg(
         F.min(F.struct("k1", "k2")).alias("row"), F.min("keys").alias("keys")
     )
-    bucketed = nodes.select("node", F.posexplode("keys").alias("k", "key"))
-    centres = bucketed.groupBy("k", "key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    stars = stored(
-        bucketed.join(centres, ["k", "key"]).filter("a <> node").select("a", F.col("node").alias("b")).distinct(), "stars"
-    )
+    nodes = stored(nodes, "nodes")
     found = docs.select("doc_id", "text").mapInArrow(postings, "token long, node long, size int")
     shared = found.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("token")
     shared = stored(found.join(shared, "token", "leftsemi").groupBy("token", "node").agg(F.first("size").alias("size")), "shared")
-    wanted = shared.select("node").union(stars.select("a")).union(stars.select("b")).distinct()
-    rows = nodes.join(wanted, "node", "leftsemi").select("node", "row.k1", "row.k2")
-    texts = stored(docs.select("k1", "k2", "text").join(rows, ["k1", "k2"]).select("node", "text"), "texts")
-    near = stored(links(stars, texts, n, percent), "near")
-    comps = components(near)
+    rows = nodes.join(shared.select("node").distinct(), "node", "leftsemi").select("node", "row.k1", "row.k2")
+    rows = stored(rows, "rows")
+    with_candidates = sieved(docs.select("k1", "k2", "text"), sieve(rows, "k2"))
+    texts = stored(with_candidates.join(rows, ["k1", "k2"]).select("node", "text"), "texts")
+    looked_at = nodes.join(rows.select("node"), "node").select("node", "keys")
+    comps = looked_at.select("node", F.col("node").alias("comp"))
+    near = None
+    for lo, hi in ROUNDS:
+        placed = looked_at.join(comps, "node", "left").select("node", "keys", F.coalesce("comp", "node").alias("comp"))
+        pairs = functools.reduce(DataFrame.unionByName, [neighbours(placed, k, lo, hi) for k in range(SORTINGS)])
+        new = stored(links(stored(pairs.distinct(), "neighbours"), texts, n, percent), "near")
+        if near is not None and new.isEmpty():
+            continue
+        near = new if near is None else near.unionByName(new)
+        comps = components(near)
 
     members = stored(
         shared.join(comps, "node", "left").select("token", "node", "size", F.coalesce("comp", "node").alias("comp")), "members"
@@ -291,7 +341,11 @@ def similar_documents(docs: DataFrame, n: int, percent: int) -> DataFrame:
     still = stored(members.join(open_tokens, "token"), "open")
     left = still.filter("comp <> main").alias("x")
     right = still.select("token", F.col("node").alias("node2"), F.col("size").alias("size2"), F.col("comp").alias("comp2"))
-    share = [F.least(F.ceil(F.col(s) * percent / 100), F.lit(SHARED)) for s in ("size", "size2")]
+    # the i-th common token of sets with overlap o is at place i + size - o at most, so that many lie in both prefixes
+    alpha = "((%s * {p} + 99) div 100)".format(p=percent)
+    slack = [f"least({alpha % x}, {SHARED}) - {alpha % x}" for x in ("size", "size2")]
+    overlap = f"ceil({percent} * (size + size2) / {100 + percent})"
+    need = F.expr(f"greatest(1, {overlap} + least({slack[0]}, {slack[1]}))")
     candidates = (
         left.join(right, "token")
         .filter(
@@ -300,7 +354,7 @@ def similar_documents(docs: DataFrame, n: int, percent: int) -> DataFrame:
             & (100 * F.least("size", "size2") >= percent * F.greatest("size", "size2"))
         )
         .groupBy(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
-        .agg(F.count(F.lit(1)).alias("common"), F.min(F.least(*share)).alias("need"))
+        .agg(F.count(F.lit(1)).alias("common"), F.min(need).alias("need"))
         .filter("common >= need")
         .select("a", "b")
     )
@@ -317,6 +371,7 @@ def similar_documents(docs: DataFrame, n: int, percent: int) -> DataFrame:
         F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         "k1",
         "k2",
+        "comp",
     )
 
 
