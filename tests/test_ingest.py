@@ -74,8 +74,8 @@ def test_lineage_and_region(spark, root):
 
 
 def test_headers_have_no_limit_and_names_may_repeat(spark, tmp_path):
-    long = ",".join(f"filler_{i:06d}" for i in range(6000))
-    put(str(tmp_path), "Region 1/customers_1.csv", f'{long},"two\nlines",customer_id,segment\n{"x," * 6001}C1,Home\n')
+    long = ",".join(f"filler_{i}_" + "x" * 1100 for i in range(80))
+    put(str(tmp_path), "Region 1/customers_1.csv", f'{long},"two\nlines",customer_id,segment\n{"x," * 81}C1,Home\n')
     put(str(tmp_path), "Region 2/customers_2.csv", "customer_id,odd,odd,ODD\nC2,1,2,3\n")
     rows = {r.customer_id: r for r in landing.read_entity(spark, ENTITIES["customers"], str(tmp_path)).collect()}
     assert rows["C1"].segment == "Home"
