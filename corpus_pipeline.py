@@ -26,7 +26,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of five-word shingles at a similarity of 0.8 connect: the smallest doc_id,
     of equal ids the row with the smallest hash."""
-    groups = jaccard.similar_documents(docs, 5, 80)
+    groups = jaccard.similar_documents(docs, 5, 80, count_links=False)
     row = F.struct("doc_id", "k1", "k2")
     # copies of one row share all of its keys, so the first of them in the file stays
     keep = groups.filter("n_shingles > 0").groupBy("comp").agg(F.min(row).alias("row")).select("row.k1", "row.k2")

@@ -14,6 +14,9 @@ nodes link when 100 * intersection >= percent * union. The join is exact and wor
 4. Before a pair is verified, its sets must share prefix tokens under ``ORDERS`` further orders as well; only pairs that
    pass every filter are compared token by token.
 5. Components of all links.
+6. Number of links. Every link lies within a component, so the pairs of each component are compared there, also those
+   that the steps before left out because their nodes were connected already. A large component is dealt into blocks;
+   each pair of blocks is a group of its own, and only counts leave it. Documents with equal sets link as well.
 
 Texts travel once, and only those of nodes that have a candidate. All tasks are bounded: a centre's partners are dealt
 over groups of ``GROUP``. Frequent tokens are broadcast, at most ``FREQUENT`` of them, 8 MB; the bound decides which
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytescan import LOWER, Hashes, chunks, distinct_by_row, mix, words
+from .bytescan import LOWER, Hashes, chunks, distinct_by_row, mix, text_bytes, words
 from .common import passes, python_tasks, row_key, sieve, stored, table, with_text
 
 SHARED = 4
@@ -46,6 +49,8 @@ KEYS, DEPTH = 16, 4
 #: each round.
 SORTINGS, AGREE, ROUNDS = 6, 9, ((1, 1), (2, 6))
 GROUP = 200
+#: Bytes of text in a block of a component, besides ``GROUP`` nodes, and tokens that are compared at once.
+BLOCK_BYTES, AT_ONCE = 4 << 20, 1 << 12
 #: Tokens seen so often are put last, and in a task at least so often to be counted.
 OFTEN, OFTEN_IN_TASK = 32, 2
 FREQUENT = 1 << 20
@@ -251,12 +256,82 @@ def neighbours(nodes: DataFrame, first: int, near: int, far: int) -> DataFrame:
     return ordered.select("node", "comp", "keys").mapInArrow(pairs, "a long, b long")
 
 
+# ---- number of links --------------------------------------------------------------
+
+
+def overlaps(row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
+    """Common tokens of each two of ``rows`` sets."""
+    _, token, count = np.unique(value, return_inverse=True, return_counts=True)
+    place = np.cumsum(count > 1) - 1
+    some = count[token] > 1
+    row, token = row[some], place[token[some]]
+    order = np.argsort(token, kind="stable")
+    row, token = row[order], token[order]
+    out = np.zeros((rows, rows))
+    for first in range(0, int(token[-1]) + 1 if len(token) else 0, AT_ONCE):
+        at = slice(*np.searchsorted(token, [first, first + AT_ONCE]))
+        x = np.zeros((rows, int(token[at.stop - 1]) - first + 1), np.float32)
+        x[row[at], token[at] - first] = 1
+        out += x @ x.T
+    return out
+
+
+def link_counts(comps: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """node, links: with how many documents of other nodes each node of ``comps`` links."""
+    members = comps.join(texts, "node").join(nodes.select("node", "copies"), "node")
+    members = stored(members.select("comp", "node", "copies", "text"), "linked")
+    blocks = members.groupBy("comp").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("long").alias("blocks")
+    )
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    dealt = (
+        members.join(blocks, "comp")
+        .select("comp", "node", "copies", "text", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "copies", "text")
+    )
+
+    def counted(group: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
+        i, j, own, node, copies = (group.column(c).to_numpy() for c in ("i", "j", "own", "node", "copies"))
+        row, value = token_sets(*text_bytes(group.column("text").combine_chunks()), n)
+        size = np.bincount(row, minlength=len(node))
+        place = np.searchsorted(row, edges)
+        out = np.zeros(len(node), np.int64)
+        for a, b, p, q in zip(edges[:-1], edges[1:], place[:-1], place[1:], strict=True):
+            common = overlaps(row[p:q] - a, value[p:q], b - a)
+            union = size[a:b, None] + size[None, a:b] - common
+            link = (union > 0) & (100 * common >= percent * union)
+            if i[a] == j[a]:
+                np.fill_diagonal(link, False)
+            else:
+                link &= own[a:b, None] != own[None, a:b]
+            out[a:b] = link @ copies[a:b]
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(out)], ["node", "links"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
+            if not rows.num_rows:
+                continue
+            key = np.column_stack([rows.column(c).to_numpy() for c in ("comp", "i", "j")])
+            edges = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1])
+            held = rows.slice(edges[-1])
+            if edges[-1]:
+                yield counted(rows.slice(0, edges[-1]), edges)
+        if held is not None:
+            yield counted(held, np.array([0, held.num_rows]))
+
+    ordered = dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
+    return ordered.mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+
+
 # ---- join -----------------------------------------------------------------------
 
 
-def similar_documents(docs: DataFrame, n: int, percent: int) -> DataFrame:
+def similar_documents(docs: DataFrame, n: int, percent: int, count_links: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id of each row; k1, k2, which tell rows apart (see ``row_key``), and
-    comp, equal within a component."""
+    comp, equal within a component; n_links, the number of rows that the row links with. Without ``count_links``
+    there is no n_links, and pairs within a component are not compared."""
     spark = docs.sparkSession
     python_tasks(spark)
     docs = with_text(docs).select("doc_id", "text", *row_key())
@@ -309,7 +384,7 @@ def similar_documents(docs: DataFrame, n: int, percent: int) -> DataFrame:
         docs.mapInArrow(summaries, "doc_id long, k1 long, k2 long, n_shingles long, node long, keys array<long>"), "sets"
     )
     nodes = sets.filter("node is not null").groupBy("node").agg(
-        F.min(F.struct("k1", "k2")).alias("row"), F.min("keys").alias("keys")
+        F.min(F.struct("k1", "k2")).alias("row"), F.min("keys").alias("keys"), F.count(F.lit(1)).alias("copies")
     )
     nodes = stored(nodes, "nodes")
     found = docs.select("doc_id", "text").mapInArrow(postings, "token long, node long, size int")
@@ -363,7 +438,14 @@ def similar_documents(docs: DataFrame, n: int, percent: int) -> DataFrame:
         comps = components(near.unionByName(more))
 
     placed = sets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    placed = stored(placed.select("doc_id", "k1", "k2", "n_shingles", "comp"), "placed")
+    number = []
+    if count_links:
+        number = ["n_links"]
+        counts = stored(link_counts(comps, nodes, texts, n, percent), "counts")
+        placed = placed.join(nodes.select("node", "copies"), "node", "left").join(counts, "node", "left")
+        # texts without words are no node and have no links
+        placed = placed.withColumn("n_links", F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("links", F.lit(0)))
+    placed = stored(placed.select("doc_id", "k1", "k2", "n_shingles", "comp", *number), "placed")
     smallest = placed.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return placed.join(smallest, "comp", "left").select(
         "doc_id",
@@ -372,11 +454,19 @@ def similar_documents(docs: DataFrame, n: int, percent: int) -> DataFrame:
         "k1",
         "k2",
         "comp",
+        *number,
     )
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_documents(table(spark, sf_dir, "documents"), 3, 90).select("doc_id", "n_shingles", "component_id")
+    """The three columns of ``OP7_SQL``. They need components only; ``op7_ngram_jaccard_links`` counts the links too."""
+    docs = table(spark, sf_dir, "documents")
+    return similar_documents(docs, 3, 90, count_links=False).select("doc_id", "n_shingles", "component_id")
+
+
+def op7_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return similar_documents(docs, 3, 90).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 OP7_SQL = r"""
@@ -403,3 +493,8 @@ WITH RECURSIVE w AS (
 )
 SELECT n.doc_id, n.n_shingles, min(r.reach) AS component_id FROM n JOIN r ON r.node = n.doc_id GROUP BY 1, 2
 """
+
+OP7_LINKS_SQL = OP7_SQL[: OP7_SQL.rindex("SELECT n.doc_id")] + r"""
+SELECT n.doc_id, n.n_shingles, min(r.reach) AS component_id, (SELECT count(*) FROM l WHERE l.x = n.doc_id) AS n_links
+FROM n JOIN r ON r.node = n.doc_id GROUP BY 1, 2
+"""

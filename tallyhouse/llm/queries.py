@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": warc.op5_warc,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
+    "op7_ngram_jaccard_links": jaccard.op7_ngram_jaccard_links,
     "op8_pii": pii.op8_pii,
     "op9_packing": packing.op9_packing,
     "op10_ann": ann.op10_ann,
@@ -24,4 +25,5 @@ ORACLES: dict[str, str] = {
     "op1_suffix_dedup": repeats.OP1_SQL,
     "op5_warc": warc.OP5_SQL,
     "op7_ngram_jaccard": jaccard.OP7_SQL,
+    "op7_ngram_jaccard_links": jaccard.OP7_LINKS_SQL,
 }

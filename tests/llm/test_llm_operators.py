@@ -257,6 +257,26 @@ def test_join_matches_brute_force(spark, n, percent):
     assert sorted(str(tuple(r)) for r in got) == want
 
 
+@pytest.mark.parametrize(("n", "percent", "group"), [(3, 90, 7), (5, 80, 200)])
+def test_join_counts_links_within_components(spark, monkeypatch, n, percent, group):
+    monkeypatch.setattr(jaccard, "GROUP", group)
+    rng = np.random.default_rng(n)
+    docs = list(DOCS)
+    for base in range(3):
+        ws = [f"b{base}w{i}" for i in range(60)]
+        for i in range(40):
+            copy = list(ws)
+            for _ in range(int(rng.integers(0, 4))):
+                copy[int(rng.integers(60))] = f"e{rng.integers(9)}"
+            docs.append((100 * (base + 1) + i, " ".join(copy)))
+    sets = [shingles(t, n) for _, t in docs]
+    alike = lambda s, t: s | t and 100 * len(s & t) >= percent * len(s | t)
+    want = [sum(bool(alike(s, t)) for y, t in enumerate(sets) if x != y) for x, s in enumerate(sets)]
+    got = jaccard.similar_documents(frame(spark, docs), n, percent).select("doc_id", "n_shingles", "n_links").collect()
+    assert sorted(str(tuple(r)) for r in got) == sorted(str((i, len(s), w)) for (i, _), s, w in zip(docs, sets, want, strict=True))
+    assert max(want) > 10
+
+
 def test_join_of_nothing(spark):
     assert jaccard.similar_documents(frame(spark, []), 3, 90).collect() == []
 
