@@ -118,23 +118,29 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int)
     return edits, place[cost == edits]
 
 
-def verify(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
-    """Start, end and edits of an occurrence on these diagonals, if it is within the budget."""
+def places(needle: bytes, text: bytes) -> Iterator[int]:
+    """Where ``needle`` begins in ``text``, overlapping occurrences included."""
+    at = text.find(needle)
+    while at >= 0:
+        yield at
+        at = text.find(needle, at + 1)
+
+
+def verify(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int) -> list[tuple[int, int, int]]:
+    """Start, end and edits of occurrences on these diagonals: all exact ones, or else the best within the budget."""
     a, b = max(0, low), min(len(text), high + len(item))
     part = text[a:b]
-    exact = part.tobytes().find(item.tobytes())
-    if exact >= 0:
-        return a + exact, a + exact + len(item), 0
-    if not budget:
-        return None
+    exact = [(a + at, a + at + len(item), 0) for at in places(item.tobytes(), part.tobytes())]
+    if exact or not budget:
+        return exact
     edits, ends = align(item, text, low, high, budget)
     if edits > budget:
-        return None
+        return []
     end = int(ends[0])
     # backwards from the end
     back = text[max(0, end - len(item) - budget) : end][::-1]
     again, starts = align(item[::-1], back, -budget, budget, budget)
-    return end - int(starts[0]), end, min(edits, again)
+    return [(end - int(starts[0]), end, min(edits, again))]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE) -> DataFrame:
@@ -159,15 +165,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
                 best: dict[tuple[int, int, int], tuple[int, int]] = {}
                 for row, item, low, high in block.regions(data, off):
                     text = data[off[row] : off[row + 1]]
-                    got = verify(block.texts[item], text, low, high, int(block.budget[item]))
-                    if got:
-                        start, end, edits = got
+                    for start, end, edits in verify(block.texts[item], text, low, high, int(block.budget[item])):
                         best[row, item, end] = min(best.get((row, item, end), (edits, start)), (edits, start))
                 for item in block.short:
                     needle = block.texts[item].tobytes()
                     for row in range(part.num_rows):
-                        start = data[off[row] : off[row + 1]].tobytes().find(needle)
-                        if start >= 0:
+                        for start in places(needle, data[off[row] : off[row + 1]].tobytes()):
                             best[row, item, start + len(needle)] = (0, start)
                 if best:
                     keys = sorted(best)

@@ -86,6 +86,14 @@ def test_decontamination_finds_edits_within_budget(spark):
     assert decontaminate.contaminated(frame(spark, docs), bench.limit(0)).isEmpty()
 
 
+def test_decontamination_reports_every_exact_place(spark):
+    bench = spark.createDataFrame([(1, "tiny"), (2, "aa"), (3, "ab" * 12)], "item_id long, text string")
+    docs = [(1, "tiny and TINY, tiny"), (2, "x aaaa"), (3, "ab" * 14)]
+    got = decontaminate.contaminated(frame(spark, docs), bench).filter("edits = 0").collect()
+    want = [(1, 1, 0), (1, 1, 9), (1, 1, 15), (2, 2, 2), (2, 2, 3), (2, 2, 4), (3, 3, 0), (3, 3, 2), (3, 3, 4)]
+    assert sorted((r["doc_id"], r["item_id"], r["start"]) for r in got) == want
+
+
 # ---- 3 and 6: classifiers -----------------------------------------------------------
 
 
