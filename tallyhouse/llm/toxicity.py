@@ -14,7 +14,6 @@ whole.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -99,11 +98,11 @@ class Lexicon:
 
 def learn(rows: list[tuple[str, int]], exceptions: Iterable[str] = ()) -> Lexicon:
     """Lexicon, exceptions and logistic function from texts and labels."""
-    # copies and near copies prove nothing new: of texts with the same smallest word hashes one is enough
+    # copies prove nothing new: of texts with the same set of words one is enough
     one_each = {}
     for t, y in sorted(rows):
         ws = WORD.findall(fold(t))
-        one_each.setdefault((y, *sorted(zlib.crc32(w.encode()) for w in set(ws))[:3]), (t, ws))
+        one_each.setdefault((y, frozenset(ws)), (t, ws))
     rows = [(t, key[0]) for key, (t, _) in one_each.items()]
     texts = [(ws, key[0]) for key, (_, ws) in one_each.items()]
     n = Counter(y for _, y in texts)

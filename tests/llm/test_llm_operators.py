@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -138,6 +139,17 @@ def test_toxicity_folds_disguises_and_spares_exceptions(spark):
     assert toxicity.learn([]).score(3.0) < 0.5
 
 
+def test_toxicity_learns_from_texts_that_share_their_smallest_hashes():
+    names = [f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in ("nter", "rdin", "lsom", "vang", "zzel", "ctop")]
+    names.sort(key=lambda w: zlib.crc32(w.encode()))
+    shared, plain = " ".join(names[:3]), names[3:]
+    rng = np.random.default_rng(2)
+    clean = [(f"{shared} {words(rng, plain, 20)}", 0) for _ in range(150)]
+    toxic = [(f"{shared} {words(rng, plain, 20)} grumblefoo", 1) for _ in range(60)]
+    lexicon = toxicity.learn(clean + toxic)
+    assert any("grumblefoo".startswith(e) for e in [*lexicon.stems, *lexicon.whole])
+
+
 # ---- 4: secrets ---------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
