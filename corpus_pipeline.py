@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallyhouse.llm import decontaminate, jaccard, packing, pii, quality
 from tallyhouse.llm.common import DOCUMENT, row_key, stored, table, with_text
@@ -28,15 +27,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     of equal ids the row with the smallest hash."""
     groups = jaccard.similar_documents(docs, 5, 80, count_links=False)
     row = F.struct("doc_id", "k1", "k2")
-    # copies of one row share all of its keys, so the first of them in the file stays
-    keep = groups.filter("n_shingles > 0").groupBy("comp").agg(F.min(row).alias("row")).select("row.k1", "row.k2")
-    alone = groups.filter("n_shingles = 0").select("k1", "k2")
-    keep = stored(keep.withColumn("once", F.lit(True)).unionByName(alone.withColumn("once", F.lit(False)).distinct()), "keep")
+    # copies of one row share all of its keys, so the first of them in order of the other columns stays
+    keep = stored(groups.filter("n_shingles > 0").groupBy("comp").agg(F.min(row).alias("row")).select("row.k1", "row.k2"), "keep")
     keyed = docs.select(*DOCUMENT).withColumn("text", F.coalesce("text", F.lit(""))).select("*", *row_key())
-    found = keyed.join(keep, ["k1", "k2"])
-    # rows that are equal in every key are copies
-    first = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("n_chars", "lang", "source"))
-    return found.withColumn("copy", first).filter("copy = 1 or not once").select(*DOCUMENT)
+    has_words = F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    # a third of the rows may be equal: each task keeps one of them before anything is shuffled
+    first = F.min(F.struct("n_chars", "lang", "source", "doc_id", "text")).alias("row")
+    one_each = keyed.filter(has_words).groupBy("k1", "k2").agg(first).join(keep, ["k1", "k2"], "leftsemi")
+    return one_each.select(*[f"row.{c}" for c in DOCUMENT]).unionByName(keyed.filter(~has_words).select(*DOCUMENT))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,6 +43,17 @@ def test_near_copies_are_brute_force_representatives(stages):
     assert sorted(r["doc_id"] for r in stages[2].collect()) == sorted(set(group.values()))
 
 
+def test_equal_rows_need_no_window(spark):
+    text = "a b c d e f g"
+    docs = [(1, text), (1, text), (2, "other words in this one here"), (3, text)]
+    docs += [(None, None), (None, ""), (None, ""), (4, " \n"), (4, " \n"), (None, "x y"), (None, "x y")]
+    given = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_copies(spark, given, SMALL)
+    want = [(1, text), (2, docs[2][1]), *[(None, "")] * 3, *[(4, " \n")] * 2, (None, "x y")]
+    assert sorted(str((r["doc_id"], r["text"])) for r in got.collect()) == sorted(map(str, want))
+    assert "Window" not in got._jdf.queryExecution().toString()
+
+
 def test_no_benchmark_and_no_personal_data_left(spark, stages):
     bench = [r["text"].lower() for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     after = {r["doc_id"] for r in stages[3].collect()}
