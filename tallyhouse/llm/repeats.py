@@ -6,19 +6,18 @@ with the same trigger form a phrase: the bytes from the start of the first to th
 200 bytes and more, no phrase is a prefix of another with the same trigger unless they are equal, and their length is
 bounded by construction. Equal phrases are one entry of the dictionary, however often the parse repeats them.
 
-Corpus order, to the depth of 200 bytes. Suffixes that start in a phrase are sorted by the dictionary first: the bytes
-from the trigger on (the core, which all windows of a phrase share) decide most of it.
+No suffix array is built and nothing is sorted: only equality to the depth of 200 bytes is asked for, so strings are
+grouped by hash. The bytes from the trigger on (the core, which all windows of a phrase share) decide most of it.
 
 1. A core that occurs once cannot be part of a repeated window: its phrase is dropped. This is most of unique text.
 2. A phrase that the parse holds twice repeats as a whole: all of its windows are removed without looking inside.
 3. What is left are dictionary entries that occur once, whose core occurs in other entries too, as at the edges of a
    copied passage. Only these, and one occurrence of the entries that they meet, are cut into blocks of ``BLOCK`` windows
    by their offset from the trigger, and steps 1 and 2 are repeated with blocks for phrases.
-4. Blocks that are still unclear are expanded into suffixes; suffixes of equal order to that depth are neighbours, and
-   both are repeats.
+4. Blocks that are still unclear are expanded into windows of 200 bytes; windows with the same hash are repeats.
 
-Orders are kept as hashes, 64 bits for cores and phrases together with each other and 128 bits for suffixes, so equal
-strings meet by shuffles with partial counts, and a passage that a third of the documents share costs one row per task.
+Hashes have 64 bits for cores and phrases together with each other and 128 bits for windows. Equal strings meet by
+shuffles with partial counts, and a passage that a third of the documents share costs one row per task.
 
 Documents are bytes of UTF-8. Null texts count as empty. Documents below 200 bytes keep everything. Copies, also those
 with the same doc_id, count as elsewhere, and are rows of the result each. Empty tables give no rows. Texts are parsed
