@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, collocations, decontaminate, jaccard, packing, pii, quality, repeats, secret_scan, toxicity, warc
+from . import ann, collocations, decontaminate, jaccard, license_scan, packing, pii, quality, repeats, secret_scan, spelling, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": repeats.op1_suffix_dedup,
@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": pii.op8_pii,
     "op9_packing": packing.op9_packing,
     "op10_ann": ann.op10_ann,
+    "op11_license_scan": license_scan.op11_license_scan,
+    "op12_spelling": spelling.op12_spelling,
     "op13_collocations": collocations.op13_collocations,
 }
 ORACLES: dict[str, str] = {
@@ -27,5 +29,6 @@ ORACLES: dict[str, str] = {
     "op5_warc": warc.OP5_SQL,
     "op7_ngram_jaccard": jaccard.OP7_SQL,
     "op7_ngram_jaccard_links": jaccard.OP7_LINKS_SQL,
+    "op12_spelling": spelling.OP12_SQL,
     "op13_collocations": collocations.OP13_SQL,
 }
