@@ -21,10 +21,10 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,29 +34,41 @@ from .common import passes, python_tasks, sieve, stored, table
 
 #: Words of the longest phrase, occurrences of a candidate, percentage of occurrences within a longer one that drops it.
 WORDS, LEAST, COVERED, TOP = 3, 10, 50, 2000
-#: Words that a task sorts at once, and bytes of a text that are split at once.
-BLOCK, SLICE = 2_000_000, 1 << 22
+#: Bytes of text that a task sorts at once.
+BLOCK = 12 << 20
 #: Bytes after folding: A-Z in lower case, piece separators as line feeds, tabs as spaces.
 FOLD = bytes.maketrans(
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + b".,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" "
 )
 #: Ids of a piece's end and of nothing.
 END, NONE = 0, 1
-COUNTED = "lang string, phrase string, n long"
+COUNTED = "key string, n long"
 SALTS = 64
 
 
-def numbered(text: bytes, number: dict[bytes, int]) -> np.ndarray:
-    """Word ids of a folded text, with END behind each piece."""
-    parts, at = [], 0
-    while at < len(text):
-        cut = re.compile(rb"[ \n]").search(text, at + SLICE)  # a word is never cut
-        end = cut.start() if cut else len(text)
-        tokens = text[at:end].replace(b"\n", b" \n ").split(b" ")
-        ids = np.fromiter(map(number.__getitem__, tokens), np.int32, len(tokens))
-        parts.append(ids[ids != NONE])
-        at = end
-    return np.concatenate([*parts, np.zeros(1, np.int32)])
+def numbered(own: bytes, beyond: bytes = b"") -> tuple[np.ndarray, int, list[bytes]]:
+    """Word ids of folded texts with END behind each piece, how many of them belong to ``own``, and the words by id."""
+    parts = [b"\n  " + own.replace(b"\n", b" \n "), beyond.replace(b"\n", b" \n ")]
+    lists = pc.split_pattern(pa.array(parts, pa.large_binary()), b" ")
+    coded = lists.flatten().dictionary_encode()
+    ids = coded.indices.to_numpy()
+    real = ids != NONE
+    return np.append(ids[real], np.int32(END)), int(real[: lists.offsets[1].as_py()].sum()), coded.dictionary.to_pylist()
+
+
+def blocks(texts: list[bytes], beyond: int) -> Iterator[tuple[bytes, bytes]]:
+    """The texts as one, and what follows for phrases that end ``beyond`` words later; a long text in several blocks."""
+    short = [t for t in texts if len(t) <= BLOCK]
+    if short:
+        yield b"\n".join(short), b""
+    gap, words = re.compile(rb"[ \n]"), re.compile(rb"(?:[ \n]*[^ \n]+){0,%d}" % beyond)
+    for text in texts:
+        at = 0
+        while len(text) > BLOCK and at < len(text):
+            cut = gap.search(text, at + BLOCK)  # a word is never cut
+            end = cut.start() if cut else len(text)
+            yield text[at:end], words.match(text, end).group()
+            at = end
 
 
 def quicksort(ids: np.ndarray, pointers: np.ndarray, sizes: np.ndarray, depth: int, deepest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,26 +120,20 @@ def quicksort(ids: np.ndarray, pointers: np.ndarray, sizes: np.ndarray, depth: i
 
 def counted(
     ids: np.ndarray, own: int, names: list[bytes], lang: bytes, sieves: list[np.ndarray]
-) -> tuple[list[bytes | None], np.ndarray]:
+) -> tuple[list[bytes], np.ndarray]:
     """Phrases of ``len(sieves) + 1`` words that begin at the first ``own`` of the ids, and their counts; for words also
-    how many there are in all."""
+    how many there are in all, under the empty phrase. The language stands before each phrase, in a line of its own."""
     sizes = np.bincount(ids if sieves else ids[:own], minlength=len(names))
     sizes[[END, NONE]] = 0
+    here = np.flatnonzero(sizes)
+    lead = lang + b"\n"
     if not sieves:
-        here = np.flatnonzero(sizes)
-        return [None, *[names[i] for i in here]], np.append(sizes.sum(), sizes[here])
-
-    def frequent(phrases: list[bytes], bitmap: np.ndarray) -> np.ndarray:
-        hashes = [xxhash.xxh64_intdigest(lang + b"\n" + p, 42) for p in phrases]
-        return passes(bitmap, np.array(hashes, np.uint64))
-
-    def spelled(pointers: np.ndarray, words: int) -> list[bytes]:
-        columns = [map(names.__getitem__, ids[pointers + d].tolist()) for d in range(words)]
-        return list(map(b" ".join, zip(*columns, strict=True)))
+        return [lead, *[lead + names[i] for i in here]], np.append(sizes.sum(), sizes[here])
 
-    here = np.flatnonzero(sizes)
+    hashes = np.zeros(len(names), np.uint64)
+    hashes[here] = [xxhash.xxh64_intdigest(lead + names[i], 42) for i in here]
     known = np.zeros(len(names), bool)
-    known[here] = frequent([names[i] for i in here], sieves[0])
+    known[here] = passes(sieves[0], hashes[here])
     good = known[ids]
     deepest = len(sieves) + 1
     ids = np.append(ids, np.zeros(deepest, ids.dtype))
@@ -135,14 +141,13 @@ def counted(
     pointers = np.flatnonzero(good[:-1] & good[1:])
     pointers = pointers[pointers < own + deepest - 2]
     sizes = np.array([len(pointers)] if len(pointers) else [], np.int64)
-    depth = 0
-    for words in range(2, deepest + 1):
-        pointers, sizes = quicksort(ids, pointers, sizes, depth, words)
-        depth = words
-        phrases = spelled(pointers[np.cumsum(sizes) - sizes], words)
-        if words == deepest:
-            return phrases, sizes
-        go = np.repeat(frequent(phrases, sieves[words - 1]), sizes)
+    for words in range(2, deepest):
+        pointers, sizes = quicksort(ids, pointers, sizes, words - 1 if words > 2 else 0, words)
+        first = pointers[np.cumsum(sizes) - sizes]
+        h = hashes[ids[first]]
+        for d in range(1, words):
+            h = (h << np.uint64(1) | h >> np.uint64(63)) ^ hashes[ids[first + d]]
+        go = np.repeat(passes(sieves[words - 1], h), sizes)
         good = np.zeros(len(ids), bool)
         good[pointers[go]] = True
         # the longer phrase has to end in frequent words as well
@@ -150,47 +155,41 @@ def counted(
         part = np.repeat(np.arange(len(sizes)), sizes)[go]
         pointers, sizes = pointers[go], np.bincount(part, minlength=len(sizes))
         sizes = sizes[sizes > 0]
-    raise AssertionError("not reached")
+    pointers, sizes = quicksort(ids, pointers, sizes, deepest - 1 if deepest > 2 else 0, deepest)
+    first = pointers[np.cumsum(sizes) - sizes]
+    heads = [lead + n for n in names]
+    columns = [map((names if d else heads).__getitem__, ids[first + d].tolist()) for d in range(deepest)]
+    return list(map(b" ".join, zip(*columns, strict=True))), sizes
+
+
+def phrase_hash() -> Column:
+    """The hash of a phrase in the tasks: those of its words with their language, rotated and mixed."""
+    words = F.transform(F.split("phrase", " ", -1), lambda w: F.xxhash64(F.concat("lang", F.lit("\n"), w)))
+    return F.reduce(F.slice(words, 2, 1 << 20), words[0], lambda h, w: F.shiftleft(h, 1).bitwiseOR(F.shiftrightunsigned(h, 63)).bitwiseXOR(w))
 
 
 def local_counts(texts: DataFrame, sieves: list[np.ndarray]) -> DataFrame:
-    """lang, phrase, n: counts by task of phrases of ``len(sieves) + 1`` words; the phrase null counts all words."""
+    """key (language, line feed, phrase), n: counts by task of phrases of ``len(sieves) + 1`` words."""
     sent = texts.sparkSession.sparkContext.broadcast(sieves)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number: dict[bytes, int] = defaultdict(count().__next__)
-        held: dict[str, list[np.ndarray]] = defaultdict(list)
+        held: dict[str, list[bytes]] = defaultdict(list)
         size = 0
 
-        def empty() -> None:
-            number.clear()
-            number.default_factory = count().__next__
-            assert (number[b"\n"], number[b""]) == (END, NONE)
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, folded in held.items():
+                for own, beyond in blocks(folded, len(sent.value)):
+                    ids, n_own, names = numbered(own, beyond)
+                    phrases, n = counted(ids, n_own, names, lang.encode(), sent.value)
+                    keys = pa.array(phrases, pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64())], ["key", "n"])
             held.clear()
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            names, beyond = list(number), len(sent.value)
-            for lang, parts in held.items():
-                ids = np.concatenate(parts)
-                for at in range(0, len(ids), BLOCK):
-                    # phrases that begin in the block may end beyond it
-                    own = min(BLOCK, len(ids) - at)
-                    phrases, n = counted(ids[at : at + own + beyond], own, names, lang.encode(), sent.value)
-                    if len(phrases):
-                        text = pa.array(phrases, pa.binary()).cast(pa.string())
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([lang]).take(pa.array(np.zeros(len(n), np.int64))), text, pa.array(n, pa.int64())],
-                            ["lang", "phrase", "n"],
-                        )
-            empty()
-
-        empty()
         for part, data, off in chunks(batches):
             raw = data.tobytes().translate(FOLD)
             for i, lang in enumerate(part.column(part.schema.get_field_index("lang")).to_pylist()):
-                ids = numbered(raw[off[i] : off[i + 1]], number)
-                held[lang].append(ids)
-                size += len(ids)
+                held[lang].append(raw[off[i] : off[i + 1]])
+            size += len(raw)
             if size >= BLOCK:
                 yield from flush()
                 size = 0
@@ -207,11 +206,11 @@ def phrase_counts(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> li
     out: list[DataFrame] = []
     sieves: list[np.ndarray] = []
     for size in range(1, words + 1):
-        total = local_counts(texts, sieves).groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
-        out.append(stored(total.filter((F.col("f") >= least) | F.col("phrase").isNull()), f"phrases{size}"))
+        total = local_counts(texts, sieves).groupBy("key").agg(F.sum("n").alias("f")).withColumn("phrase", F.substring_index("key", "\n", -1))
+        total = total.filter((F.col("f") >= least) | (F.col("phrase") == "")).withColumn("lang", F.expr("left(key, char_length(key) - char_length(phrase) - 1)"))
+        out.append(stored(total.select("lang", F.nullif("phrase", F.lit("")).alias("phrase"), "f"), f"phrases{size}"))
         if size < words:
-            hashed = out[-1].filter("phrase is not null").select(F.xxhash64(F.concat("lang", F.lit("\n"), "phrase")).alias("h"))
-            sieves.append(sieve(hashed, "h"))
+            sieves.append(sieve(out[-1].filter("phrase is not null").select(phrase_hash().alias("h")), "h"))
     return out
 
 

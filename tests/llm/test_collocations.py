@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import xxhash
 from tallyhouse.llm import collocations as colloc
 
 SCHEMA = "doc_id long, text string, lang string, phrase string, n int, rank int"
@@ -61,42 +62,33 @@ def test_collocations_match_brute_force(spark):
     assert rows_of(colloc.collocations(frame(spark, []))) == []
 
 
-def test_blocks_and_slices_lose_no_phrase(monkeypatch):
-    number = {b"\n": 0, b"": 1}
-
-    class Ids(dict):
-        def __missing__(self, word):
-            self[word] = len(self)
-            return self[word]
-
+def test_blocks_lose_no_phrase(monkeypatch):
     rng = np.random.default_rng(5)
-    text = b" ".join(rng.choice([b"ab", b"c", b"dd", b"e\n"], 3000))
-    whole = colloc.numbered(text, Ids(number))
-    monkeypatch.setattr(colloc, "SLICE", 7)
-    assert (colloc.numbered(text, Ids(number)) == whole).all()
+    text = b" ".join(rng.choice([b"ab", b"c", b"dd", b"e\n", b""], 3000))
+    parts = [p.split() for p in text.split(b"\n")]
+    ids, own, names = colloc.numbered(text)
+    assert (names[0], names[1], own) == (b"\n", b"", len(ids) - 1)
     for deepest in (2, 3):
-        every = np.flatnonzero(whole != 0)
-        padded = np.append(whole, np.zeros(deepest, whole.dtype))
+        every = np.flatnonzero(ids != 0)
+        padded = np.append(ids, np.zeros(deepest, ids.dtype))
         pointers, sizes = colloc.quicksort(padded, every, np.array([len(every)]), 0, deepest)
-        got = Counter({tuple(padded[p : p + deepest].tolist()): int(n) for p, n in zip(pointers[np.cumsum(sizes) - sizes], sizes, strict=True)})
-        parts = [p.split() for p in text.split(b"\n")]
-        ids = Ids(number)
-        colloc.numbered(text, ids)
-        want = Counter(tuple(ids[w] for w in p[i : i + deepest]) for p in parts for i in range(len(p) - deepest + 1))
+        got = Counter({b" ".join(names[i] for i in padded[p : p + deepest]): int(n) for p, n in zip(pointers[np.cumsum(sizes) - sizes], sizes, strict=True)})
+        want = Counter(b" ".join(p[i : i + deepest]) for p in parts for i in range(len(p) - deepest + 1))
         assert got == want
-    # all bits set: every phrase passes
-    names = list(ids)
-    everything = [np.ones(64, bool)] * 2
-    total = Counter()
-    for at in range(0, len(whole), 100):
-        own = min(100, len(whole) - at)
-        phrases, n = colloc.counted(whole[at : at + own + 2], own, names, b"en", everything)
-        total.update(dict(zip(phrases, n.tolist(), strict=True)))
-    assert total == Counter({b" ".join(names[i] for i in k): v for k, v in want.items()})
-
-
-def test_a_frequent_word_is_hashed_alike_in_tasks_and_tables(spark):
-    import xxhash
-
-    row = spark.sql("select xxhash64(concat('fr', '\n', 'été où')) as h").first()
-    assert xxhash.xxh64_intdigest("fr\nété où".encode(), 42) == row["h"] % (1 << 64)
+    everything = [np.ones(64, bool)] * 2  # all bits set: every phrase passes
+    for size in (1, 40, 1 << 20):
+        monkeypatch.setattr(colloc, "BLOCK", size)
+        total = Counter()
+        for own, beyond in colloc.blocks([text, text, b""], 2):
+            phrases, n = colloc.counted(*colloc.numbered(own, beyond), b"en", everything)
+            total.update(dict(zip(phrases, n.tolist(), strict=True)))
+        assert total == Counter({b"en\n" + k: 2 * v for k, v in want.items()})
+
+
+def test_phrases_are_hashed_alike_in_tasks_and_tables(spark):
+    words = ["été", "où", "", "x"]
+    h = 0
+    for w in words:
+        h = ((h << 1 | h >> 63) % (1 << 64)) ^ xxhash.xxh64_intdigest(f"fr\n{w}".encode(), 42)
+    row = spark.createDataFrame([("fr", " ".join(words))], "lang string, phrase string").select(colloc.phrase_hash()).first()
+    assert row[0] % (1 << 64) == h
