@@ -138,7 +138,7 @@ def found_near(rows: pd.DataFrame) -> pd.DataFrame:
     out = []
     for left in (True, False):
         here = np.flatnonzero(asked & (rows["left"].to_numpy() == left))
-        which = number[rows["word"].iloc[here]].to_numpy()
+        which = number[rows["word"].iloc[here]].to_numpy(np.int64)
         query, word = index.near(which, left)
         own = word < len(names)
         query, word = query[own], word[own]
@@ -149,8 +149,8 @@ def found_near(rows: pd.DataFrame) -> pd.DataFrame:
             # those that share the left half are found there
             apart = [not every[v].startswith(every[w][: len(every[w]) // 2]) for w, v in zip(which[query], word, strict=True)]
             query, word = query[np.array(apart, bool)], word[np.array(apart, bool)]
-        out.append(pd.DataFrame({"w": which[query], "v": word}))
-    pairs = pd.concat(out)
+        out.append(pd.DataFrame({"w": which[query], "v": word}, dtype=np.int64))
+    pairs = pd.concat(out, ignore_index=True)
     pairs["n"] = n[pairs["v"].to_numpy()]
     # words are numbered in code-point order
     best = pairs.sort_values(["w", "n", "v"], ascending=[True, False, True]).groupby("w").agg(n_near=("v", "size"), form_n=("n", "first"), v=("v", "first"))
@@ -174,7 +174,9 @@ def near_words(words: DataFrame, group: int = GROUP, task: int = TASK) -> DataFr
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [b for b in batches if len(b)]
         if rows:
-            yield found_near(pd.concat(rows, ignore_index=True))
+            found = found_near(pd.concat(rows, ignore_index=True))
+            if len(found):
+                yield found
 
     found = routed(words, group).repartition(tasks, "half").mapInPandas(run, FOUND)
     best = F.min(F.struct((-F.col("form_n")).alias("less"), "form")).alias("best")

@@ -40,7 +40,7 @@ def fewest(notice, words):
 TEXTS = [
     (1, None), (2, ""), (3, " .,;-_ "), (4, "Licensed under the Apache License, Version 2.0."), (5, "MIT_License MIT-LICENSE mit license"),
     (6, "cc by cc BY cc\nby"), (7, "permit license; summit license x"), (8, "GNU General  Public\tLicense, and the gnu general public license"),
-    (9, "Relaesed under teh MIT Lisence"), (10, "released under the bsd license"), (11, "Licensed under CC BY-NC 4.0."), (11, "Licensed under CC BY-NC 4.0."),
+    (9, "Relesed under the MIT Licence"), (10, "released under the bsd license"), (11, "Licensed under CC BY-NC 4.0."), (11, "Licensed under CC BY-NC 4.0."),
     (None, "éMIT License 文 MIT License"), (12, "word " * 40_000 + "Mozila Public Licence" + " word" * 40_000), (13, "license " * 20_000),
     (14, "Permission is hereby granted, free of charge, to any persons obtaning a copy of this sofware"), (15, "mit license" * 30),
 ]

@@ -53,7 +53,7 @@ def rows_of(df):
 def texts():
     rng = np.random.default_rng(12)
     letters = list("abcé")
-    base = ["".join(rng.choice(letters, int(rng.integers(6, 9)))) for _ in range(25)]
+    base = ["".join(rng.choice(letters, int(rng.integers(6, 9)))) for _ in range(60)]
     words = set(base)
     for w in base:
         for _ in range(6):
@@ -61,7 +61,7 @@ def texts():
             words.add((w[:i] + c + w[i:], w[:i] + w[i + 1 :], w[:i] + c + w[i + 1 :])[kind])
     some = sorted(words)
     weight = rng.pareto(0.7, len(some)) + 0.2
-    rows = [(i, " ".join(rng.choice(some, 120, p=weight / weight.sum()))) for i in range(160)]
+    rows = [(i, " ".join(rng.choice(some, 120, p=weight / weight.sum()))) for i in range(400)]
     return [*rows, (None, rows[0][1]), (None, None), (900, ""), (901, None), (902, "short ab " + "Été" * 5 + "x×÷" * 4), (903, "z" * 9000 + " " + "z" * 8999), (0, rows[0][1].upper()),
             *[(904 + i, "z" * 9000 + "," + "z" * 8999 + "-THE_ABCABC") for i in range(5)]]
 
