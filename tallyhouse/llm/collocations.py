@@ -34,8 +34,8 @@ from .common import passes, python_tasks, sieve, stored, table
 
 #: Words of the longest phrase, occurrences of a candidate, percentage of occurrences within a longer one that drops it.
 WORDS, LEAST, COVERED, TOP = 3, 10, 50, 2000
-#: Bytes of text that a task sorts at once.
-BLOCK = 12 << 20
+#: Bytes of text that a task sorts at once, and phrases that leave it at once.
+BLOCK, GIVEN = 8 << 20, 1 << 17
 #: Bytes after folding: A-Z in lower case, piece separators as line feeds, tabs as spaces.
 FOLD = bytes.maketrans(
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + b".,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" "
@@ -79,10 +79,10 @@ def quicksort(ids: np.ndarray, pointers: np.ndarray, sizes: np.ndarray, depth: i
     before ``deepest`` words are left out. ``ids`` has at least ``deepest`` ENDs at its end.
     """
     ready, ready_sizes = [pointers[:0]], [sizes[:0]]
-    deep = np.full(len(sizes), depth)
+    deep = np.full(len(sizes), depth, np.int32)
     while len(sizes):
         first = np.cumsum(sizes) - sizes
-        part = np.repeat(np.arange(len(sizes)), sizes)
+        part = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         key = ids[pointers + deep[part]]
         a, b, c = key[first], key[first + sizes // 2], key[first + sizes - 1]
         pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))
@@ -90,7 +90,7 @@ def quicksort(ids: np.ndarray, pointers: np.ndarray, sizes: np.ndarray, depth: i
         cell = part * 3 + side
         new = np.bincount(cell, minlength=3 * len(sizes))
         begin = np.cumsum(new) - new
-        place = np.empty(len(pointers), np.int64)
+        place = np.empty(len(pointers), np.int32)
         for s in range(3):
             here = np.flatnonzero(side == s)
             run = np.cumsum(new[s::3]) - new[s::3]  # members of this side in earlier parts
@@ -120,7 +120,7 @@ def quicksort(ids: np.ndarray, pointers: np.ndarray, sizes: np.ndarray, depth: i
 
 def counted(
     ids: np.ndarray, own: int, names: list[bytes], lang: bytes, sieves: list[np.ndarray]
-) -> tuple[list[bytes], np.ndarray]:
+) -> Iterator[tuple[list[bytes], np.ndarray]]:
     """Phrases of ``len(sieves) + 1`` words that begin at the first ``own`` of the ids, and their counts; for words also
     how many there are in all, under the empty phrase. The language stands before each phrase, in a line of its own."""
     sizes = np.bincount(ids if sieves else ids[:own], minlength=len(names))
@@ -128,7 +128,8 @@ def counted(
     here = np.flatnonzero(sizes)
     lead = lang + b"\n"
     if not sieves:
-        return [lead, *[lead + names[i] for i in here]], np.append(sizes.sum(), sizes[here])
+        yield [lead, *[lead + names[i] for i in here]], np.append(sizes.sum(), sizes[here])
+        return
 
     hashes = np.zeros(len(names), np.uint64)
     hashes[here] = [xxhash.xxh64_intdigest(lead + names[i], 42) for i in here]
@@ -138,7 +139,7 @@ def counted(
     deepest = len(sieves) + 1
     ids = np.append(ids, np.zeros(deepest, ids.dtype))
     good = np.append(good, np.zeros(deepest, bool))
-    pointers = np.flatnonzero(good[:-1] & good[1:])
+    pointers = np.flatnonzero(good[:-1] & good[1:]).astype(np.int32)
     pointers = pointers[pointers < own + deepest - 2]
     sizes = np.array([len(pointers)] if len(pointers) else [], np.int64)
     for words in range(2, deepest):
@@ -158,8 +159,10 @@ def counted(
     pointers, sizes = quicksort(ids, pointers, sizes, deepest - 1 if deepest > 2 else 0, deepest)
     first = pointers[np.cumsum(sizes) - sizes]
     heads = [lead + n for n in names]
-    columns = [map((names if d else heads).__getitem__, ids[first + d].tolist()) for d in range(deepest)]
-    return list(map(b" ".join, zip(*columns, strict=True))), sizes
+    for at in range(0, len(first), GIVEN):
+        some = first[at : at + GIVEN]
+        columns = [map((names if d else heads).__getitem__, ids[some + d].tolist()) for d in range(deepest)]
+        yield list(map(b" ".join, zip(*columns, strict=True))), sizes[at : at + GIVEN]
 
 
 def phrase_hash() -> Column:
@@ -180,9 +183,9 @@ def local_counts(texts: DataFrame, sieves: list[np.ndarray]) -> DataFrame:
             for lang, folded in held.items():
                 for own, beyond in blocks(folded, len(sent.value)):
                     ids, n_own, names = numbered(own, beyond)
-                    phrases, n = counted(ids, n_own, names, lang.encode(), sent.value)
-                    keys = pa.array(phrases, pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64())], ["key", "n"])
+                    for phrases, n in counted(ids, n_own, names, lang.encode(), sent.value):
+                        keys = pa.array(phrases, pa.binary()).cast(pa.string())
+                        yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64())], ["key", "n"])
             held.clear()
 
         for part, data, off in chunks(batches):

@@ -80,8 +80,8 @@ def test_blocks_lose_no_phrase(monkeypatch):
         monkeypatch.setattr(colloc, "BLOCK", size)
         total = Counter()
         for own, beyond in colloc.blocks([text, text, b""], 2):
-            phrases, n = colloc.counted(*colloc.numbered(own, beyond), b"en", everything)
-            total.update(dict(zip(phrases, n.tolist(), strict=True)))
+            for phrases, n in colloc.counted(*colloc.numbered(own, beyond), b"en", everything):
+                total.update(dict(zip(phrases, n.tolist(), strict=True)))
         assert total == Counter({b"en\n" + k: 2 * v for k, v in want.items()})
 
 
