@@ -154,36 +154,66 @@ def read_csv_files(spark: SparkSession, entity: Entity, paths: list[str]) -> Dat
     return stack(parts)
 
 
+def nested_text(value: Column) -> Column:
+    """A variant as text: plain values as they are, members of objects and arrays as texts within JSON."""
+    kind = F.schema_of_variant(value)
+    text = F.try_variant_get(value, "$", "string")
+    for start, target in [("ARRAY", "array<string>"), ("ARRAY<OBJECT", "array<map<string,string>>"), ("OBJECT", "map<string,string>")]:
+        text = F.when(kind.startswith(start), F.to_json(F.try_variant_get(value, "$", target))).otherwise(text)
+    return text
+
+
+def by_key(entity: Entity, fields: Column) -> list[Column]:
+    """Declared columns out of a map of texts, and the rescue column: other keys and values of a wrong type."""
+    picked = []
+    for name in entity.columns:
+        kind = entity.hints.get(name, "string")
+        text = F.try_element_at(fields, F.lit(name))
+        picked.append((text if kind == "string" else text.try_cast(kind)).alias(name))
+
+    def left(k: Column, v: Column) -> Column:
+        odd = ~k.isin(*entity.columns)
+        for name, kind in entity.hints.items():
+            if kind != "string":
+                odd = odd | ((k == name) & v.try_cast(kind).isNull())
+        return v.isNotNull() & odd
+
+    rest = F.map_filter(fields, left)
+    return [*picked, F.when(F.size(rest) > 0, F.to_json(rest)).alias("_rescued_data")]
+
+
 def read_json_files(spark: SparkSession, entity: Entity, paths: list[str]) -> DataFrame:
-    """JSON documents; every key is found by inference and read as text. Keys may differ by case only, so names are
-    resolved by case until columns have their place."""
-    before = spark.conf.get("spark.sql.caseSensitive")
-    spark.conf.set("spark.sql.caseSensitive", "true")
-    try:
-        return _read_json_files(spark, entity, paths)
-    finally:
-        spark.conf.set("spark.sql.caseSensitive", before)
-
-
-def _read_json_files(spark: SparkSession, entity: Entity, paths: list[str]) -> DataFrame:
-    options = {
-        "multiLine": str(entity.multiline).lower(),
-        "primitivesAsString": "true",
-        "columnNameOfCorruptRecord": "_corrupt_record",
-    }
-    found = spark.read.options(**options).json(paths).schema
-    names = [f.name for f in found if f.name != "_corrupt_record"]
-    rows = spark.read.options(**options).schema(
-        T.StructType([*[f for f in found if f.name != "_corrupt_record"], T.StructField("_corrupt_record", T.StringType())])
-    ).json(paths)
-    # renamed by position: keys may differ by case only
-    meta = rows.select("*", F.col("_metadata").alias("_m")).toDF(*[f"c{i}" for i in range(len(names))], "_corrupt_record", "_m")
-    text = [
-        F.to_json(f"c{i}").alias(f"c{i}") if isinstance(found[n].dataType, (T.StructType, T.ArrayType)) else F.col(f"c{i}")
-        for i, n in enumerate(names)
-    ]
-    flat = meta.select(*text, "_corrupt_record", F.col("_m").alias("_metadata"))
-    return with_lineage(flat, by_name(entity, names))
+    """JSON documents, each parsed once into a variant: no inference, any number of keys, names told apart by case.
+
+    A document is an object or an array of objects. A document that no variant can hold (a key twice in one object, or too
+    large) is read as maps of texts, of equal keys the last. What is neither, or no object, is kept as ``_corrupt_record``.
+    """
+    corrupt = "_corrupt_record"
+    rows = (
+        spark.read.schema(f"v variant, {corrupt} string")
+        .options(singleVariantColumn="v", multiLine=str(entity.multiline).lower(), columnNameOfCorruptRecord=corrupt)
+        .json(paths)
+    )
+    v, text = F.col("v"), F.col(corrupt)
+    one = F.array(v)
+    several = F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")).otherwise(one)
+    maps = F.coalesce(F.from_json(text, "array<map<string,string>>"), F.array(F.from_json(text, "map<string,string>")))
+    records = F.when(
+        v.isNotNull(), F.transform(several, lambda r: F.struct(r.alias("r"), F.lit(None).cast("map<string,string>").alias("m")))
+    ).otherwise(F.transform(maps, lambda m: F.struct(F.lit(None).cast("variant").alias("r"), m.alias("m"))))
+    flat = rows.select(F.col("_metadata"), text, F.explode(records).alias("e"))
+    members = F.try_variant_get("e.r", "$", "map<string,variant>")
+    fields = F.coalesce(
+        F.transform_values(members, lambda _, value: nested_text(value)),
+        # of equal keys the last stays
+        F.aggregate(
+            F.map_entries("e.m"),
+            F.create_map().cast("map<string,string>"),
+            lambda out, pair: F.map_concat(F.map_filter(out, lambda k, _: k != pair["key"]), F.create_map(pair["key"], pair["value"])),
+        ),
+        F.create_map(F.lit(corrupt), F.coalesce(F.col("e.r").cast("string"), text)),
+    )
+    return with_lineage(flat.select("_metadata", fields.alias("fields")), by_key(entity, F.col("fields")))
 
 
 def read_files(spark: SparkSession, entity: Entity, paths: list[str]) -> DataFrame:

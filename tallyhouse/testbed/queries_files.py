@@ -65,6 +65,11 @@ add(
     "select * replace (case when not isnan(refund_amount) then refund_amount end as refund_amount), coalesce(isnan(refund_amount), false) as is_nan "
     f"from (select {_columns('returns')}, source_region from raw_returns)",
 )
+add(
+    "src_03_multiline_json_products",
+    lambda b: _landed(b, "products").select(*ENTITIES["products"].columns, "_rescued_data", "source_region"),
+    f"select {_columns('products')}, _rescued_data, source_region from raw_products",
+)
 add(
     "src_04_file_selection",
     lambda b: stack([landing.list_files(b.spark, b.landing, e.glob).select(F.lit(e.name).alias("entity"), F.regexp_extract("path", r"([^/.-]+)[^/]*$", 1).alias("system")) for e in ENTITIES.values()]).distinct(),

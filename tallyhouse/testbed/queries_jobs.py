@@ -253,14 +253,14 @@ def _profile_sql(table: str, types: dict[str, str]) -> str:
 
 add(
     "prf_01_profile_lineitem",
-    lambda b: profiling.profile(b.source("lineitem").drop("l_shipdate")),
+    lambda b: profiling.profile(b.source("lineitem")),
     _profile_sql("lineitem", {"l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double", "l_extendedprice": "double",
-        "l_discount": "double", "l_tax": "double", "l_returnflag": "string", "l_linestatus": "string"}),
+        "l_discount": "double", "l_tax": "double", "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp_ntz"}),
 )
 _CUSTOMER_TYPES = {
     c: "string"
     for c in [*CUSTOMER_ID, "customer_email", "email_address", "customer_name", "full_name", "segment", "customer_segment", "country", "city", "state", "postal_code", "region", "source_region", FILE, "_source_file_path", "_rescued_data"]
-}
+} | {"_source_modified_time": "timestamp", "_ingested_at": "timestamp"}
 add(
     "prf_01_profile_raw_customers",
     lambda b: profiling.profile(b.raw("customers").select(*_CUSTOMER_TYPES)),

@@ -93,6 +93,39 @@ def test_json_keys_may_differ_by_case_only(spark, tmp_path):
     assert row.order_id == "O1" and json.loads(row._rescued_data) == {"Order_ID": "O2"}
 
 
+def test_json_documents_of_any_shape(spark, tmp_path):
+    entity = ENTITIES["returns"]
+    many = {f"key_{i}": i for i in range(1000)}
+    odd = [{"order_id": "A", "order_ID": "a", "Order_Id": 1.5, "refund_amount": "oops", "amount": 2}, 7, "x", {"order_id": None, "reason": {"deep": [1, {"b": True}]}}]
+    texts = {
+        "1": json.dumps([{"order_id": "M", **many}]),
+        "2": json.dumps(odd),
+        "3": json.dumps({"order_id": "single", "status": "ok", "list": ["a", 2]}),
+        "4": '[{"order_id": "twice", "order_id": "second", "x": 1}, {"order_id": "next"}]',
+        "5": '[{"order_id": "cut", ',
+        "6": "[]",
+    }
+    for i, text in texts.items():
+        put(str(tmp_path), f"Region {i}/returns_{i}.json", text)
+    before = spark.conf.get("spark.sql.caseSensitive")
+    df = landing.read_entity(spark, entity, str(tmp_path))
+    assert spark.conf.get("spark.sql.caseSensitive") == before
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan json") == 1
+    got = [(r.source_region[-1], r.order_id, r.OrderId, r.refund_amount, r.amount, r.reason, json.loads(r._rescued_data or "{}")) for r in df.collect()]
+    by = {i: [g[1:] for g in got if g[0] == i] for i in texts}
+    assert by["1"] == [("M", None, None, None, None, {k: str(v) for k, v in many.items()})]
+    assert by["2"] == [
+        ("A", None, None, 2.0, None, {"order_ID": "a", "Order_Id": "1.5", "refund_amount": "oops"}),
+        (None, None, None, None, None, {"_corrupt_record": "7"}),
+        (None, None, None, None, None, {"_corrupt_record": "x"}),
+        (None, None, None, None, '{"deep":"[1,{\\"b\\":true}]"}', {}),
+    ]
+    assert by["3"] == [("single", None, None, None, None, {"list": '["a","2"]'})]
+    assert by["4"] == [("second", None, None, None, None, {"x": "1"}), ("next", None, None, None, None, {})]
+    assert [g[-1]["_corrupt_record"] for g in by["5"]] == [texts["5"]] and by["6"] == []
+
+
 def test_inventory(spark, root):
     files = inventory.source_files(spark, root)
     status = {r.entity: (r.systems, r.status) for r in inventory.entity_status(files).collect()}
