@@ -27,6 +27,21 @@ def look_up(facts: DataFrame, dim: DataFrame, on: str, take: list[str], missing:
     return out
 
 
+#: Parts that rows without a key are dealt to.
+SPREAD = 4096
+
+
+def look_up_sparse(facts: DataFrame, dim: DataFrame, on: str, take: list[str], spread_by: list[str]) -> DataFrame:
+    """``look_up`` for facts whose key is mostly NULL.
+
+    A join deals rows by their key, so all rows without one would meet in one task, though they match nothing. The key
+    gets a second part: 0 where it is known, as in all rows of ``dim``, else a hash of ``spread_by``.
+    """
+    part = F.when(F.col(on).isNull(), F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD)) + 1).otherwise(F.lit(0).cast("long"))
+    known = dim.select(on, *take).withColumn("_part", F.lit(0).cast("long"))
+    return facts.withColumn("_part", part).join(known, [on, "_part"], "left").select(*facts.columns, *take)
+
+
 def orphans(facts: DataFrame, fk: str | Column, parents: DataFrame, pk: str, null_is_orphan: bool = False) -> DataFrame:
     """Rows whose key is in no parent row."""
     key = F.col(fk) if isinstance(fk, str) else fk

@@ -104,21 +104,27 @@ def quarantine(raw: DataFrame, entity: str) -> DataFrame:
     return RULES[entity].quarantine(standardise.STANDARDISE[entity](raw))
 
 
-def finish(good: DataFrame, entity: str) -> DataFrame:
-    """Dedup and last projections on rows that passed the rules."""
-    good = standardise.drop_lineage(good)
+def one_per_key(good: DataFrame, entity: str) -> DataFrame:
+    """One row per key, where the entity has one: the smallest in a total order, so winners of parts can be merged."""
     if entity == "customers":
         return best_record(good, "customer_id", standardise.completeness(), CUSTOMER_TIE_BREAK)
     if entity == "orders":
         return keep_first(good, ["order_id"], ["source_region"])
     if entity == "products":
-        good = good.withColumns({"product_name": F.trim("product_name"), "weight": kilograms("weight")})
         return keep_first(good, ["product_id"])
     if entity == "vendors":
         return keep_first(good, ["vendor_id"])
     return good
 
 
+def finish(good: DataFrame, entity: str) -> DataFrame:
+    """Last projections and dedup on rows that passed the rules."""
+    good = standardise.drop_lineage(good)
+    if entity == "products":
+        good = good.withColumns({"product_name": F.trim("product_name"), "weight": kilograms("weight")})
+    return one_per_key(good, entity)
+
+
 def clean(raw: DataFrame, entity: str) -> DataFrame:
     """Valid rows, one per key where the entity has one."""
     return finish(RULES[entity].clean(standardise.STANDARDISE[entity](raw)), entity)

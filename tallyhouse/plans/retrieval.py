@@ -3,27 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import IDF, HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import dollars, fill, fixed2
+from ..operators.lookup import small_side
 from ..operators.ranking import top_per_group
 from ..operators.report import stack
+from ..sources.store import work_dir, write_files
 from . import kpi
 from .enrich import Generator, prompt, with_text
 from .star import Star
 
-FEATURES = 512
+WIDTH = 1 << 20
 CANDIDATES = 15
 KEPT = 5
-QUERIES_PER_PASS = 1_000
-DIGITS = 6
+QUERIES_PER_BLOCK, CORPUS_BLOCK = 1_000, 4_096
+DIGITS, SCALE = 6, 10**12
 TERM_SATURATION = 1.2
 LENGTH_WEIGHT = 0.75
 
@@ -104,33 +104,83 @@ def questions(spark: SparkSession, texts: list[str] | None = None) -> DataFrame:
     return spark.createDataFrame(rows, "question_id int, question string")
 
 
-def _model(docs: DataFrame):
-    """Function that adds ``vector`` (hashed, idf-weighted words of unit length) to a frame with ``text``."""
-    hashing = HashingTF(numFeatures=FEATURES, inputCol="_words", outputCol="_tf")
-    unit = Normalizer(p=2.0, inputCol="_tfidf", outputCol="_unit")
+def slot(word: Column, width: int = WIDTH) -> Column:
+    """A word's place in the vectors, by a digest that other engines have too."""
+    return F.pmod(F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long"), F.lit(width))
 
-    def counted(df: DataFrame) -> DataFrame:
-        # figures tell nothing about the subject and would dominate the vector by their rarity
-        subject = F.filter(words("text"), lambda w: ~w.rlike("^[0-9]+$"))
-        return hashing.transform(df.withColumn("_words", subject))
 
-    idf = IDF(inputCol="_tf", outputCol="_tfidf").fit(counted(docs))
+def slot_counts(df: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFrame:
+    """(key, slot, tf): words counted by slot. Figures tell nothing about the subject and would dominate by their rarity."""
+    subject = F.filter(words(text), lambda w: ~w.rlike("^[0-9]+$"))
+    return df.select(key, F.explode(subject).alias("_w")).groupBy(key, slot(F.col("_w"), width).alias("slot")).agg(F.count(F.lit(1)).alias("tf"))
 
-    def transform(df: DataFrame) -> DataFrame:
-        out = unit.transform(idf.transform(counted(df)))
-        return out.withColumn("vector", vector_to_array("_unit", "float32")).drop("_words", "_tf", "_tfidf", "_unit")
 
-    return transform
+def sparse_vectors(counts: DataFrame, key: str, dictionary: DataFrame) -> DataFrame:
+    """(key, vector): slots and tf-idf weights in order of slots, of unit length. Slots that all documents or none have
+    weigh nothing and are left out."""
+    rows = counts.join(dictionary.filter("idf > 0"), "slot").withColumn("w", F.col("tf") * F.col("idf"))
+    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("slot", "w"))).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda total, x: total + x["w"] * x["w"]))
+    return listed.withColumn("norm", norm).select(
+        key, F.transform("v", lambda x: F.struct(x["slot"].alias("slot"), (x["w"] / F.col("norm")).alias("weight"))).alias("vector")
+    )
+
+
+@dataclass(frozen=True)
+class Index:
+    """An inverted index: (slot, doc_id, weight) in order of slots, and (slot, df, idf)."""
+
+    postings: DataFrame
+    dictionary: DataFrame
+    width: int
+
+
+def dictionary_of(counts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(slot, df, idf) over all documents."""
+    total = docs.agg(F.count(F.lit(1)).alias("docs"))
+    seen = counts.groupBy("slot").agg(F.count(F.lit(1)).alias("df"))
+    # the total is one row
+    return seen.join(F.broadcast(total), F.lit(True)).select("slot", "df", F.ln((F.col("docs") + 1) / (F.col("df") + 1)).alias("idf"))
+
+
+def build_index(docs: DataFrame, width: int = WIDTH) -> Index:
+    """Index of documents with distinct ids. Postings are stored in ranges of slots, so a search reads only the row groups
+    of its words; a slot of many documents may span several ranges' files."""
+    spark = docs.sparkSession
+    counts = write_files(slot_counts(docs, "doc_id", "text", width), work_dir(spark, "slot_counts"))
+    dictionary = write_files(dictionary_of(counts, docs), work_dir(spark, "dictionary"))
+    posted = sparse_vectors(counts, "doc_id", dictionary).select("doc_id", F.inline("vector"))
+    ordered = posted.repartitionByRange("slot", "doc_id").sortWithinPartitions("slot", "doc_id").select("slot", "doc_id", "weight")
+    return Index(write_files(ordered, work_dir(spark, "postings")), dictionary, width)
+
+
+def search(index: Index, asked: DataFrame, k: int = CANDIDATES) -> DataFrame:
+    """(question_id, doc_id, distance, rank): the documents nearest to each question by squared distance of unit vectors,
+    among those that share a word with it. ``asked`` has question_id and question.
+
+    The words of a question meet their postings, and products of weights are added up by question and document, in the
+    tasks first. They are whole numbers of 1e-12, so sums do not depend on their order.
+    """
+    counts = slot_counts(asked, "question_id", "question", index.width)
+    terms = sparse_vectors(counts, "question_id", index.dictionary).select("question_id", F.inline("vector")).withColumnRenamed("weight", "asked_weight")
+    terms = small_side(write_files(terms, work_dir(asked.sparkSession, "question_terms")))
+    hits = index.postings.join(terms, "slot")
+    product = F.floor(F.col("weight") * F.col("asked_weight") * SCALE)
+    scores = hits.groupBy("question_id", "doc_id").agg(F.sum(product).alias("dot"))
+    near = scores.select("question_id", "doc_id", F.round(2 - 2 * F.col("dot") / SCALE, DIGITS).alias("distance"))
+    return top_per_group(near, ["question_id"], [F.col("distance"), F.col("doc_id")], k)
 
 
-def vectors(docs: DataFrame) -> DataFrame:
+def vectors(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, kind, dimensions, nonzero, norm) of the document vectors."""
-    v = F.col("vector")
-    squares = F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    return _model(docs)(docs).select(
-        "doc_id", "kind", F.size(v).alias("dimensions"), F.size(F.filter(v, lambda x: x != 0)).alias("nonzero"),
-        F.round(F.sqrt(squares), 4).alias("norm"),
-    )
+    once = docs.dropDuplicates(["doc_id"])
+    counts = slot_counts(once, "doc_id", "text", width)
+    found = sparse_vectors(counts, "doc_id", dictionary_of(counts, once))
+    squares = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x["weight"] * x["weight"])
+    shape = found.select("doc_id", F.size("vector").alias("nonzero"), F.round(F.sqrt(squares), 4).alias("norm"))
+    return docs.join(shape, "doc_id", "left").select(
+        "doc_id", "kind", F.lit(width).alias("dimensions"), F.coalesce("nonzero", F.lit(0)).alias("nonzero"), F.coalesce("norm", F.lit(0.0)).alias("norm")
+    )
 
 
 def label_queries(embeddings: DataFrame) -> DataFrame:
@@ -140,59 +190,60 @@ def label_queries(embeddings: DataFrame) -> DataFrame:
 
 
 def nearest(corpus: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """(query_id, doc_id, distance, rank): exact squared-L2 nearest ``k`` per query.
+    """(query_id, doc_id, distance, rank): exact squared-L2 nearest ``k`` per query. Null vectors take no part.
 
-    Each task keeps ``k`` rows per query of its part of the corpus, so pairs
-    are never written out; the shuffle carries tasks x queries x k rows.
-    Queries travel with the tasks. More than ``QUERIES_PER_PASS`` of them are
-    split into several passes over the corpus.
+    Vectors of either side are packed into blocks, and each block of queries meets each block of the corpus in a join; one
+    matrix product gives all distances of the two, and ``k`` rows per query leave it. Query blocks are dealt to as many
+    parts as the corpus, so the join spreads over all tasks; Spark broadcasts them where they are small. The corpus is
+    read once, however many queries there are, and no query is in the driver.
     """
-    passes = -(-queries.count() // QUERIES_PER_PASS)
-    id_type = corpus.schema["doc_id"].dataType.simpleString()
-    parts = []
-    for p in range(max(passes, 1)):
-        share = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(max(passes, 1))) == p)
-        rows = share.select("query_id", "vector").collect()
-        if rows:
-            ids = [r.query_id for r in rows]
-            matrix = np.array([r.vector for r in rows], dtype=np.float64)
-            kind = queries.schema["query_id"].dataType.simpleString()
-            local = corpus.select("doc_id", "vector").mapInPandas(
-                _local_nearest(ids, matrix, k, DIGITS), f"query_id {kind}, doc_id {id_type}, distance double"
-            )
-            parts.append(top_per_group(local, ["query_id"], [F.col("distance"), F.col("doc_id")], k))
-    if not parts:
-        kind = queries.schema["query_id"].dataType.simpleString()
-        schema = f"query_id {kind}, doc_id {id_type}, distance double, rank int"
-        return corpus.sparkSession.createDataFrame([], schema)
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
-def _local_nearest(ids: list, matrix: np.ndarray, k: int, digits: int):
+    spark = corpus.sparkSession
+    blocks = max(1, -(-queries.count() // QUERIES_PER_BLOCK))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    id_type, query_type = (df.schema[c].dataType.simpleString() for df, c in ((corpus, "doc_id"), (queries, "query_id")))
+    whole = corpus.filter("vector is not null").select("doc_id", F.col("vector").cast("array<double>").alias("vector"))
+    packed = whole.mapInPandas(_pack("doc_id", CORPUS_BLOCK), f"ids array<{id_type}>, vectors binary")
+    packed = packed.withColumn("part", F.pmod(F.xxhash64("vectors"), F.lit(parts)))
+    packed = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = queries.filter("vector is not null").select(
+        F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), F.struct("query_id", F.col("vector").cast("array<double>").alias("vector")).alias("q")
+    )
+    asked = asked.groupBy("block").agg(F.collect_list("q").alias("asked"))
+    asked = asked.select("block", F.col("asked.query_id").alias("query_ids"), F.col("asked.vector").alias("wanted"))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    met = packed.join(asked, ["block", "part"]).select("ids", "vectors", "query_ids", "wanted")
+    local = met.mapInPandas(_block_nearest(k, DIGITS), f"query_id {query_type}, doc_id {id_type}, distance double")
+    return top_per_group(local, ["query_id"], [F.col("distance"), F.col("doc_id")], k)
+
+
+def _pack(key: str, size: int):
     # nested, so that tasks need no installed copy of this package
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[int, pd.DataFrame] = {}
         for pdf in batches:
-            if pdf.empty:
-                continue
-            docs = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-            dist = np.zeros((len(docs), len(ids)))
-            # dimension by dimension: the same additions in the same order as a plain sum
-            for j in range(docs.shape[1]):
-                dist += np.square(docs[:, j, None] - matrix[None, :, j])
-            dist = np.round(dist, digits)
-            for q in range(len(ids)):
-                near = dist[:, q]
-                if len(near) > k:
-                    keep = near <= np.partition(near, k - 1)[k - 1]
-                else:
-                    keep = np.ones(len(near), dtype=bool)
-                found = pd.DataFrame({"doc_id": pdf["doc_id"][keep], "distance": near[keep]})
-                if q in best:
-                    found = pd.concat([best[q], found])
-                best[q] = found.sort_values(["distance", "doc_id"]).head(k)
-        for q, found in best.items():
-            yield found.assign(query_id=ids[q])[["query_id", "doc_id", "distance"]]
+            for at in range(0, len(pdf), size):
+                some = pdf.iloc[at : at + size]
+                yield pd.DataFrame({"ids": [some[key].to_numpy()], "vectors": [np.stack(some["vector"].to_numpy()).astype(np.float64).tobytes()]})
+
+    return run
+
+
+def _block_nearest(k: int, digits: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for ids, packed, query_ids, wanted in zip(pdf["ids"], pdf["vectors"], pdf["query_ids"], pdf["wanted"], strict=True):
+                docs = np.frombuffer(packed, np.float64).reshape(len(ids), -1)
+                asked = np.stack(list(wanted)).astype(np.float64)
+                rough = (asked * asked).sum(axis=1)[:, None] + (docs * docs).sum(axis=1) - 2 * asked @ docs.T
+                most = min(k, len(ids))
+                # what rounding could bring among the first k stays
+                slack = 2 * 10.0**-digits + 1e-9 * np.abs(rough).max()
+                limit = np.partition(rough, most - 1, axis=1)[:, most - 1] + slack
+                q, d = np.nonzero(rough <= limit[:, None])
+                # the same additions in the same order as a plain sum
+                exact = np.round(np.add.accumulate(np.square(docs[d] - asked[q]), axis=1)[:, -1], digits)
+                found = pd.DataFrame({"q": q, "query_id": np.asarray(query_ids)[q], "doc_id": np.asarray(ids)[d], "distance": exact})
+                found = found.sort_values(["q", "distance", "doc_id"])
+                yield found[found.groupby("q").cumcount() < k][["query_id", "doc_id", "distance"]]
 
     return run
 
@@ -230,12 +281,10 @@ def rerank(candidates: DataFrame, docs: DataFrame, asked: DataFrame, k: int = KE
 
 
 def retrieve(docs: DataFrame, asked: DataFrame, candidates: int = CANDIDATES, k: int = KEPT) -> DataFrame:
-    """Both stages for all questions at once: nearest vectors, then the rerank."""
-    transform = _model(docs)
-    queries = transform(asked.select(F.col("question_id").alias("query_id"), F.col("question").alias("text")))
+    """Both stages for all questions at once: nearest vectors by the inverted index, then the rerank."""
     # equal texts have one id; copies would use up candidates and count their terms twice
     docs = docs.dropDuplicates(["doc_id"])
-    near = nearest(transform(docs), queries, candidates).select(F.col("query_id").alias("question_id"), "doc_id")
+    near = search(build_index(docs), asked, candidates).select("question_id", "doc_id")
     return rerank(near, docs, asked, k)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.columns import date_key, exact_sum
-from ..operators.lookup import look_up, small_side
+from ..operators.lookup import look_up, look_up_sparse, small_side
 from ..operators.numbering import number_rows
 
 UNKNOWN_CUSTOMER = {
@@ -148,13 +148,20 @@ class Star:
 
     @cached_property
     def order_sales(self) -> DataFrame:
-        """Lines added up per order; the product is kept only where it is the same on all lines."""
+        """Lines added up per order; the product, and its key, are kept only where it is the same on all lines."""
         lines = self.tables["transactions"]
         sales = lines.groupBy("order_id").agg(
             exact_sum("sales").alias("sales"),
             F.when(F.min("product_id") == F.max("product_id"), F.min("product_id")).alias("product_id"),
         )
-        return self._keep(sales, "order_sales")
+        # most orders have several products, so most rows have none to look up
+        return self._keep(look_up_sparse(sales, self.dim_product, "product_id", ["product_key"], ["order_id"]), "order_sales")
+
+    @cached_property
+    def line_sales(self) -> DataFrame:
+        """Lines with the keys of their products."""
+        lines = self.tables["transactions"].select("order_id", "product_id", "sales")
+        return look_up_sparse(lines, self.dim_product, "product_id", ["product_key"], ["order_id"])
 
     def fact_returns(self, grain: str = "per_return") -> DataFrame:
         """Returns with order, customer and sales context.
@@ -164,7 +171,7 @@ class Star:
         and compares the refund with that line.
         """
         if grain == "per_line":
-            sold = self.tables["transactions"].select("order_id", "product_id", "sales")
+            sold = self.line_sales
         elif grain == "per_return":
             sold = self.order_sales
         else:
@@ -175,17 +182,18 @@ class Star:
         return self._returns[grain]
 
     def enrich_returns(self, returns: DataFrame, sold: DataFrame) -> DataFrame:
-        """Left joins of returns, batch or stream, with static tables, and the flags."""
+        """Left joins of returns, batch or stream, with static tables, and the flags.
+
+        ``sold`` has the key of the product already, so nothing is dealt by the product of a return, which is mostly NULL.
+        """
         orders = self.keyed_orders.select(
             "order_id", "customer_id", "customer_key", "vendor_key", "region_key", "order_purchase_date",
             F.lit(True).alias("has_order_flag"),
         )
-        products = self.dim_product.select("product_id", "product_key")
         joined = (
             returns.select("order_id", "return_reason", "return_date", "refund_amount")
             .join(orders, "order_id", "left")
-            .join(sold.select("order_id", "product_id", "sales"), "order_id", "left")
-            .join(products, "product_id", "left")
+            .join(sold.select("order_id", "product_key", "sales"), "order_id", "left")
         )
         refund, sales = F.col("refund_amount"), F.col("sales")
         has_order = F.coalesce("has_order_flag", F.lit(False))

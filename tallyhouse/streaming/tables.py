@@ -40,10 +40,23 @@ def append_table(stream: DataFrame, path: str, checkpoint: str):
 
 def split_stream(raw: DataFrame, entity: str, clean_dir: str, quarantine_dir: str, checkpoint: str):
     """One read of the raw stream feeds both outputs; a retried batch overwrites its own folders."""
+    return _split(raw, entity, clean_dir, quarantine_dir, checkpoint, standardise.drop_lineage)
 
+
+def clean_stream(raw: DataFrame, entity: str, clean_dir: str, quarantine_dir: str, checkpoint: str):
+    """The clean and quarantine tables of an entity, batch by batch; read the clean one with :func:`clean_table`.
+
+    The stream keeps no state. Each batch stores one winner for each of its keys, and the winner of all batches is the
+    smallest of theirs, whatever order they came in. So neither memory nor a batch's work grows with the history; what
+    grows is the number of winners, which :func:`compact` merges.
+    """
+    return _split(raw, entity, clean_dir, quarantine_dir, checkpoint, lambda good: cleanse.finish(good, entity))
+
+
+def _split(raw: DataFrame, entity: str, clean_dir: str, quarantine_dir: str, checkpoint: str, end: Callable[[DataFrame], DataFrame]):
     def route(batch: DataFrame, batch_id: int) -> None:
         rows = cleanse.tagged(batch, entity).persist()
-        good = standardise.drop_lineage(rows.filter("not is_quarantined").drop("is_quarantined", "issue_type"))
+        good = end(rows.filter("not is_quarantined").drop("is_quarantined", "issue_type"))
         good.write.mode("overwrite").parquet(f"{clean_dir}/batch_id={batch_id}")
         bad = rows.filter("is_quarantined").drop("is_quarantined")
         bad.write.mode("overwrite").parquet(f"{quarantine_dir}/batch_id={batch_id}")
@@ -52,6 +65,12 @@ def split_stream(raw: DataFrame, entity: str, clean_dir: str, quarantine_dir: st
     return run_batches(raw, route, checkpoint)
 
 
+def clean_table(spark: SparkSession, clean_dir: str, entity: str) -> DataFrame:
+    """Current clean rows of a table that :func:`clean_stream` writes."""
+    stored = spark.read.option("basePath", clean_dir).parquet(clean_dir).drop("batch_id")
+    return cleanse.one_per_key(stored, entity)
+
+
 def first_rows_stream(raw: DataFrame, entity: str, key: str) -> DataFrame:
     """Valid rows, the first seen per key (state: one entry per key)."""
     return RULES[entity].clean(standardise.STANDARDISE[entity](raw)).dropDuplicates([key])
@@ -74,11 +93,10 @@ def best_record_stream(raw: DataFrame, table: str, checkpoint: str):
 
 def best_records(spark: SparkSession, table: str) -> DataFrame:
     """Current customers of a table that :func:`best_record_stream` writes."""
-    stored = spark.read.option("basePath", table).parquet(table).drop("batch_id")
-    return cleanse.finish(stored, "customers")
+    return clean_table(spark, table, "customers")
 
 
-def compact(spark: SparkSession, table: str, target: str) -> DataFrame:
+def compact(spark: SparkSession, table: str, target: str, entity: str = "customers") -> DataFrame:
     """Write the merged records as one table, to be read in place of many small batches."""
-    best_records(spark, table).write.mode("overwrite").parquet(target)
+    clean_table(spark, table, entity).write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)

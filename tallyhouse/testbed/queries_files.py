@@ -17,6 +17,7 @@ from ..sources.entities import ENTITIES
 from ..streaming import ingest, tables as streams
 from . import oracle as O
 from .catalog import add
+from .queries_jobs import retrieval_sql
 
 
 def rows_n():
@@ -229,15 +230,34 @@ def _stateless(b):
 add("str_03_stateless_chain", _stateless, f"select * exclude ({O.LINEAGE}, is_quarantined, issue_type) from tag_orders where not is_quarantined")
 
 
-def _stream_dedup(b):
-    raw, out = b.folder("orders_raw"), b.folder("orders_dedup")
-    store.write_files(b.raw("orders"), raw)
-    rows = streams.first_rows_stream(streams.table_stream(b.spark, raw), "orders", "order_id")
-    streams.append_table(rows, out, b.folder("checkpoint"))
-    return b.spark.read.parquet(out).select("order_id")
+def _stream_clean(b, entity: str, deal_by: str):
+    """Folders of the clean and the quarantine table after several batches; copies of a key come in different batches."""
+    raw, good, bad = (b.folder(f"{entity}_{n}") for n in ["raw", "clean", "quarantine"])
+    b.raw(entity).repartition(4, deal_by).write.parquet(raw)
+    streams.clean_stream(streams.table_stream(b.spark, raw, files_per_batch=1), entity, good, bad, b.folder("checkpoint"))
+    return good, bad
+
+
+def _stream_dedup(b, entity: str, deal_by: str = "source_region"):
+    return streams.clean_table(b.spark, _stream_clean(b, entity, deal_by)[0], entity)
+
 
+add("str_04_stream_dedup", lambda b: _stream_dedup(b, "orders"), "select * from clean_orders")
+add("str_04_stream_dedup_products", lambda b: _stream_dedup(b, "products", "product_name"), "select * from clean_products")
+add("str_04_stream_dedup_customers", lambda b: _stream_dedup(b, "customers"), "select * from clean_customers")
 
-add("str_04_stream_dedup", _stream_dedup, "select order_id from clean_orders")
+
+def _clean_and_quarantine(b):
+    good, bad = _stream_clean(b, "orders", "source_region")
+    sides = [("clean", streams.clean_table(b.spark, good, "orders")), ("quarantine", b.spark.read.parquet(bad))]
+    return stack([df.select("order_id", "source_region", F.lit(n).alias("side")) for n, df in sides])
+
+
+add(
+    "snk_06_streamed_clean_table",
+    _clean_and_quarantine,
+    "select order_id, source_region, 'clean' as side from clean_orders union all select order_id, source_region, 'quarantine' from tag_orders where is_quarantined",
+)
 
 
 def _best(b):
@@ -355,4 +375,4 @@ def _question_history(b):
     return store.save_table(rows, name, "append", path).drop("asked_at")
 
 
-add("rag_06_question_history", _question_history)
+add("rag_06_question_history", _question_history, retrieval_sql("select question, answer, retrieved_docs from answers"))

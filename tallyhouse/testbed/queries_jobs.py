@@ -531,7 +531,54 @@ def _documents_sql() -> str:
 
 
 add("rag_01_documents", lambda b: retrieval.documents(b.star()), _documents_sql())
-add("rag_02_vectors", lambda b: retrieval.vectors(b.documents))
+
+
+def _question_rows() -> str:
+    return ", ".join(f"({i}, '{q}')" for i, q in enumerate(retrieval.QUESTIONS, 1))
+
+
+def retrieval_sql(last: str) -> str:
+    """Sparse tf-idf vectors, cosine candidates and the BM25 rerank in SQL."""
+    word_list = "list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda w: w <> '')"
+    slot = f"('0x' || md5(w)[1:8])::bigint % {retrieval.WIDTH}"
+    subject = "not regexp_matches(w, '^[0-9]+$')"
+    return f"""with docs as ({_documents_sql()}),
+    texts as (select distinct doc_id, text from docs),
+    asked as (select * from (values {_question_rows()}) as q(question_id, question)),
+    doc_words as (select doc_id, unnest({word_list.format('text')}) as w from texts),
+    asked_words as (select question_id, unnest({word_list.format('question')}) as w from asked),
+    tf as (select doc_id, {slot} as slot, count(*) as tf from doc_words where {subject} group by all),
+    idf as (select slot, count(*) as df, ln(((select count(*) from texts) + 1)::double / (count(*) + 1)) as idf from tf group by slot),
+    weighted as (select doc_id, slot, tf * idf as w from tf join idf using (slot) where idf > 0),
+    vectors as (select doc_id, slot, w / sqrt(sum(w * w) over (partition by doc_id)) as weight from weighted),
+    asked_weighted as (select question_id, slot, count(*) * any_value(idf) as w from (select question_id, {slot} as slot from asked_words where {subject}) join idf using (slot) where idf > 0 group by question_id, slot),
+    asked_vectors as (select question_id, slot, w / sqrt(sum(w * w) over (partition by question_id)) as weight from asked_weighted),
+    near as (select question_id, doc_id, round(2 - 2 * sum(floor(a.weight * v.weight * 1e12)::hugeint)::double / 1e12, 6) as distance from asked_vectors a join vectors v using (slot) group by all),
+    candidates as (select question_id, doc_id from near qualify row_number() over (partition by question_id order by distance, doc_id) <= {retrieval.CANDIDATES}),
+    lengths as (select doc_id, len({word_list.format('text')}) as size from texts),
+    usual as (select avg(size) as usual from lengths),
+    asked_terms as (select distinct question_id, w from asked_words),
+    df as (select w, count(distinct doc_id) as df from doc_words where w in (select w from asked_terms) group by w),
+    counts as (select doc_id, w, count(*) as tf from doc_words group by all),
+    scored as (
+        select question_id, doc_id, round(sum(coalesce(ln(1 + ((select count(*) from texts) - df.df + 0.5::double) / (df.df + 0.5::double)) * n.tf * 2.2::double
+            / (n.tf + 1.2::double * (0.25::double + 0.75::double * size / usual)), 0)), 6) as score
+        from candidates join asked_terms using (question_id) join df using (w) join lengths using (doc_id) cross join usual left join counts n using (doc_id, w) group by all),
+    reranked as (select *, row_number() over (partition by question_id order by score desc, doc_id) as rank from scored qualify rank <= {retrieval.KEPT}),
+    answers as (
+        select question_id, question, 'Best match: ' || arg_min(text, rank) as answer, string_agg(text, chr(10) order by rank) as retrieved_docs
+        from reranked join asked using (question_id) join texts using (doc_id) group by question_id, question)
+    {last}"""
+
+
+add(
+    "rag_02_vectors",
+    lambda b: retrieval.vectors(b.documents),
+    retrieval_sql(
+        f"select doc_id, kind, {retrieval.WIDTH} as dimensions, coalesce(nonzero, 0) as nonzero, coalesce(norm, 0) as norm "
+        "from docs left join (select doc_id, count(*) as nonzero, round(sqrt(sum(weight * weight)), 4) as norm from vectors group by doc_id) using (doc_id)"
+    ),
+)
 add(
     "rag_03_nearest_vectors",
     lambda b: retrieval.nearest(
@@ -542,5 +589,5 @@ add(
     d as (select query_id, vec_id as doc_id, list_sum(list_transform(list_zip(qv, embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double))) as dist from q, embeddings)
     select query_id, doc_id, round(dist, 6) as distance, cast(rn as integer) as rank from (select *, row_number() over (partition by query_id order by round(dist, 6), doc_id) as rn from d) where rn <= 15""",
 )
-add("rag_04_reranked", lambda b: retrieval.retrieve(b.documents, retrieval.questions(b.spark)).select("question_id", "doc_id", "score", "rank"))
-add("rag_05_question_batch", lambda b: retrieval.answers(b.documents, retrieval.questions(b.spark)))
+add("rag_04_reranked", lambda b: retrieval.retrieve(b.documents, retrieval.questions(b.spark)).select("question_id", "doc_id", "score", "rank"), retrieval_sql("select question_id, doc_id, score, rank from reranked"))
+add("rag_05_question_batch", lambda b: retrieval.answers(b.documents, retrieval.questions(b.spark)), retrieval_sql("select * from answers"))

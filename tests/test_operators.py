@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyhouse.operators.dedup import best_record, keep_first
-from tallyhouse.operators.lookup import count_orphans, look_up, orphans, small_side
+from tallyhouse.operators.lookup import count_orphans, look_up, look_up_sparse, orphans, small_side
 from tallyhouse.operators.numbering import number_rows
 from tallyhouse.operators.ranking import few_values, flagged_or_top, top_per_group
 from tallyhouse.operators.report import with_share
@@ -104,3 +104,21 @@ def test_few_values_and_shares(spark):
     assert {r.g: r.samples for r in few_values(df, ["g"], "v").collect()} == {"a": "1,2,3", "b": "5"}
     counts = spark.createDataFrame([("x", 1), ("y", 2)], "k string, n bigint")
     assert {r.k: r.pct for r in with_share(counts, "n").collect()} == {"x": 33.33, "y": 66.67}
+
+
+def test_rows_without_a_key_are_spread_over_the_join(spark):
+    facts = spark.range(200_000).select(F.col("id").alias("order_id"), F.when(F.col("id") % 100 < 3, F.concat(F.lit("p"), F.col("id") % 500)).alias("product_id"))
+    dim = spark.range(400).select(F.concat(F.lit("p"), "id").alias("product_id"), F.col("id").alias("product_key"))
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = look_up_sparse(facts, dim, "product_id", ["product_key"], ["order_id"])
+        sizes = sorted(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect())
+        assert sizes[-1] <= 3 * sizes[len(sizes) // 2] and sum(sizes) == 200_000
+        want = facts.join(dim, "product_id", "left").select("order_id", "product_id", "product_key")
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -24,7 +24,8 @@ def test_nearest_equals_brute_force(spark, monkeypatch):
         expected += [(q, i, rank) for rank, (_, i) in enumerate(sorted(dist)[:7], 1)]
     found = retrieval.nearest(docs, queries, 7).collect()
     assert sorted((r.query_id, r.doc_id, r["rank"]) for r in found) == sorted(expected)
-    monkeypatch.setattr(retrieval, "QUERIES_PER_PASS", 2)
+    monkeypatch.setattr(retrieval, "QUERIES_PER_BLOCK", 2)
+    monkeypatch.setattr(retrieval, "CORPUS_BLOCK", 30)
     again = retrieval.nearest(docs, queries, 7).collect()
     assert sorted((r.query_id, r.doc_id, r["rank"]) for r in again) == sorted(expected)
 
@@ -76,3 +77,38 @@ def test_copies_and_missing_queries_change_nothing(spark, layers):
     corpus = spark.createDataFrame([("a", [1.0, 0.0])], "doc_id string, vector array<double>")
     none = spark.createDataFrame([], "query_id int, vector array<double>")
     assert retrieval.nearest(corpus, none).collect() == []
+
+
+def test_index_search_equals_dense_vectors(spark):
+    texts = ["red shoe west region", "blue shoe blue shoe 7", "vendor returns west", "women shoe revenue in the west region west", "desk", "", "12 34", "shoe"]
+    docs = spark.createDataFrame([(f"d{i}", t, "k") for i, t in enumerate(texts)], "doc_id string, text string, kind string")
+    asked = {1: "Shoe revenue in the West region?", 2: "blue vendor vendor", 3: "nothing known", 4: "9 9", 5: ""}
+    frame = spark.createDataFrame(list(asked.items()), "question_id int, question string")
+    split = {i: [w for w in re.findall("[a-z0-9]+", t.lower()) if not w.isdigit()] for i, t in enumerate(texts)}
+    known = sorted({w for ws in split.values() for w in ws})
+    idf = {w: math.log((len(texts) + 1) / (1 + sum(w in ws for ws in split.values()))) for w in known}
+
+    def unit(ws):
+        v = np.array([ws.count(w) * idf[w] for w in known])
+        return v / (np.linalg.norm(v) or 1)
+
+    want = []
+    for q, text in asked.items():
+        a = unit(re.findall("[a-z0-9]+", text.lower()))
+        near = sorted((round(float(2 - 2 * a @ unit(ws)), 6), f"d{i}") for i, ws in split.items() if a @ unit(ws) > 0)
+        want += [(q, d, rank, dist) for rank, (dist, d) in enumerate(near[:3], 1)]
+    for width in (1 << 20, 1 << 40):
+        index = retrieval.build_index(docs, width)
+        got = retrieval.search(index, frame, 3).collect()
+        assert sorted((r.question_id, r.doc_id, r["rank"], r.distance) for r in got) == sorted(want)
+    plan = index.postings.filter("slot = 5")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(slot), EqualTo(slot,5)]" in plan
+    shapes = {r.doc_id: (r.nonzero, r.norm) for r in retrieval.vectors(docs.unionByName(docs)).collect()}
+    assert shapes["d5"] == shapes["d6"] == (0, 0.0) and shapes["d1"] == (2, 1.0) and len(shapes) == len(texts)
+
+
+def test_vectors_that_are_null_take_no_part(spark):
+    docs = spark.createDataFrame([("a", [0.0, 1.0]), ("b", None), ("c", [3.0, 1.0])], "doc_id string, vector array<float>")
+    asked = spark.createDataFrame([(1, [0.0, 0.0]), (2, None)], "query_id int, vector array<float>")
+    assert [tuple(r) for r in retrieval.nearest(docs, asked, 5).orderBy("rank").collect()] == [(1, "a", 1.0, 1), (1, "c", 10.0, 2)]
+    assert retrieval.nearest(docs.limit(0), asked).collect() == []

@@ -59,3 +59,16 @@ def test_a_retried_batch_overwrites_itself(spark, layers, tmp_path):
         rows.write.mode("overwrite").parquet(f"{out}/batch_id=0")
     assert spark.read.parquet(out).count() == rows.count()
     assert spark.read.parquet(out).select(F.max("batch_id")).first()[0] == 0
+
+
+@pytest.mark.parametrize("entity", ["customers", "orders", "products", "vendors", "returns"])
+def test_streamed_clean_tables_equal_the_batch_ones(spark, layers, tmp_path, entity):
+    raw, good, bad = (str(tmp_path / n) for n in ("raw", "good", "bad"))
+    rows = layers.raw(entity)
+    # every key comes again in later batches
+    rows.unionByName(rows.sample(0.3, seed=1)).repartition(3).write.parquet(raw) if entity != "returns" else rows.repartition(3).write.parquet(raw)
+    query = streams.clean_stream(streams.table_stream(spark, raw, 1), entity, good, bad, str(tmp_path / "c"))
+    assert len(query.recentProgress) >= 3 and all(not p["stateOperators"] for p in query.recentProgress)
+    assert same(streams.clean_table(spark, good, entity), layers.clean(entity))
+    assert same(streams.compact(spark, good, str(tmp_path / "one"), entity), layers.clean(entity))
+    assert same(spark.read.parquet(bad).drop("batch_id").distinct(), layers.quarantine(entity).distinct())
