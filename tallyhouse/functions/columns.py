@@ -209,6 +209,11 @@ def exact_sum(c: Column | str, digits: int = 4) -> Column:
     return F.sum(scaled(c, digits)) / F.lit(float(10**digits))
 
 
+def decimal_sum(c: Column | str, digits: int = 10) -> Column:
+    """Sum of decimals: no addend is rounded to money first, so small ones count. Slower than ``exact_sum``."""
+    return F.sum(as_col(c).cast(f"decimal({digits + 16},{digits})"))
+
+
 def exact_avg(c: Column | str, digits: int = 4) -> Column:
     c = as_col(c)
     return F.try_divide(exact_sum(c, digits), F.count(c))

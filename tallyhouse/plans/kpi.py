@@ -11,6 +11,7 @@ from ..operators.numbering import number_rows
 from ..operators.report import stack, with_share
 from .star import Star
 
+QUANTILE_ACCURACY = 100_000
 SLOW_SHARE = 0.5
 
 
@@ -117,6 +118,26 @@ def slow_products_by_region(star: Star, slow_share: float = SLOW_SHARE) -> DataF
     )
 
 
+def movement_by_quantile(star: Star, slow: float = 0.25, fast: float = 0.75, accuracy: int = QUANTILE_ACCURACY) -> DataFrame:
+    """Products that sold, per region, and how they move beside the region's other products.
+
+    A product is slow-moving when its orders are at most the region's ``slow`` quantile, fast-moving above the ``fast``
+    one, steady otherwise. Quantiles come from a mergeable sketch per region; their rank is off by at most
+    1 / ``accuracy`` of the region's products, so a region of fewer products has exact ones.
+    """
+    sold = _sales_by_product_region(star)
+    limits = F.approx_percentile("order_count", F.array(F.lit(slow), F.lit(fast)), F.lit(accuracy))
+    usual = sold.groupBy("region_key").agg(limits.alias("limits"))
+    status = (
+        F.when(F.col("order_count") <= F.col("limits")[0], "slow-moving").when(F.col("order_count") > F.col("limits")[1], "fast-moving").otherwise("steady")
+    )
+    # one row for each region
+    return sold.join(usual, "region_key").select(
+        "product_name", "category", "region_name", status.alias("movement_status"), "order_count",
+        F.col("limits")[0].alias("slow_up_to"), F.col("limits")[1].alias("fast_above"),
+    )
+
+
 def top_categories_by_region(star: Star) -> DataFrame:
     lines = star.fact_transactions.join(star.dim_product.select("product_key", "category"), "product_key").join(
         star.regions.withColumnRenamed("source_region", "region_name"), "region_key"
@@ -128,8 +149,8 @@ def top_categories_by_region(star: Star) -> DataFrame:
     )
 
 
-def high_return_products(star: Star) -> DataFrame:
-    """Returns per product; an order's refunds are shared over its lines by sales.
+def _returns_by_product(star: Star) -> DataFrame:
+    """Returns per product id; an order's refunds are shared over its lines by sales.
 
     Refunds and lines are added up per order first, so an order with many of
     both contributes one row per product, never returns times lines.
@@ -156,10 +177,15 @@ def high_return_products(star: Star) -> DataFrame:
         exact_avg("ratio", 6).alias("avg_return_ratio"),
     )
     return by_product.join(star.dim_product.select("product_id", "product_name", "category"), "product_id").select(
-        "product_name", "category", "return_count", "total_return_value", "avg_return_ratio"
+        "product_id", "product_name", "category", "return_count", "total_return_value", "avg_return_ratio"
     )
 
 
+def high_return_products(star: Star) -> DataFrame:
+    """Returns per product; an order's refunds are shared over its lines by sales."""
+    return _returns_by_product(star).drop("product_id")
+
+
 def ranked_vendors(star: Star) -> DataFrame:
     """Vendors with ``vendor_rank`` 1 for the worst return ratio."""
     named = vendor_returns(star).withColumn("vendor_name", F.coalesce("vendor_name", F.lit("Unknown Vendor")))
@@ -168,9 +194,9 @@ def ranked_vendors(star: Star) -> DataFrame:
 
 
 def ranked_return_products(star: Star) -> DataFrame:
-    return number_rows(
-        high_return_products(star), [-F.col("total_return_value"), "product_name"], "product_rank"
-    )
+    # products of equal value and name are told apart by their id
+    found = number_rows(_returns_by_product(star), [-F.col("total_return_value"), "product_name", "product_id"], "product_rank")
+    return found.drop("product_id")
 
 
 def revenue_trend(star: Star) -> DataFrame:

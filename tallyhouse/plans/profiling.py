@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import vocab
 from ..functions.columns import date_shape_name, money, nan_to_null, number, parse_timestamp, percent_or_fraction, unify
 from ..operators.dedup import repeated
-from ..operators.lookup import count_orphans, orphans
+from ..operators.lookup import orphans
 from ..operators.ranking import few_values
-from ..operators.report import checks, counts_by, finish_checks, stack, with_share
+from ..operators.report import counts_by, finish_checks, stack, with_share
 from .standardise import CUSTOMER_ID
 
 FILE = "_source_file_name"
@@ -277,69 +277,89 @@ def date_sequence(df: DataFrame, today: Column | None = None) -> DataFrame:
 SEQUENCE = {"bought": "order_purchase_date", "approved": "order_approved_at", "delivered": "order_delivered_customer_date"}
 
 
+#: What a row says about a key of a check: rows that depend on it, and whether the key is sound.
+EVIDENCE = "check_group string, label string, consequence string, key string, rows int, known boolean"
+
+
+def _evidence(group: str, label: str, consequence: str, key: Column, rows: int, known: Column | bool) -> Column:
+    values = [F.lit(group), F.lit(label), F.lit(consequence), key.cast("string"), F.lit(rows), F.lit(known)]
+    names = [field.split()[0] for field in EVIDENCE.split(", ")]
+    return F.struct(*[v.alias(n) for v, n in zip(values, names, strict=True)])
+
+
 def readiness(raw: dict[str, DataFrame]) -> DataFrame:
-    """22 checks of the raw layer in long format, one pass per table plus the key joins."""
+    """22 checks of the raw layer in long format; each table is read once, and one shuffle serves all checks.
+
+    Every row of a table gives one piece of evidence for each of its checks: a key and whether that is known to be sound.
+    A test of a row has two keys, passed and failed. A reference has the child's value as key, which only rows of the
+    parent table make known. Rows of keys that nothing makes known fail; for a unique key, all rows but one.
+    """
     c, o, t, r, p, v = (raw[e] for e in ["customers", "orders", "transactions", "returns", "products", "vendors"])
     bought, approved = (parse_timestamp(SEQUENCE[n], vocab.SEQUENCE_FORMATS) for n in ["bought", "approved"])
     discount = percent_or_fraction("discount")
     garbage = F.upper(F.trim("reason")).isin(vocab.GARBAGE_WIDE)
-    parts = [
-        checks(c, "customers", {
-            "canonical id resolvable": (unify(c, *CUSTOMER_ID).isNull(), "quarantine"),
-            "email present": (unify(c, "customer_email", "email_address").isNull(), "warn"),
-            "city is not a state": (F.col("city").isin(vocab.US_STATES), "swap"),
-        }),
-        checks(o, "orders", {
-            "order_id not null": (F.col("order_id").isNull(), "quarantine"),
-            "customer_id not null": (F.col("customer_id").isNull(), "quarantine"),
-            "purchase date readable": (bought.isNull(), "quarantine"),
-            "approved not before purchase": (approved < bought, "quarantine"),
-        }),
-        checks(t, "transactions", {
-            "order_id resolvable": (line_order_id().isNull(), "quarantine"),
-            "sales castable": (number("Sales").isNull(), "quarantine"),
-            "discount in range": ((discount > 1) | (discount < 0), "quarantine"),
-            "negative profit": (F.col("profit") < 0, "warn"),
-        }),
-        checks(r, "returns", {
-            "order_id resolvable": (unify(r, "order_id", "OrderId").isNull(), "quarantine"),
-            "return date not the text NULL": (F.upper(F.trim("date_of_return")) == "NULL", "convert"),
-            "reason not garbage": (garbage, "convert"),
-            "refund amount not NaN": (F.isnan("refund_amount"), "convert"),
-        }),
-        checks(p, "products", {"product_id not null": (F.col("product_id").isNull(), "quarantine")}),
-        _counted("products", "product_id unique", _surplus(p, "product_id"), p, "deduplicate"),
-        checks(v, "vendors", {"vendor_id not null": (F.col("vendor_id").isNull(), "quarantine")}),
-    ]
-    customers = c.select(unify(c, *CUSTOMER_ID).alias("cid"))
-    vendors = v.select(F.trim("vendor_id").alias("vid"))
-    orders = o.select("order_id")
-    lines = t.select(line_order_id().alias("oid"))
-    back = r.select(unify(r, "order_id", "OrderId").alias("oid"))
-    for label, facts, fk, parents, pk, then in [
-        ("orders to customers", o.select("customer_id"), "customer_id", customers, "cid", "quarantine"),
-        ("orders to vendors", o.select("vendor_id"), "vendor_id", vendors, "vid", "warn"),
-        ("transactions to orders", lines, "oid", orders, "order_id", "quarantine"),
-        ("returns to orders", back, "oid", orders, "order_id", "quarantine"),
-    ]:
-        lost = count_orphans(facts, fk, parents, pk, null_is_orphan=True).select(F.col("orphaned_count").alias("fails"))
-        parts.append(_counted("references", label, lost, facts, then))
-    return stack(parts)
-
-
-def _surplus(df: DataFrame, key: str) -> DataFrame:
-    """Rows beyond one per distinct key, NULL counting as a key."""
-    distinct = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return distinct.agg(F.sum(F.col("n") - 1).alias("fails"))
-
-
-def _counted(group: str, label: str, fails: DataFrame, rows: DataFrame, consequence: str) -> DataFrame:
-    # both sides are one row
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
-    row = fails.join(F.broadcast(total), F.lit(True))
-    return finish_checks(
-        row.select(F.lit(group).alias("check_group"), F.lit(label).alias("label"), "fails", "total", F.lit(consequence).alias("consequence"))
-    )
+    customer, back = unify(c, *CUSTOMER_ID), unify(r, "order_id", "OrderId")
+
+    def test(group: str, label: str, fails: Column, then: str) -> Column:
+        failed = F.coalesce(fails, F.lit(False))
+        return _evidence(group, label, then, failed, 1, ~failed)
+
+    def child(label: str, key: Column, then: str) -> Column:
+        return _evidence("references", label, then, key, 1, False)
+
+    def parent(label: str, key: Column, then: str) -> Column:
+        # a missing key is no parent of missing ones
+        return _evidence("references", label, then, F.coalesce(key, F.lit("")), 0, key.isNotNull())
+
+    evidence = {
+        "customers": (c, [
+            test("customers", "canonical id resolvable", customer.isNull(), "quarantine"),
+            test("customers", "email present", unify(c, "customer_email", "email_address").isNull(), "warn"),
+            test("customers", "city is not a state", F.col("city").isin(vocab.US_STATES), "swap"),
+            parent("orders to customers", customer, "quarantine"),
+        ]),
+        "orders": (o, [
+            test("orders", "order_id not null", F.col("order_id").isNull(), "quarantine"),
+            test("orders", "customer_id not null", F.col("customer_id").isNull(), "quarantine"),
+            test("orders", "purchase date readable", bought.isNull(), "quarantine"),
+            test("orders", "approved not before purchase", approved < bought, "quarantine"),
+            child("orders to customers", F.col("customer_id"), "quarantine"),
+            child("orders to vendors", F.col("vendor_id"), "warn"),
+            parent("transactions to orders", F.col("order_id"), "quarantine"),
+            parent("returns to orders", F.col("order_id"), "quarantine"),
+        ]),
+        "transactions": (t, [
+            test("transactions", "order_id resolvable", line_order_id().isNull(), "quarantine"),
+            test("transactions", "sales castable", number("Sales").isNull(), "quarantine"),
+            test("transactions", "discount in range", (discount > 1) | (discount < 0), "quarantine"),
+            test("transactions", "negative profit", F.col("profit") < 0, "warn"),
+            child("transactions to orders", line_order_id(), "quarantine"),
+        ]),
+        "returns": (r, [
+            test("returns", "order_id resolvable", back.isNull(), "quarantine"),
+            test("returns", "return date not the text NULL", F.upper(F.trim("date_of_return")) == "NULL", "convert"),
+            test("returns", "reason not garbage", garbage, "convert"),
+            test("returns", "refund amount not NaN", F.isnan("refund_amount"), "convert"),
+            child("returns to orders", back, "quarantine"),
+        ]),
+        "products": (p, [
+            test("products", "product_id not null", F.col("product_id").isNull(), "quarantine"),
+            _evidence("products", UNIQUE, "deduplicate", F.col("product_id"), 1, True),
+        ]),
+        "vendors": (v, [
+            test("vendors", "vendor_id not null", F.col("vendor_id").isNull(), "quarantine"),
+            parent("orders to vendors", F.trim("vendor_id"), "warn"),
+        ]),
+    }
+    rows = stack([df.select(F.inline(F.array(*found))) for df, found in evidence.values()])
+    of = ["check_group", "label", "consequence"]
+    keys = rows.groupBy(*of, "key").agg(F.sum("rows").alias("rows"), F.max("known").alias("known"))
+    fails = F.when(F.col("label") == UNIQUE, F.col("rows") - 1).when(F.col("known"), 0).otherwise(F.col("rows"))
+    counted = keys.groupBy(*of).agg(F.sum(fails).alias("fails"), F.sum("rows").alias("total"))
+    return finish_checks(counted.select("check_group", "label", "fails", "total", "consequence"))
+
+
+UNIQUE = "product_id unique"
 
 
 def refund_recovery() -> Column:

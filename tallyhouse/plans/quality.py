@@ -89,6 +89,22 @@ def split_counts(raw: dict[str, DataFrame], entities: list[str] = REPORTED) -> D
     return stack(parts).withColumn("quarantine_rate_pct", percent(F.col("quarantine_count"), total))
 
 
+def counted_by_subqueries(clean: dict[str, DataFrame], quarantine: dict[str, DataFrame], entities: list[str] = REPORTED) -> DataFrame:
+    """(entity, clean_count, quarantine_count, quarantine_rate_pct) of stored tables: one row for each entity, whose
+    figures are scalar subqueries of its projection."""
+    spark = next(iter(clean.values())).sparkSession
+
+    def rows(df: DataFrame) -> Column:
+        return df.agg(F.count(F.lit(1)).alias("n")).scalar()
+
+    parts = [
+        spark.range(1).select(F.lit(e).alias("entity"), rows(clean[e]).alias("clean_count"), rows(quarantine[e]).alias("quarantine_count"))
+        for e in entities
+    ]
+    total = F.col("clean_count") + F.col("quarantine_count")
+    return stack(parts).withColumn("quarantine_rate_pct", percent(F.col("quarantine_count"), total))
+
+
 def alerts(counts: DataFrame, threshold: float = vocab.QUARANTINE_ALERT_PCT) -> DataFrame:
     status = F.when(F.col("quarantine_rate_pct") > threshold, "ALERT").otherwise("OK")
     text = F.concat(

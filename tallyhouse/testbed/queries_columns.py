@@ -89,6 +89,12 @@ add(
     "select order_id, 'profit' as field, profit is not null as filled, profit_was_null as was_null from std_transactions "
     "union all select product_id, 'colors', colors is not null, colors = 'Not Specified' from std_products",
 )
+add(
+    "prj_12_filled_values",
+    lambda b: b.std("transactions").select("order_id", "product_id", F.lit("profit").alias("field"), F.col("profit").alias("number"), F.lit(None).cast("string").alias("text"))
+    .unionByName(b.std("products").select(F.lit(None).cast("string").alias("order_id"), "product_id", F.lit("colors").alias("field"), F.lit(None).cast("double").alias("number"), F.col("colors").alias("text"))),
+    "select order_id, product_id, 'profit' as field, profit as number, null as text from std_transactions union all select null, product_id, 'colors', null, colors from std_products",
+)
 add(
     "prj_13_order_dates",
     lambda b: b.std("orders").select("order_id", "source_region", *vocab.ORDER_DATE_COLUMNS),

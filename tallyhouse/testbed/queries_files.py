@@ -14,7 +14,7 @@ from ..plans import cleanse, enrich, kpi, retrieval, standardise, verify
 from ..plans.star import Star
 from ..sources import inventory, landing, store
 from ..sources.entities import ENTITIES
-from ..streaming import ingest, tables as streams
+from ..streaming import ingest, progress, tables as streams
 from . import oracle as O
 from .catalog import add
 from .queries_jobs import retrieval_sql
@@ -92,6 +92,13 @@ add(
     f"select 'customers' as entity, {O.STEM} as system, _rescued_data from raw_customers union all "
     f"select 'returns', {O.STEM}, case when isnan(refund_amount) then null else _rescued_data end from raw_returns",
 )
+add(
+    "src_06_rescue_column_transactions",
+    lambda b: _landed(b, "transactions").select(stem().alias("system"), "Sales", "profit", F.from_json("_rescued_data", "map<string,string>").alias("r"))
+    .select("system", "Sales", "profit", F.col("r")["Order_ID"].alias("order_id"), F.col("r")["Product_ID"].alias("product_id")),
+    f"select {O.STEM} as system, Sales, profit, coalesce(json_extract_string(_rescued_data, '$.Order_ID'), json_extract_string(_rescued_data, '$.Order_id')) as order_id, "
+    "coalesce(json_extract_string(_rescued_data, '$.Product_ID'), json_extract_string(_rescued_data, '$.Product_id')) as product_id from raw_transactions",
+)
 add(
     "src_07_lineage_columns",
     lambda b: verify.audit_completeness({e: _landed(b, e) for e in ENTITIES}),
@@ -117,6 +124,10 @@ add(
     " union all ".join(f"select '{e}' as entity, count(distinct _source_file_name) as systems, 'OK' as status from raw_{e}" for e in O.ENTITIES),
 )
 
+for _entity in ENTITIES:
+    # files to the clean table, without the stored raw one
+    add(f"src_09_files_to_clean_{_entity}", lambda b, e=_entity: cleanse.clean(_landed(b, e), e), f"select * from clean_{_entity}")
+
 
 def _reads(b):
     path = b.folder("orders_table")
@@ -313,6 +324,31 @@ add(
     _metrics,
     "select count(*) as row_count, count(distinct _source_file_name) as systems, count(*) filter (_rescued_data is not null and _rescued_data not like '{\"_file_path\"%') as rescued_rows, true as has_lag from raw_transactions",
 )
+
+
+def _progress(b):
+    """The order stream in batches, with what Spark reports of each beside what the tables hold."""
+    raw, good, bad, log = b.folder("orders_raw"), b.folder("orders_good"), b.folder("orders_bad"), b.folder("progress")
+    b.raw("orders").repartition(3).write.parquet(raw)
+    with progress.recorded(b.spark, log):
+        streams.split_stream(streams.table_stream(b.spark, raw, files_per_batch=1), "orders", good, bad, b.folder("checkpoint"))
+    rows = b.spark.read.parquet(log)
+    held = stack([b.spark.read.option("basePath", p).parquet(p).select("batch_id") for p in (good, bad)])
+    report = progress.run_report(rows)
+    gaps = progress.batch_gaps(rows, held).agg(rows_n().alias("gaps"))
+    return report.join(F.broadcast(gaps), F.lit(True)).select("input_rows", (F.col("batches") >= 3).alias("in_batches"), (F.col("duration_ms") > 0).alias("timed"), "state_rows", "gaps")
+
+
+add(
+    "str_08_run_progress",
+    _progress,
+    "select count(*) as input_rows, true as in_batches, true as timed, 0 as state_rows, 0 as gaps from raw_orders",
+)
+add(
+    "ver_04_idempotency_of_all_entities",
+    lambda b: stack([verify.stable_counts(*_two_runs(b, e)) for e in ENTITIES]),
+    " union all ".join(f"select '{e}' as entity, count(*) as rows_before, count(*) as rows_after, true as stable from raw_{e}" for e in O.ENTITIES),
+)
 add(
     "ver_04_idempotency",
     lambda b: verify.stable_counts(*_two_runs(b, "vendors")),

@@ -62,6 +62,12 @@ add(
     ]) + ")",
 )
 add("kpi_08_slow_products_by_region", lambda b: kpi.slow_products_by_region(b.star()), "select * from slow_products")
+add(
+    "kpi_08_movement_by_quantile",
+    lambda b: kpi.movement_by_quantile(b.star()),
+    "select product_name, category, region_name, case when order_count <= slow_up_to then 'slow-moving' when order_count > fast_above then 'fast-moving' else 'steady' end as movement_status, order_count, slow_up_to, fast_above "
+    "from slow_products join (select region_name, quantile_disc(order_count, 0.25) as slow_up_to, quantile_disc(order_count, 0.75) as fast_above from slow_products group by 1) using (region_name)",
+)
 add("kpi_09_top_categories_by_region", lambda b: kpi.top_categories_by_region(b.star()), "select * from top_categories")
 add("kpi_10_high_return_products", lambda b: kpi.high_return_products(b.star()), "select * from high_return_products")
 add("kpi_11_vendor_returns_summary", lambda b: kpi.ranked_vendors(b.star()).drop("vendor_rank"), "select * exclude (vendor_rank) from ranked_vendors")
@@ -219,10 +225,8 @@ def _days(b):
     return counted.withColumn("quarantine_rate_pct", C.percent(F.col("quarantined_rows"), F.col("total_rows")))
 
 
-add(
-    "dq_12_trend_anomalies",
-    lambda b: quality.trend_anomalies(_days(b)),
-    f"""select entity, load_day, total_rows, quarantined_rows, quarantine_rate_pct, earlier_loads,
+def _anomalies_sql(trend: str) -> str:
+    return f"""select entity, load_day, total_rows, quarantined_rows, quarantine_rate_pct, earlier_loads,
       floor(m * 100 + 0.5) / 10000.0::double as earlier_mean,
       case when sd > 0 then floor((c - m) / sd * 100 + 0.5) / 100.0::double end as z_score,
       coalesce(earlier_loads >= 3 and case when sd > 0 then abs(c - m) > 3 * sd else c <> m end, false) as is_anomaly
@@ -230,11 +234,27 @@ add(
       from (select *, su / nullif(earlier_loads, 0) as m
         from (select *, count(*) over w as earlier_loads, cast(sum(c) over w as double) as su, cast(sum(c * c) over w as double) as sq
           from (select *, cast(round(quarantine_rate_pct * 100) as bigint) as c
-            from (select 'orders' as entity, cast(order_purchase_date as date) as load_day, count(*) as total_rows, count(*) filter (is_quarantined) as quarantined_rows,
+            from {trend})
+          window w as (partition by entity order by load_day rows between unbounded preceding and 1 preceding))))"""
+
+
+add(
+    "dq_12_trend_anomalies",
+    lambda b: quality.trend_anomalies(_days(b)),
+    _anomalies_sql(
+        f"""(select 'orders' as entity, cast(order_purchase_date as date) as load_day, count(*) as total_rows, count(*) filter (is_quarantined) as quarantined_rows,
               {O.pct('count(*) filter (is_quarantined)', 'count(*)')} as quarantine_rate_pct
-              from tag_orders where order_purchase_date is not null group by 1, 2))
-          window w as (partition by entity order by load_day rows between unbounded preceding and 1 preceding))))""",
+              from tag_orders where order_purchase_date is not null group by 1, 2)"""
+    ),
 )
+add(
+    "dq_12_anomalies_of_all_loads",
+    lambda b: quality.trend_anomalies(quality.quality_trend(b.all_raw)),
+    _anomalies_sql("(" + " union all ".join(
+        f"select '{e}' as entity, cast(_ingested_at as date) as load_day, count(*) as total_rows, count(*) filter (is_quarantined) as quarantined_rows, "
+        f"{O.pct('count(*) filter (is_quarantined)', 'count(*)')} as quarantine_rate_pct from tag_{e} group by 1, 2"
+        for e in O.REPORTED) + ")"),
+)
 
 # -- profiling ------------------------------------------------------------------------
 

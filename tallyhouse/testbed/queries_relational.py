@@ -71,9 +71,14 @@ add(
 )
 add(
     "jon_09_scalar_subqueries",
-    lambda b: quality.split_counts(b.all_raw, ["orders", "vendors"]),
+    lambda b: quality.counted_by_subqueries(b.all_clean, {e: b.quarantine(e) for e in ["orders", "vendors"]}, ["orders", "vendors"]),
     f"select *, {O.pct('quarantine_count', 'clean_count + quarantine_count')} as quarantine_rate_pct from ({O.split_count('orders')} union all {O.split_count('vendors')})",
 )
+add(
+    "jon_09_rates_of_all_entities",
+    lambda b: quality.counted_by_subqueries(b.all_clean, {e: b.quarantine(e) for e in O.REPORTED}),
+    "select * from split_counts",
+)
 add(
     "jon_10_dimension_lookup_and_group",
     lambda b: b.star().fact_transactions.groupBy("vendor_key").agg(rows_n().alias("row_count"))
@@ -113,6 +118,11 @@ add(
     lambda b: b.clean("transactions").groupBy("source_region").agg(F.count_distinct("order_id").alias("orders"), F.count_distinct("product_id").alias("products")),
     "select source_region, count(distinct order_id) as orders, count(distinct product_id) as products from clean_transactions group by 1",
 )
+add(
+    "agg_05_decimal_sums",
+    lambda b: b.clean("transactions").groupBy("payment_type").agg(C.decimal_sum("sales").alias("total_sales"), C.decimal_sum("discount").alias("total_discount")),
+    "select payment_type, sum(cast(sales as decimal(26,10))) as total_sales, sum(cast(discount as decimal(26,10))) as total_discount from clean_transactions group by 1",
+)
 add(
     "agg_05_sum_avg_min_max",
     lambda b: b.clean("transactions").groupBy("payment_type").agg(

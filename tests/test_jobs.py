@@ -171,6 +171,58 @@ def test_profile_flags(spark):
     assert rough == {k: (v[0], v[2], v[3]) for k, v in exact.items()}
 
 
+def test_profile_estimates_only_what_no_flag_needs(spark):
+    df = spark.range(40_000).select(
+        "id", (F.col("id") % 20_000).alias("half"), F.col("id").cast("double").alias("d"), F.expr("date '2020-01-01' + cast(id % 700 as int)").alias("day"),
+        F.expr("timestamp_seconds(id div 3)").alias("at"), F.when(F.col("id") > 0, F.col("id")).alias("nearly"),
+    )
+    found = {r.column_name: r for r in profiling.profile(df, exact_up_to=1_000).collect()}
+    assert (found["id"].distinct_values, found["d"].distinct_values, found["day"].distinct_values) == (40_000, 40_000, 700)
+    assert found["id"].flag == found["d"].flag == "candidate_key" and found["nearly"].flag == "" and found["nearly"].nulls == 1
+    assert abs(found["half"].distinct_values - 20_000) < 800 and abs(found["at"].distinct_values - 13_334) < 600
+    assert {r.column_name: r.distinct_values for r in profiling.profile(df).collect()}["half"] == 20_000
+    assert profiling.profile(df.limit(0)).filter("total_rows = 0 and distinct_values = 0").count() == 6
+
+
+def test_readiness_reads_each_table_once(spark, layers):
+    raw = layers.all_raw
+    report = profiling.readiness(raw)
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == len(raw)
+    rows = {(r.check_group, r.label): (r.fails, r.total) for r in report.collect()}
+    assert len(rows) == 22 and rows["products", "product_id unique"][1] == raw["products"].count()
+    few = raw["orders"].select("order_id").filter("order_id is not null").distinct()
+    back = raw["returns"].select(F.coalesce("order_id", "OrderId").alias("order_id"))
+    assert rows["references", "returns to orders"] == (back.count() - back.join(few, "order_id").count(), back.count())
+
+
+def test_quantiles_by_region_are_exact_for_few_products(spark, layers):
+    rows = kpi.movement_by_quantile(layers.star()).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.region_name, []).append(r.order_count)
+    for r in rows:
+        counts = sorted(by[r.region_name])
+        low, high = (counts[max(0, -(-int(q * len(counts) * 100) // 100) - 1)] for q in (0.25, 0.75))
+        want = "slow-moving" if r.order_count <= r.slow_up_to else "fast-moving" if r.order_count > r.fast_above else "steady"
+        assert r.movement_status == want and r.slow_up_to in (low, *counts) and r.fast_above >= r.slow_up_to and high >= low
+
+
+def test_rates_are_scalar_subqueries(spark, layers):
+    bad = {e: layers.quarantine(e) for e in quality.REPORTED}
+    report = quality.counted_by_subqueries(layers.all_clean, bad)
+    assert report._jdf.queryExecution().optimizedPlan().toString().count("scalar-subquery") >= 2 * len(quality.REPORTED)
+    want = {r.entity: tuple(r) for r in quality.split_counts(layers.all_raw).collect()}
+    assert {r.entity: tuple(r) for r in report.collect()} == want
+
+
+def test_decimal_sums_keep_small_addends(spark):
+    from tallyhouse.functions.columns import decimal_sum, exact_sum
+
+    df = spark.range(1000).select(F.lit(0.00004).alias("x"))
+    assert float(df.agg(decimal_sum("x")).first()[0]) == 0.04 and df.agg(exact_sum("x")).first()[0] == 0.0
+
+
 def test_a_third_of_all_rows_under_one_order(spark, shop):
     """Hot order: facts stay whole, and no step collects its rows."""
     _, clean, _ = shop

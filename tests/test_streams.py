@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.plans import cleanse, standardise
 from tallyhouse.plans.star import Star
+from tallyhouse.streaming import progress
 from tallyhouse.streaming import tables as streams
 
 
@@ -72,3 +73,33 @@ def test_streamed_clean_tables_equal_the_batch_ones(spark, layers, tmp_path, ent
     assert same(streams.clean_table(spark, good, entity), layers.clean(entity))
     assert same(streams.compact(spark, good, str(tmp_path / "one"), entity), layers.clean(entity))
     assert same(spark.read.parquet(bad).drop("batch_id").distinct(), layers.quarantine(entity).distinct())
+
+
+def test_progress_of_each_run_is_stored(spark, layers, tmp_path):
+    raw, log, good, bad, point = (str(tmp_path / n) for n in ("raw", "log", "good", "bad", "c"))
+    rows = layers.raw("vendors").repartition(3)
+    rows.write.parquet(raw)
+    for _ in range(2):
+        with progress.recorded(spark, log):
+            streams.split_stream(streams.table_stream(spark, raw, 1), "vendors", good, bad, point)
+        layers.raw("vendors").coalesce(1).write.mode("append").parquet(raw)
+    found = spark.read.parquet(log)
+    runs = sorted((r.input_rows, r.batches >= n, r.state_rows) for r, n in zip(progress.run_report(found).orderBy("batches").collect(), (1, 3), strict=True))
+    n = layers.raw("vendors").count()
+    assert runs == [(n, True, 0), (n, True, 0)]
+    held = [spark.read.option("basePath", p).parquet(p).select("batch_id") for p in (good, bad)]
+    assert progress.batch_gaps(found, held[0].unionByName(held[1])).isEmpty()
+    gap = progress.batch_gaps(found, held[0].unionByName(held[1]).filter("batch_id > 0")).collect()
+    assert [(r.batch_id, r.stored_rows) for r in gap] == [(0, 0)]
+
+
+def test_progress_survives_a_failing_run(spark, layers, tmp_path):
+    raw, log = str(tmp_path / "raw"), str(tmp_path / "log")
+    layers.raw("vendors").write.parquet(raw)
+
+    def fail(batch, batch_id):
+        raise ValueError("no space")
+
+    with pytest.raises(Exception, match="no space"), progress.recorded(spark, log) as seen:
+        streams.run_batches(streams.table_stream(spark, raw, 1), fail, str(tmp_path / "c"))
+    assert len(seen.failed) == 1 and spark.read.parquet(log).filter("input_rows > 0").isEmpty()
