@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.numbering import number_rows
 from .bytescan import SPACE, chunks
 from .common import python_tasks, stored, table, with_text
 
@@ -185,7 +186,9 @@ def pack(
             break
         groups = -(-n // group_rows)
         last = groups == 1 or k == rounds - 1
-        dealt = rest.withColumn("grp", F.pmod(F.xxhash64("row", F.lit(k)), F.lit(groups)) + first_group)
+        # dealt in order of length, so each group has as many large and small pieces as any other
+        placed = number_rows(rest, ["length", "row"], "place") if groups > 1 else rest.withColumn("place", F.lit(0))
+        dealt = placed.withColumn("grp", F.pmod("place", F.lit(groups)) + first_group).drop("place")
         packed = stored(
             dealt.groupBy("grp").applyInPandas(
                 functools.partial(pack_group, capacity=capacity, last=last),
