@@ -18,8 +18,8 @@ nodes link when 100 * intersection >= percent * union. The join is exact and wor
    that the steps before left out because their nodes were connected already. A large component is dealt into blocks;
    each pair of blocks is a group of its own, and only counts leave it. Documents with equal sets link as well.
 
-Texts travel once, and only those of nodes that have a candidate. All tasks are bounded: a centre's partners are dealt
-over groups of ``GROUP``. Frequent tokens are broadcast, at most ``FREQUENT`` of them, 8 MB; the bound decides which
+Only texts of nodes that have a candidate travel. Nodes are dealt over blocks of at most ``GROUP``, near copies into the
+same, and a text goes once to each pair of blocks in which it has candidates, so all tasks are bounded. Frequent tokens are broadcast, at most ``FREQUENT`` of them, 8 MB; the bound decides which
 tokens come last, not which pairs are found.
 
 Null texts count as empty; texts without words have n = 0 and are linked with nothing. Texts with fewer words than an
@@ -49,8 +49,10 @@ KEYS, DEPTH = 16, 4
 #: each round.
 SORTINGS, AGREE, ROUNDS = 6, 9, ((1, 1), (2, 6))
 GROUP = 200
-#: Bytes of text in a block of a component, besides ``GROUP`` nodes, and tokens that are compared at once.
+#: Bytes of text in a block, besides ``GROUP`` nodes, and tokens that are compared at once.
 BLOCK_BYTES, AT_ONCE = 4 << 20, 1 << 12
+#: Pairs for each set, up to which sets are compared one by one.
+FEW_PAIRS = 4
 #: Tokens seen so often are put last, and in a task at least so often to be counted.
 OFTEN, OFTEN_IN_TASK = 32, 2
 FREQUENT = 1 << 20
@@ -166,46 +168,65 @@ def frequent_tokens(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 # ---- verification ---------------------------------------------------------------
 
 
-def linked(texts: list[str], centre: str, n: int, percent: int) -> np.ndarray:
-    """Which texts link with the centre: prefixes under further orders first, then the whole sets."""
-    raw = [t.encode() for t in [centre, *texts]]
-    off = np.cumsum([0, *map(len, raw)])
-    row, value = token_sets(np.frombuffer(b"".join(raw), np.uint8), off, n)
-    rows = len(raw)
+def pairs_linked(row: np.ndarray, value: np.ndarray, rows: int, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs (a, b) of rows link: first whether they share prefix tokens under the further orders, then, of
+    those that do, whether their whole sets are similar enough."""
     size = np.bincount(row, minlength=rows)
-    possible = np.ones(rows, bool)
     length = size - required(size, percent) + 1
+    possible = np.ones(len(a), bool)
     for seed in SEEDS[-ORDERS:]:
         at = prefix(row, mix(value ^ seed), length, rows)
-        own = value[at[row[at] == 0]]
-        meets = np.zeros(rows, bool)
-        meets[row[at[np.isin(value[at], own)]]] = True
-        possible &= meets
-    common = np.bincount(row[np.isin(value, value[row == 0])], minlength=rows)
-    union = size + size[0] - common
-    return (possible & (union > 0) & (100 * common >= percent * union))[1:]
-
-
-def links(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) that link. A node's partners are dealt over groups of bounded size."""
-    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
-    dealt = pairs.join(many, "a").select(
-        "a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / GROUP).cast("long")).alias("part")
+        possible[possible] = shared_counts(row[at], value[at], rows, a[possible], b[possible]) > 0
+    common = np.zeros(len(a), np.int64)
+    wanted = np.zeros(rows, bool)
+    wanted[a[possible]] = wanted[b[possible]] = True
+    some = wanted[row]
+    common[possible] = shared_counts(row[some], value[some], rows, a[possible], b[possible])
+    union = size[a] + size[b] - common
+    return possible & (union > 0) & (100 * common >= percent * union)
+
+
+def shared_counts(row: np.ndarray, value: np.ndarray, rows: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Common values of the pairs (a, b) of rows: one matrix product for many pairs, set by set for few."""
+    if len(a) > FEW_PAIRS * rows:
+        return overlaps(row, value, rows)[a, b].astype(np.int64)
+    order = np.argsort(row, kind="stable")
+    edge = np.searchsorted(row[order], np.arange(rows + 1))
+    sets = value[order]
+    return np.array([len(np.intersect1d(sets[edge[x] : edge[x + 1]], sets[edge[y] : edge[y + 1]], True)) for x, y in zip(a, b, strict=True)], np.int64)
+
+
+def homes(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, home: a block for each node of ``pairs``. Nodes with the same smallest token, as most near copies have, share
+    a block, up to ``GROUP`` nodes or ``BLOCK_BYTES`` of text; more of them are dealt over several."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    keyed = ends.join(nodes.select("node", F.col("keys")[0].alias("key")), "node")
+    keyed = keyed.join(texts.select("node", F.octet_length("text").alias("bytes")), "node")
+    blocks = keyed.groupBy("key").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("bytes") / BLOCK_BYTES), F.lit(1)).cast("long").alias("blocks")
     )
-    partners = dealt.join(texts.withColumnRenamed("node", "b"), "b").withColumnRenamed("text", "text_b")
-    centres = dealt.select(F.col("a").alias("centre"), F.col("part").alias("group")).distinct()
-    centres = centres.join(texts.withColumnRenamed("node", "centre"), "centre")
+    return keyed.join(blocks, "key").select("node", F.xxhash64("key", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("home"))
 
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(right):
-            centre = right["text"].iloc[0]
-            for i in range(0, len(left), 50):
-                some = left.iloc[i : i + 50]
-                out.append(some.loc[linked(some["text_b"].tolist(), centre, n, percent), ["a", "b"]])
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
-    return partners.groupBy("a", "part").cogroup(centres.groupBy("centre", "group")).applyInPandas(compare, "a long, b long")
+def links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that link. Pairs meet where their blocks do, and a text goes there once for all of its
+    pairs, so a group of near copies moves its texts a few times instead of once for each pair."""
+    home = stored(homes(pairs, nodes, texts), "homes")
+    met = pairs.join(home.select(F.col("node").alias("a"), F.col("home").alias("x")), "a").join(
+        home.select(F.col("node").alias("b"), F.col("home").alias("y")), "b"
+    )
+    met = stored(met.select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "a", "b"), "met")
+    guests = met.select(F.col("i").alias("p"), F.col("j").alias("q"), F.explode(F.array("a", "b")).alias("node")).distinct().join(texts, "node")
+
+    def compare(pairs: pd.DataFrame, guests: pd.DataFrame) -> pd.DataFrame:
+        node = guests["node"].to_numpy(np.int64)
+        order = np.argsort(node)
+        a, b = (order[np.searchsorted(node[order], pairs[c].to_numpy(np.int64))] for c in "ab")
+        raw = [t.encode() for t in guests["text"]]
+        row, value = token_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), n)
+        return pairs.loc[pairs_linked(row, value, len(raw), a, b, percent), ["a", "b"]]
+
+    return met.groupBy("i", "j").cogroup(guests.groupBy("p", "q")).applyInPandas(compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -400,7 +421,7 @@ def similar_documents(docs: DataFrame, n: int, percent: int, count_links: bool =
     for lo, hi in ROUNDS:
         placed = looked_at.join(comps, "node", "left").select("node", "keys", F.coalesce("comp", "node").alias("comp"))
         pairs = functools.reduce(DataFrame.unionByName, [neighbours(placed, k, lo, hi) for k in range(SORTINGS)])
-        new = stored(links(stored(pairs.distinct(), "neighbours"), texts, n, percent), "near")
+        new = stored(links(stored(pairs.distinct(), "neighbours"), nodes, texts, n, percent), "near")
         if near is not None and new.isEmpty():
             continue
         near = new if near is None else near.unionByName(new)
@@ -433,7 +454,7 @@ def similar_documents(docs: DataFrame, n: int, percent: int, count_links: bool =
         .filter("common >= need")
         .select("a", "b")
     )
-    more = stored(links(stored(candidates, "candidates"), texts, n, percent), "more")
+    more = stored(links(stored(candidates, "candidates"), nodes, texts, n, percent), "more")
     if not more.isEmpty():
         comps = components(near.unionByName(more))
 
