@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -20,9 +23,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The table, written to the cluster's shared folder and read back; lost executors do not lose it."""
-    return write_files(df, work_dir(df.sparkSession, name))
+    path = work_dir(df.sparkSession, name)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
+    return write_files(df, path)
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """The folders that ``stored`` makes meanwhile, for ``remove`` once nothing reads them any more."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield made
+    finally:
+        _MADE.reset(token)
+
+
+def remove(spark: SparkSession, folders: list[str]) -> None:
+    """Delete folders of this session that hold intermediate tables only."""
+    for path in folders:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    folders.clear()
 
 
 def python_tasks(spark: SparkSession, megabytes: int = 8) -> None:

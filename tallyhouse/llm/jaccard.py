@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytescan import LOWER, Hashes, chunks, distinct_by_row, mix, text_bytes, words
-from .common import passes, python_tasks, row_key, sieve, stored, table, with_text
+from .common import passes, python_tasks, remove, row_key, scratch, sieve, stored, table, with_text
 
 SHARED = 4
 ORDERS = 2
@@ -208,9 +208,17 @@ def homes(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return keyed.join(blocks, "key").select("node", F.xxhash64("key", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("home"))
 
 
-def links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) that link. Pairs meet where their blocks do, and a text goes there once for all of its
+def links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent: int, name: str) -> DataFrame:
+    """Those of ``pairs`` (a, b) that link, stored as ``name``. Pairs meet where their blocks do, and a text goes there once for all of its
     pairs, so a group of near copies moves its texts a few times instead of once for each pair."""
+    with scratch() as made:
+        found = _links(stored(pairs, f"{name}_pairs"), nodes, texts, n, percent)
+    out = stored(found, name)
+    remove(pairs.sparkSession, made)
+    return out
+
+
+def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     home = stored(homes(pairs, nodes, texts), "homes")
     met = pairs.join(home.select(F.col("node").alias("a"), F.col("home").alias("x")), "a").join(
         home.select(F.col("node").alias("b"), F.col("home").alias("y")), "b"
@@ -353,9 +361,27 @@ def similar_documents(docs: DataFrame, n: int, percent: int, count_links: bool =
     """doc_id, n_shingles, component_id of each row; k1, k2, which tell rows apart (see ``row_key``), and
     comp, equal within a component; n_links, the number of rows that the row links with. Without ``count_links``
     there is no n_links, and pairs within a component are not compared."""
+    python_tasks(docs.sparkSession)
+    number = ["n_links"] if count_links else []
+    with scratch() as made:
+        found = placed_documents(with_text(docs).select("doc_id", "text", *row_key()), n, percent, count_links)
+    placed = stored(found.select("doc_id", "k1", "k2", "n_shingles", "comp", *number), "placed")
+    remove(docs.sparkSession, made)
+    smallest = placed.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    return placed.join(smallest, "comp", "left").select(
+        "doc_id",
+        "n_shingles",
+        F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        "k1",
+        "k2",
+        "comp",
+        *number,
+    )
+
+
+def placed_documents(docs: DataFrame, n: int, percent: int, count_links: bool) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text, k1, k2) with their components."""
     spark = docs.sparkSession
-    python_tasks(spark)
-    docs = with_text(docs).select("doc_id", "text", *row_key())
     sent = spark.sparkContext.broadcast(frequent_tokens(docs.select("doc_id", "text"), n))
 
     def summaries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,7 +447,7 @@ def similar_documents(docs: DataFrame, n: int, percent: int, count_links: bool =
     for lo, hi in ROUNDS:
         placed = looked_at.join(comps, "node", "left").select("node", "keys", F.coalesce("comp", "node").alias("comp"))
         pairs = functools.reduce(DataFrame.unionByName, [neighbours(placed, k, lo, hi) for k in range(SORTINGS)])
-        new = stored(links(stored(pairs.distinct(), "neighbours"), nodes, texts, n, percent), "near")
+        new = links(pairs.distinct(), nodes, texts, n, percent, "near")
         if near is not None and new.isEmpty():
             continue
         near = new if near is None else near.unionByName(new)
@@ -454,29 +480,17 @@ def similar_documents(docs: DataFrame, n: int, percent: int, count_links: bool =
         .filter("common >= need")
         .select("a", "b")
     )
-    more = stored(links(stored(candidates, "candidates"), nodes, texts, n, percent), "more")
+    more = links(candidates, nodes, texts, n, percent, "more")
     if not more.isEmpty():
         comps = components(near.unionByName(more))
 
     placed = sets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    number = []
     if count_links:
-        number = ["n_links"]
         counts = stored(link_counts(comps, nodes, texts, n, percent), "counts")
         placed = placed.join(nodes.select("node", "copies"), "node", "left").join(counts, "node", "left")
         # texts without words are no node and have no links
         placed = placed.withColumn("n_links", F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("links", F.lit(0)))
-    placed = stored(placed.select("doc_id", "k1", "k2", "n_shingles", "comp", *number), "placed")
-    smallest = placed.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(smallest, "comp", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        "k1",
-        "k2",
-        "comp",
-        *number,
-    )
+    return placed
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

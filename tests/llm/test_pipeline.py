@@ -68,3 +68,21 @@ def test_no_benchmark_and_no_personal_data_left(spark, stages):
 def test_packing_holds_every_document(stages):
     assert stages[5].select("doc_id").distinct().count() == stages[4].count()
     assert stages[5].groupBy("sequence_id").agg(F.sum("length").alias("s")).filter("s > 1024").isEmpty()
+
+
+def test_intermediate_tables_of_the_join_are_removed(spark):
+    import glob
+
+    from tallyhouse.llm import common
+
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    before = set(glob.glob(f"{shared}/*"))
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SMALL)
+    left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(glob.glob(f"{shared}/*")) - before}
+    assert left == {"keep"} and kept.count() > 0
+    with common.scratch() as made:
+        one = stored(spark.range(3), "one")
+    assert one.count() == 3 and len(made) == 1
+    common.remove(spark, made)
+    assert not made and not [p for p in glob.glob(f"{shared}/*") if "/one-" in p]
