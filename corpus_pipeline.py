@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import decontaminate, jaccard, packing, pii, quality
-from tallyhouse.llm.common import DOCUMENT, row_key, stored, table, with_text
+from tallyhouse.llm.common import DOCUMENT, remove, row_key, scratch, stored, table, with_text
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,10 +25,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of five-word shingles at a similarity of 0.8 connect: the smallest doc_id,
     of equal ids the row with the smallest hash."""
-    groups = jaccard.similar_documents(docs, 5, 80, count_links=False)
+    with scratch() as made:
+        groups = jaccard.similar_documents(docs, 5, 80, count_links=False)
     row = F.struct("doc_id", "k1", "k2")
     # copies of one row share all of its keys, so the first of them in order of the other columns stays
     keep = stored(groups.filter("n_shingles > 0").groupBy("comp").agg(F.min(row).alias("row")).select("row.k1", "row.k2"), "keep")
+    remove(spark, made)
     keyed = docs.select(*DOCUMENT).withColumn("text", F.coalesce("text", F.lit(""))).select("*", *row_key())
     has_words = F.col("text").rlike(r"[^\x20\x09-\x0D]")
     # a third of the rows may be equal: each task keeps one of them before anything is shuffled
