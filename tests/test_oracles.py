@@ -10,8 +10,8 @@ import __spark_entry__ as entry
 SMALL = "/root/testdata/sf0.001"
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-# files, streams and retrieval have tests of their own
-CHECKED = sorted(n for n in ORACLES if n[:3] not in ("src", "snk", "str", "rag"))
+# files and streams have tests of their own
+CHECKED = sorted(n for n in ORACLES if n[:3] not in ("src", "snk", "str"))
 
 
 @pytest.fixture(scope="module")
