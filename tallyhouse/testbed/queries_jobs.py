@@ -131,7 +131,8 @@ add(
     lambda b: enrich.explained_issues(b.quarantine("customers"), b.quarantine("orders")).drop("generated_at"),
     "select *, cast(count as varchar) || ' ' || entity || ' rows were rejected because of ' || issue_type || '; the field concerned is ' || field || '.' as explanation from (" + O.ISSUES + ")",
 )
-add("dq_03_quarantine_rates", lambda b: quality.split_counts(b.all_raw), "select * from split_counts")
+add("dq_03_quarantine_rates", lambda b: quality.counted_by_subqueries(b.all_clean, b.all_quarantine), "select * from split_counts")
+add("dq_03_quarantine_rates_from_raw", lambda b: quality.split_counts(b.all_raw), "select * from split_counts")
 _SCORES = {
     "customers": ("customer_id", "customer_email like '%@%'", "customer_name is not null"),
     "orders": ("order_id", "order_estimated_delivery_date is not null", "customer_id is not null"),

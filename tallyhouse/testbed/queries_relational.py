@@ -71,12 +71,12 @@ add(
 )
 add(
     "jon_09_scalar_subqueries",
-    lambda b: quality.counted_by_subqueries(b.all_clean, {e: b.quarantine(e) for e in ["orders", "vendors"]}, ["orders", "vendors"]),
+    lambda b: quality.counted_by_subqueries(b.all_clean, b.all_quarantine, ["orders", "vendors"]),
     f"select *, {O.pct('quarantine_count', 'clean_count + quarantine_count')} as quarantine_rate_pct from ({O.split_count('orders')} union all {O.split_count('vendors')})",
 )
 add(
     "jon_09_rates_of_all_entities",
-    lambda b: quality.counted_by_subqueries(b.all_clean, {e: b.quarantine(e) for e in O.REPORTED}),
+    lambda b: quality.counted_by_subqueries(b.all_clean, b.all_quarantine),
     "select * from split_counts",
 )
 add(

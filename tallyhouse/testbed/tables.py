@@ -1,8 +1,8 @@
 """All layers over one data directory.
 
-As in any lakehouse the raw tables, the clean tables and the star schema are
-stored: each is written once per session, in the shared folder, when a query
-first needs it. Standardised, tagged and quarantined rows stay lazy, and
+As in any lakehouse the raw tables, the clean and quarantine tables and the star
+schema are stored: each is written once per session, in the shared folder, when
+a query first needs it. Standardised and tagged rows stay lazy, and
 ``lazy_star`` computes the star schema as one plan.
 """
 
@@ -52,7 +52,11 @@ class Tables:
 
     @cache
     def quarantine(self, entity: str) -> DataFrame:
-        return cleanse.quarantine(self.raw(entity), entity)
+        return write_files(cleanse.quarantine(self.raw(entity), entity), self.folder(f"quarantine_{entity}"))
+
+    @cached_property
+    def all_quarantine(self) -> dict[str, DataFrame]:
+        return {e: self.quarantine(e) for e in ENTITIES}
 
     @cache
     def star(self, region_source: str = "customer") -> Star:
