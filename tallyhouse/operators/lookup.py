@@ -34,12 +34,14 @@ SPREAD = 4096
 def look_up_sparse(facts: DataFrame, dim: DataFrame, on: str, take: list[str], spread_by: list[str]) -> DataFrame:
     """``look_up`` for facts whose key is mostly NULL.
 
-    A join deals rows by their key, so all rows without one would meet in one task, though they match nothing. The key
-    gets a second part: 0 where it is known, as in all rows of ``dim``, else a hash of ``spread_by``.
+    A join deals rows by their key, so all rows without one would meet in one task, though they match nothing. Here they
+    get a text that no key has: a NUL and a hash of ``spread_by``. (A constant second part of the key would not do: Spark
+    takes equality with a constant out of the keys again.)
     """
-    part = F.when(F.col(on).isNull(), F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD)) + 1).otherwise(F.lit(0).cast("long"))
-    known = dim.select(on, *take).withColumn("_part", F.lit(0).cast("long"))
-    return facts.withColumn("_part", part).join(known, [on, "_part"], "left").select(*facts.columns, *take)
+    nowhere = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD)).cast("string"))
+    known = dim.select(F.col(on).cast("string").alias("_key"), *take)
+    keyed = facts.withColumn("_key", F.coalesce(F.col(on).cast("string"), nowhere))
+    return keyed.join(known, "_key", "left").select(*facts.columns, *take)
 
 
 def orphans(facts: DataFrame, fk: str | Column, parents: DataFrame, pk: str, null_is_orphan: bool = False) -> DataFrame:
