@@ -2,9 +2,9 @@
 
 Spans of the patterns (``pii_rules``) always stay. The tagger is trained on labelled spans: a bounded sample of passages
 whose labels are those of the patterns, and generated passages in which the same data is written in other ways (an
-address with (at) and dot, a phone number without +). It reads the surroundings of every character that such data cannot
-do without (@, a digit, or "at" in brackets), in windows on a fixed grid; neighbouring windows form a region, whose
-scores are reconciled and decoded as one. A decoded span is added if it is sure enough and touches no span of a pattern.
+address with (at) and dot, a phone number without +). It reads every place of every text, in windows on a fixed grid;
+scores of neighbouring windows are reconciled, and parts that a span can be in are decoded as one. A decoded span is added if it is sure enough
+and touches no span of a pattern.
 
 Null texts count as empty and have no spans. Repeated rows are rows of the result each. Empty tables give no rows.
 Texts are read whole; offsets are code points, ends are exclusive.
@@ -22,15 +22,17 @@ from pyspark.sql import functions as F
 
 from .bytescan import chunks
 from .common import DOCUMENT, python_tasks, table, with_text
-from .pii_rules import KINDS, TRIGGER, rule_spans
+from .pii_rules import KINDS, rule_spans
 from .tagger import EDGE, STRIDE, WINDOW, Tagger, symbols
 
 #: Sampled and generated passages for training.
 SAMPLE, GENERATED = 700, 1_300
 #: Mean probability of its tags from which a decoded span is added, and its least length.
 SURE, SHORTEST = 0.9, 7
-#: Characters on each side of a trigger that belong to its surroundings.
-AROUND = 16
+#: Windows that are scored at a time.
+BATCH = 1024
+#: Blocks on each side of a place with a tag that belong to its part.
+MARGIN = 2
 
 
 # ---- training -------------------------------------------------------------------
@@ -109,31 +111,63 @@ def fit(docs: DataFrame, rows: int = SAMPLE) -> Tagger:
 # ---- decoding -------------------------------------------------------------------
 
 
-def regions(text: str) -> list[tuple[int, int]]:
-    """First and last window of each run of grid windows that hold the surroundings of a trigger."""
-    out: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        first = max(0, (m.start() - AROUND) // STRIDE - 1)
-        last = max(first, (m.end() + AROUND - 1) // STRIDE)
-        if out and first <= out[-1][1] + 1:
-            out[-1][1] = max(out[-1][1], last)
-        else:
-            out.append([first, last])
-    return [(a, b) for a, b in out]
-
-
-def decode(tagger: Tagger, scores: np.ndarray, first: int, length: int) -> list[tuple[str, int, int]]:
-    """Spans of one region from the scores of its windows."""
-    n, tags = len(scores), scores.shape[2]
-    total, weight = np.zeros(((n - 1) * STRIDE + WINDOW, tags)), np.zeros((n - 1) * STRIDE + WINDOW)
-    for i, s in enumerate(scores):
-        total[i * STRIDE : i * STRIDE + WINDOW] += s * EDGE[:, None]
-        weight[i * STRIDE : i * STRIDE + WINDOW] += EDGE
-    begin = first * STRIDE
-    s = (total / weight[:, None])[: max(0, length - begin)]
-    if not len(s) or not (s.argmax(1) > 0).any():
-        return []
-    path = tagger.path(s)
+def blocks(tagger: Tagger, coded: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Scores of whole texts, some windows at a time: text and number of each block of ``STRIDE`` places, and its scores.
+
+    A window begins every ``STRIDE`` places. A block is the first half of one window and the second half of the window
+    before; scores of the two are averaged with weights that fall towards a window's edges.
+    """
+    sizes = np.array([-(-len(s) // STRIDE) for s in coded], np.int64)
+    text = np.repeat(np.arange(len(coded)), sizes)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    first, second = EDGE[:STRIDE, None], EDGE[STRIDE:, None]
+    before = np.zeros((STRIDE, 1), np.float32)
+    for at in range(0, len(text), BATCH):
+        t, k = text[at : at + BATCH], number[at : at + BATCH]
+        windows = np.zeros((len(t), WINDOW), np.int64)
+        for row, (i, j) in enumerate(zip(t.tolist(), (k * STRIDE).tolist(), strict=True)):
+            s = coded[i][j : j + WINDOW]
+            windows[row, : len(s)] = s
+        scores = tagger.scores(windows)
+        last = np.concatenate([np.broadcast_to(before, (1, STRIDE, scores.shape[2])), scores[:-1, STRIDE:]])
+        before = scores[-1, STRIDE:]
+        inner = (k > 0)[:, None, None]
+        yield t, k, (scores[:, :STRIDE] * first + np.where(inner, last * second, 0)) / (first + inner * second)
+
+
+def parts(tagger: Tagger, coded: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Text, first place and scores of each part that a span can be in.
+
+    Every place is scored. A span gains over the path outside it, so at one of its places at least a tag beats tag 0 by
+    more than a step within spans can gain; a part is the blocks with such a place and ``MARGIN`` blocks on each side.
+    """
+    step = tagger.p["step"]
+    least = min(0.0, float(step[0, 0] - step.max()))
+    kept: dict[tuple[int, int], np.ndarray] = {}
+    tail: tuple = ()
+    for batch in blocks(tagger, coded):
+        text, number, scores = (np.concatenate(x) for x in zip(tail, batch, strict=True)) if tail else batch
+        hot = (scores[..., 1:].max(2) - scores[..., 0] > least).any(1)
+        near = hot.copy()
+        for d in range(1, MARGIN + 1):
+            alike = text[d:] == text[:-d]
+            near[d:] |= hot[:-d] & alike
+            near[:-d] |= hot[d:] & alike
+        for j in np.flatnonzero(near):
+            kept[int(text[j]), int(number[j])] = scores[j]
+        # the next blocks may want the last of these, and these may be why they are wanted
+        tail = (text[-2 * MARGIN :], number[-2 * MARGIN :], scores[-2 * MARGIN :])
+    run: list[tuple[int, int]] = []
+    for at in [*sorted(kept), (-1, -1)]:
+        if run and at != (run[-1][0], run[-1][1] + 1):
+            i, begin = run[0][0], run[0][1] * STRIDE
+            yield i, begin, np.concatenate([kept[x] for x in run])[: len(coded[i]) - begin]
+            run = []
+        run.append(at)
+
+
+def decode(tagger: Tagger, s: np.ndarray, path: np.ndarray, begin: int) -> list[tuple[str, int, int]]:
+    """Spans of the best path of one part, if they are sure enough."""
     if not path.any():
         return []
     kind_of = (path + 1) // 2
@@ -153,33 +187,13 @@ def decode(tagger: Tagger, scores: np.ndarray, first: int, length: int) -> list[
 
 
 def added_spans(tagger: Tagger, texts: list[str], known: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int, int]]]:
-    """Spans that the tagger adds to those known, per text."""
+    """Spans that the tagger adds to those known, per text. Every place of every text is scored."""
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    plan = [(i, a, b) for i, t in enumerate(texts) for a, b in regions(t)]
-    at = 0
-    while at < len(plan):
-        # whole regions, up to about 512 windows at a time
-        end, size = at, 0
-        while end < len(plan) and (end == at or size + plan[end][2] - plan[end][1] < 512):
-            size += plan[end][2] - plan[end][1] + 1
-            end += 1
-        windows, coded = np.zeros((size, WINDOW), np.int64), {}
-        row = 0
-        for i, a, b in plan[at:end]:
-            if i not in coded:
-                coded = {i: symbols(texts[i])}
-            for k in range(a, b + 1):
-                s = coded[i][k * STRIDE : k * STRIDE + WINDOW]
-                windows[row, : len(s)] = s
-                row += 1
-        scores = np.concatenate([tagger.scores(windows[k : k + 512]) for k in range(0, size, 512)])
-        row = 0
-        for i, a, b in plan[at:end]:
-            for kind, s, e in decode(tagger, scores[row : row + b - a + 1], a, len(texts[i])):
-                if all(e <= x or y <= s for _, x, y in known[i]):
-                    out[i].append((kind, s, e))
-            row += b - a + 1
-        at = end
+    found = list(parts(tagger, [symbols(t) for t in texts]))
+    for (i, begin, s), path in zip(found, tagger.paths([s for _, _, s in found]), strict=True):
+        for kind, x, y in decode(tagger, s, path, begin):
+            if all(y <= a or b <= x for _, a, b in known[i]):
+                out[i].append((kind, x, y))
     return out
 
 

@@ -11,8 +11,6 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: What can be part of a span at all.
-TRIGGER = re.compile(r"[@0-9]|[(\[]at[)\]]")
 
 
 def emails(text: str) -> list[tuple[int, int]]:

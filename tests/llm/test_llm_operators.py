@@ -1,6 +1,7 @@
 """Small cases of the training-data operators against brute force: nulls, empties, long texts, ties, repeats, extras."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -347,6 +348,43 @@ def test_tagger_adds_what_patterns_miss(spark):
     assert pii.find(docs.limit(0), tagger).isEmpty()
 
 
+class Capitals(Tagger):
+    """Takes runs of capital letters for e-mail addresses."""
+
+    def __init__(self):
+        super().__init__(2 * len(pii.KINDS) + 1)
+        self.p["step"][:] = 0
+
+    def scores(self, windows):
+        out = np.zeros((*windows.shape, len(self.p["step"])), np.float32)
+        capital = (windows > ord("A")) & (windows <= ord("Z") + 1)
+        start = capital & ~np.pad(capital, ((0, 0), (1, 0)))[:, :-1]
+        out[..., 0], out[..., 1], out[..., 2] = ~capital * 9, start * 18, capital * 9
+        return out
+
+
+def test_tagger_reads_every_place(monkeypatch):
+    """No @, digit or bracket in these texts: every window is scored, whatever it holds."""
+    texts = ["ABCDEFGHIJ " + "word " * 100 + "KLMNOPQRST", "", "quiet", "x " * 3000 + "UVWXYZABC" + " y" * 41 + "QWERTZUIOP"]
+    want = [[("email", 0, 10), ("email", 511, 521)], [], [], [("email", 6000, 6009), ("email", 6091, 6101)]]
+    assert pii.added_spans(Capitals(), texts, [[] for _ in texts]) == want
+    monkeypatch.setattr(pii, "BATCH", 3)
+    assert pii.added_spans(Capitals(), texts, [[] for _ in texts]) == want
+
+
+def test_parts_have_the_best_path_of_the_whole_text():
+    tagger, rng = Tagger(9), np.random.default_rng(4)
+    windows = rng.integers(0, 131, (5, 64))
+    x = tagger.p["embed"][windows]
+    h = np.concatenate([tagger.lstm(x, "f"), tagger.lstm(x[:, ::-1], "b")[:, ::-1]], axis=2)
+    assert np.abs(h @ tagger.p["out"] + tagger.p["bias"] - tagger.scores(windows)).max() < 1e-4
+    tagger.p["step"] = rng.normal(size=(9, 9)).astype(np.float32)
+    some = [rng.normal(size=(n, 9)).astype(np.float32) for n in (1, 4, 0, 3, 4)]
+    for s, path in zip(some, tagger.paths(some, batch=2), strict=True):
+        worth = {p: sum(s[t, k] for t, k in enumerate(p)) + sum(tagger.p["step"][a, b] for a, b in itertools.pairwise(p)) for p in itertools.product(range(9), repeat=len(s))}
+        assert tuple(path) == max(worth, key=worth.get)
+
+
 # ---- 9: packing ------------------------------------------------------------------------
 
 
