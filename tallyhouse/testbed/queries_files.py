@@ -33,7 +33,7 @@ def _two_runs(b, entity: str):
     table, checkpoint = b.folder(f"ingested_{entity}"), b.folder("checkpoint")
     counts = []
     for _ in range(2):
-        ingest.ingest(b.spark, ENTITIES[entity], b.landing, table, checkpoint)
+        ingest.ingest(b.spark, ENTITIES[entity], b.landed(entity), table, checkpoint)
         counts.append(verify.row_counts({entity: ingest.raw_table(b.spark, table)}))
     return counts
 
@@ -46,7 +46,7 @@ add(
 
 
 def _landed(b, entity: str):
-    return landing.read_entity(b.spark, ENTITIES[entity], b.landing)
+    return landing.read_entity(b.spark, ENTITIES[entity], b.landed(entity))
 
 
 def _columns(entity: str) -> str:
@@ -218,7 +218,7 @@ add("snk_06_one_pass_two_tables", _split, _SPLIT_SQL)
 
 def _triggered(b):
     table = b.folder("ingested_vendors")
-    query = ingest.ingest(b.spark, ENTITIES["vendors"], b.landing, table, b.folder("checkpoint"))
+    query = ingest.ingest(b.spark, ENTITIES["vendors"], b.landed("vendors"), table, b.folder("checkpoint"))
     return ingest.raw_table(b.spark, table).agg(rows_n().alias("row_count")).withColumn("finished", F.lit(not query.isActive))
 
 
@@ -241,11 +241,23 @@ def _stateless(b):
 add("str_03_stateless_chain", _stateless, f"select * exclude ({O.LINEAGE}, is_quarantined, issue_type) from tag_orders where not is_quarantined")
 
 
+def _raw_batches(b, entity: str, parts: int, deal_by: list[str]):
+    """The raw table as a stream of at least ``parts`` batches; rows that are equal in ``deal_by`` come close together.
+
+    Every part is written by as many tasks as the raw table has splits, so neither a task nor a file holds a part.
+    """
+    raw = b.folder(f"{entity}_raw")
+    part = F.pmod(F.xxhash64(*deal_by), F.lit(parts))
+    for i in range(parts):
+        b.raw(entity).filter(part == i).write.mode("append").parquet(raw)
+    files = landing.list_files(b.spark, raw, "*.parquet").count()
+    return streams.table_stream(b.spark, raw, files_per_batch=max(1, files // parts))
+
+
 def _stream_clean(b, entity: str, deal_by: str):
     """Folders of the clean and the quarantine table after several batches; copies of a key come in different batches."""
-    raw, good, bad = (b.folder(f"{entity}_{n}") for n in ["raw", "clean", "quarantine"])
-    b.raw(entity).repartition(4, deal_by).write.parquet(raw)
-    streams.clean_stream(streams.table_stream(b.spark, raw, files_per_batch=1), entity, good, bad, b.folder("checkpoint"))
+    good, bad = (b.folder(f"{entity}_{n}") for n in ["clean", "quarantine"])
+    streams.clean_stream(_raw_batches(b, entity, 4, [deal_by]), entity, good, bad, b.folder("checkpoint"))
     return good, bad
 
 
@@ -272,9 +284,8 @@ add(
 
 
 def _best(b):
-    raw, out = b.folder("customers_raw"), b.folder("customers_best")
-    b.raw("customers").repartition(4, "source_region").write.parquet(raw)
-    streams.best_record_stream(streams.table_stream(b.spark, raw, files_per_batch=1), out, b.folder("checkpoint"))
+    out = b.folder("customers_best")
+    streams.best_record_stream(_raw_batches(b, "customers", 4, ["source_region"]), out, b.folder("checkpoint"))
     return streams.best_records(b.spark, out)
 
 
@@ -315,7 +326,7 @@ add("str_07_late_files", _late, "select product_id, product_name, source_region
 
 def _metrics(b):
     table = b.folder("ingested_transactions")
-    ingest.ingest(b.spark, ENTITIES["transactions"], b.landing, table, b.folder("checkpoint"))
+    ingest.ingest(b.spark, ENTITIES["transactions"], b.landed("transactions"), table, b.folder("checkpoint"))
     return ingest.load_metrics(ingest.raw_table(b.spark, table)).select("row_count", "systems", "rescued_rows", (F.col("max_lag_sec") >= 0).alias("has_lag"))
 
 
@@ -328,10 +339,10 @@ add(
 
 def _progress(b):
     """The order stream in batches, with what Spark reports of each beside what the tables hold."""
-    raw, good, bad, log = b.folder("orders_raw"), b.folder("orders_good"), b.folder("orders_bad"), b.folder("progress")
-    b.raw("orders").repartition(3).write.parquet(raw)
+    good, bad, log = b.folder("orders_good"), b.folder("orders_bad"), b.folder("progress")
+    raw = _raw_batches(b, "orders", 3, ["order_id", "source_region"])
     with progress.recorded(b.spark, log):
-        streams.split_stream(streams.table_stream(b.spark, raw, files_per_batch=1), "orders", good, bad, b.folder("checkpoint"))
+        streams.split_stream(raw, "orders", good, bad, b.folder("checkpoint"))
     rows = b.spark.read.parquet(log)
     held = stack([b.spark.read.option("basePath", p).parquet(p).select("batch_id") for p in (good, bad)])
     report = progress.run_report(rows)

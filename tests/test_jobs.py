@@ -1,5 +1,6 @@
 """Clean layer, star schema and reports on hand-written rows."""
 
+import json
 import datetime as dt
 
 import pytest
@@ -239,3 +240,39 @@ def test_a_third_of_all_rows_under_one_order(spark, shop):
     assert facts.count() == 3_000
     assert facts.filter("order_id = 'O1'").select("transaction_amount").distinct().collect()[0][0] == 20_000.0
     assert kpi.high_return_products(star).first().total_return_value == 3_000.0
+
+
+def test_queries_store_only_the_tables_they_need(spark, monkeypatch):
+    from tallyhouse.testbed import tables as T
+
+    b, made = T.Tables(spark, "/root/testdata/sf0.001"), []
+    monkeypatch.setattr(T, "write_landing", lambda spark, sf_dir, root, entities: made.append(entities) or root)
+    monkeypatch.setattr(T.Tables, "clean", lambda self, e: made.append(e) or T.cleanse.clean(T.raw_frame(spark, self.sf_dir, e), e))
+    assert b.star().dim_product.count() > 0 and made == ["products"]
+    assert b.landed("vendors") == b.landing and sorted(b.all_clean) == sorted(T.ENTITIES)
+    assert made[1:] == [[e] for e in ["vendors", *(e for e in T.ENTITIES if e != "vendors")]]
+
+
+def test_documents_need_no_shuffle(layers):
+    from tallyhouse.testbed import landing
+
+    rows = layers.clean("vendors")
+    documents = landing._documents(rows)
+    assert "Exchange" not in documents._jdf.queryExecution().executedPlan().toString()
+    held = [r for d in documents.collect() for r in json.loads(d.value)]
+    assert sorted(r["vendor_id"] for r in held) == sorted(r.vendor_id for r in rows.collect())
+
+
+def test_stream_batches_are_written_by_many_tasks(spark, layers):
+    from tallyhouse.testbed import queries_files, tables as T
+
+    b, seen = T.Tables(spark, "/root/testdata/sf0.001"), {}
+    orders = layers.raw("orders").repartition(6)
+    b.raw = lambda entity: orders
+
+    def keep(batch, batch_id):
+        seen[batch_id] = (batch.count(), batch.select(F.input_file_name()).distinct().count())
+
+    queries_files.streams.run_batches(queries_files._raw_batches(b, "orders", 4, ["source_region"]), keep, b.folder("c"))
+    assert len(seen) >= 4 and sum(n for n, _ in seen.values()) == orders.count()
+    assert sum(files for _, files in seen.values()) >= 12
