@@ -112,3 +112,24 @@ def test_vectors_that_are_null_take_no_part(spark):
     asked = spark.createDataFrame([(1, [0.0, 0.0]), (2, None)], "query_id int, vector array<float>")
     assert [tuple(r) for r in retrieval.nearest(docs, asked, 5).orderBy("rank").collect()] == [(1, "a", 1.0, 1), (1, "c", 10.0, 2)]
     assert retrieval.nearest(docs.limit(0), asked).collect() == []
+
+
+def test_index_has_a_list_for_each_slot_of_a_block(spark, monkeypatch):
+    texts = [f"red shoe of the {'west' if i % 3 else 'east'} region {'blue ' * (i % 4)}" for i in range(40)] + ["desk"]
+    docs = spark.createDataFrame([(f"d{i:02}", t) for i, t in enumerate(texts)], "doc_id string, text string").coalesce(1)
+    asked = retrieval.questions(spark, ["blue shoe", "east region", "desk"])
+    index = retrieval.build_index(docs)
+    # red shoe of the west east region blue desk, however many documents have them
+    assert index.postings.count() == 9
+    found = retrieval.search(index, asked, 6).orderBy("question_id", "rank").collect()
+    monkeypatch.setattr(retrieval, "DOCUMENT_BLOCK", 4)
+    blocks = retrieval.build_index(docs)
+    assert blocks.blocks.count() == 11
+    assert retrieval.search(blocks, asked, 6).orderBy("question_id", "rank").collect() == found and len(found) == 13
+
+
+def test_vectors_are_made_without_grouping_words_by_document(spark):
+    docs = spark.createDataFrame([("a", "k", "red shoe"), ("b", "k", "red desk"), (None, "k", "red lamp"), ("c", "k", None)], "doc_id string, kind string, text string")
+    v = retrieval.vectors(docs)
+    assert {r.doc_id: (r.nonzero, r.norm) for r in v.collect()} == {"a": (2, 1.0), "b": (2, 1.0), None: (0, 0.0), "c": (0, 0.0)}
+    assert "collect_list" not in v._jdf.queryExecution().toString()
