@@ -84,35 +84,39 @@ class Tagger:
         """Score of each tag at each place of each window.
 
         The network of ``lstm``, laid out for speed: a symbol's inputs of the gates are looked up, and one exponential
-        serves all gates, with tanh x = 2 sigmoid 2x - 1.
+        serves all gates, with tanh x = 2 sigmoid 2x - 1. Each gate is an array of its own, without gaps between rows.
         """
         n, p = self.hidden, self.p
         count, long = windows.shape
         places = np.ascontiguousarray(windows.T)
-        states = np.empty((long, count, 2 * n), np.float32)
-        z, part = np.empty((count, 4 * n), np.float32), np.empty((count, 4 * n), np.float32)
+        states = np.empty((2, long, count, n), np.float32)
+        z, part = np.empty((4, count, n), np.float32), np.empty((4, count, n), np.float32)
         c, d = np.empty((count, n), np.float32), np.empty((count, n), np.float32)
+        i, f, o, g = z
         scale = np.where(np.arange(4 * n) < 3 * n, np.float32(-1), np.float32(-2))
-        for side, at in (("f", 0), ("b", n)):
+        for side, out in zip("fb", states, strict=True):
             table, wide = (p["embed"] @ p["x" + side] + p["c" + side]) * scale, p["h" + side] * scale
+            # states are within -1 and 1, so mostly no sum can pass what float32 can hold
+            bounded = (np.abs(table).max(0) + np.abs(wide).sum(0)).max() < 80
+            tables = [np.ascontiguousarray(table[:, k * n : (k + 1) * n]) for k in range(4)]
+            wide = np.ascontiguousarray(wide.reshape(n, 4, n).transpose(1, 0, 2))
             h = np.zeros((count, n), np.float32)
             c[:] = 0
             for t in range(long) if side == "f" else reversed(range(long)):
-                np.take(table, places[t], axis=0, out=z, mode="clip")
+                for k in range(4):
+                    np.take(tables[k], places[t], axis=0, out=z[k], mode="clip")
                 z += np.matmul(h, wide, out=part)
-                # what float32 can hold
-                np.minimum(z, 80, out=z)
+                if not bounded:
+                    np.minimum(z, np.float32(80), out=z)
                 np.exp(z, out=z)
                 z += 1
                 np.reciprocal(z, out=z)
-                i, f, o, g = (z[:, k * n : (k + 1) * n] for k in range(4))
                 g *= 2
                 g -= 1
                 c *= f
                 c += np.multiply(i, g, out=d)
-                np.multiply(o, np.tanh(c, out=d), out=h)
-                states[t, :, at : at + n] = h
-        return (states @ p["out"] + p["bias"]).transpose(1, 0, 2)
+                h = np.multiply(o, np.tanh(c, out=d), out=out[t])
+        return (states[0] @ p["out"][:n] + states[1] @ p["out"][n:] + p["bias"]).transpose(1, 0, 2)
 
     def learn(self, windows: np.ndarray, gold: np.ndarray) -> tuple[float, dict]:
         """Negative log likelihood of a batch, and its gradient."""

@@ -450,3 +450,13 @@ def test_nearest_against_brute_force(spark):
     assert ann.nearest_vectors(df.limit(0), df.limit(0)).collect() == []
     few = ann.nearest_vectors(df.filter("vec_id < 5"), df.filter("vec_id = 0"))
     assert few.count() == 4
+
+
+@pytest.mark.parametrize("times", [1, 200])
+def test_fast_scores_are_those_of_the_network(times):
+    tagger = Tagger(9)
+    tagger.p["xb"] = tagger.p["xb"] * np.float32(times)
+    windows = np.random.default_rng(2).integers(0, 131, (7, 64))
+    x = tagger.p["embed"][windows]
+    h = np.concatenate([tagger.lstm(x, "f"), tagger.lstm(x[:, ::-1], "b")[:, ::-1]], axis=2)
+    assert np.abs(tagger.scores(windows) - (h @ tagger.p["out"] + tagger.p["bias"])).max() < 1e-3
