@@ -122,3 +122,17 @@ def test_rows_without_a_key_are_spread_over_the_join(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_stored_tables_run_as_methods_that_are_compiled(spark, tmp_path):
+    from tallyhouse.sources.store import COMPILED, compiled, write_files
+
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    with compiled(spark):
+        assert spark.conf.get(name) == COMPILED
+    assert spark.conf.get(name) == before
+    with pytest.raises(Exception):  # noqa: B017
+        write_files(spark.range(3).selectExpr("raise_error('no') as x"), str(tmp_path / "t"))
+    assert spark.conf.get(name) == before
+    assert write_files(spark.range(3), str(tmp_path / "u")).count() == 3
