@@ -10,7 +10,9 @@ nodes link when 100 * intersection >= percent * union. The join is exact and wor
 3. Prefix filter for the rest. Sorted by (frequency, hash), similar sets share at least ``SHARED`` of their first
    n - ceil(percent * n / 100) + SHARED tokens. Only tokens whose nodes lie in several components are looked at, and in
    each of them the members of its largest component are not compared with one another. Pairs are counted by shared
-   tokens and filtered by size.
+   tokens and filtered by size. Tokens of more than ``FEW`` nodes, as those of dense groups, make no row for each pair:
+   their nodes meet in blocks with signatures, a byte for each of ``BUCKETS`` parts of the set. Parts that differ hold
+   a token of one side only, so a pair with more of them than a link allows is left out before it becomes a row.
 4. Before a pair is verified, its sets must share prefix tokens under ``ORDERS`` further orders as well; only pairs that
    pass every filter are compared token by token.
 5. Components of all links.
@@ -18,7 +20,7 @@ nodes link when 100 * intersection >= percent * union. The join is exact and wor
    that the steps before left out because their nodes were connected already. A large component is dealt into blocks;
    each pair of blocks is a group of its own, and only counts leave it. Documents with equal sets link as well.
 
-Only texts of nodes that have a candidate travel. Nodes are dealt over blocks of at most ``GROUP``, near copies into the
+Only texts of nodes that have a candidate pair travel, read from the table again for each step. Nodes are dealt over blocks of at most ``GROUP``, near copies into the
 same, and a text goes once to each pair of blocks in which it has candidates, so all tasks are bounded. Frequent tokens are broadcast, at most ``FREQUENT`` of them, 8 MB; the bound decides which
 tokens come last, not which pairs are found.
 
@@ -38,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytescan import LOWER, Hashes, chunks, distinct_by_row, mix, text_bytes, words
+from .bytescan import LOWER, Hashes, chunks, distinct_by_row, mix, ragged, text_bytes, words
 from .common import passes, python_tasks, remove, row_key, scratch, sieve, stored, table, with_text
 
 SHARED = 4
@@ -53,6 +55,10 @@ GROUP = 200
 BLOCK_BYTES, AT_ONCE = 4 << 20, 1 << 12
 #: Pairs for each set, up to which sets are compared one by one.
 FEW_PAIRS = 4
+#: Nodes of a token up to which a join pairs them, nodes in a block beyond that, and pairs that are looked at at once.
+FEW, MEET, PAIRS_AT_ONCE = 16, 4096, 1 << 17
+#: Parts of a signature, how many of them are looked at first, and rows that get theirs at once.
+BUCKETS, FIRST, ROWS_AT_ONCE = 256, 64, 1 << 12
 #: Tokens seen so often are put last, and in a task at least so often to be counted.
 OFTEN, OFTEN_IN_TASK = 32, 2
 FREQUENT = 1 << 20
@@ -196,35 +202,42 @@ def shared_counts(row: np.ndarray, value: np.ndarray, rows: int, a: np.ndarray,
     return np.array([len(np.intersect1d(sets[edge[x] : edge[x + 1]], sets[edge[y] : edge[y + 1]], True)) for x, y in zip(a, b, strict=True)], np.int64)
 
 
-def homes(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """node, home: a block for each node of ``pairs``. Nodes with the same smallest token, as most near copies have, share
-    a block, up to ``GROUP`` nodes or ``BLOCK_BYTES`` of text; more of them are dealt over several."""
+def texts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """k1, k2, text of the documents that ``rows`` names; others are sieved out before anything is shuffled."""
+    some = sieved(docs.select("k1", "k2", "text"), sieve(rows, "k2"))
+    return some.join(rows.select("k1", "k2").distinct(), ["k1", "k2"], "leftsemi")
+
+
+def homes(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, k1, k2, home: a block for each node of ``pairs``. Nodes with the same smallest token, as most near copies
+    have, share a block, up to ``GROUP`` nodes or ``BLOCK_BYTES`` of text; more of them are dealt over several."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    keyed = ends.join(nodes.select("node", F.col("keys")[0].alias("key")), "node")
-    keyed = keyed.join(texts.select("node", F.octet_length("text").alias("bytes")), "node")
+    keyed = ends.join(nodes.select("node", F.col("keys")[0].alias("key"), "k1", "k2", "bytes"), "node")
     blocks = keyed.groupBy("key").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("bytes") / BLOCK_BYTES), F.lit(1)).cast("long").alias("blocks")
     )
-    return keyed.join(blocks, "key").select("node", F.xxhash64("key", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("home"))
+    home = F.xxhash64("key", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("home")
+    return keyed.join(blocks, "key").select("node", "k1", "k2", home)
 
 
-def links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent: int, name: str) -> DataFrame:
+def links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int, name: str) -> DataFrame:
     """Those of ``pairs`` (a, b) that link, stored as ``name``. Pairs meet where their blocks do, and a text goes there once for all of its
     pairs, so a group of near copies moves its texts a few times instead of once for each pair."""
     with scratch() as made:
-        found = _links(stored(pairs, f"{name}_pairs"), nodes, texts, n, percent)
+        found = _links(stored(pairs, f"{name}_pairs"), nodes, docs, n, percent)
     out = stored(found, name)
     remove(pairs.sparkSession, made)
     return out
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    home = stored(homes(pairs, nodes, texts), "homes")
+def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    home = stored(homes(pairs, nodes), "homes")
     met = pairs.join(home.select(F.col("node").alias("a"), F.col("home").alias("x")), "a").join(
         home.select(F.col("node").alias("b"), F.col("home").alias("y")), "b"
     )
     met = stored(met.select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "a", "b"), "met")
-    guests = met.select(F.col("i").alias("p"), F.col("j").alias("q"), F.explode(F.array("a", "b")).alias("node")).distinct().join(texts, "node")
+    guests = met.select(F.col("i").alias("p"), F.col("j").alias("q"), F.explode(F.array("a", "b")).alias("node")).distinct()
+    guests = guests.join(home.select("node", "k1", "k2"), "node").join(texts_of(docs, home), ["k1", "k2"]).select("p", "q", "node", "text")
 
     def compare(pairs: pd.DataFrame, guests: pd.DataFrame) -> pd.DataFrame:
         node = guests["node"].to_numpy(np.int64)
@@ -285,6 +298,86 @@ def neighbours(nodes: DataFrame, first: int, near: int, far: int) -> DataFrame:
     return ordered.select("node", "comp", "keys").mapInArrow(pairs, "a long, b long")
 
 
+# ---- tokens of many nodes ---------------------------------------------------------
+
+
+def signatures(row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
+    """A byte for each of ``BUCKETS`` parts of each row's set: equal parts have equal bytes. Values are sorted by row."""
+    out = np.empty((rows, BUCKETS), np.uint8)
+    part, byte = (value % np.uint64(BUCKETS)).astype(np.int64), (value >> np.uint64(32)) % np.uint64(255) + np.uint64(1)
+    for at in range(0, rows, ROWS_AT_ONCE):
+        end = min(rows, at + ROWS_AT_ONCE)
+        x, y = np.searchsorted(row, [at, end])
+        sums = np.bincount((row[x:y] - at) * BUCKETS + part[x:y], byte[x:y].astype(np.float64), (end - at) * BUCKETS)
+        out[at:end] = (sums % 256).astype(np.uint8).reshape(-1, BUCKETS)
+    return out
+
+
+def apart(sig: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which of the pairs (a, b) differ in more than ``most`` parts, and so in more tokens than that."""
+    differ = np.count_nonzero(sig[a, :FIRST] != sig[b, :FIRST], axis=1)
+    some = np.flatnonzero(differ <= most)
+    differ[some] += np.count_nonzero(sig[a[some], FIRST:] != sig[b[some], FIRST:], axis=1)
+    return differ > most
+
+
+def common_of_many(found: DataFrame, percent: int) -> DataFrame:
+    """a, b, need for each token that a pair has in common, as the join of tokens with few nodes gives it, but only of pairs
+    that signatures leave possible. ``found``: token, node, size, comp, total (nodes of the token), sig."""
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    dealt = (
+        found.withColumn("blocks", F.ceil(F.col("total") / MEET).cast("long"))
+        .select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "size", "comp", "sig")
+    )
+
+    def pairs(group: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+        i, j, own, node, size, comp = (group.column(c).to_numpy() for c in ("i", "j", "own", "node", "size", "comp"))
+        size = size.astype(np.int64)
+        sig = text_bytes(group.column("sig").combine_chunks())[0].reshape(-1, BUCKETS)
+        later = np.repeat(edges[1:], np.diff(edges)) - np.arange(len(node)) - 1
+        before = np.concatenate([[0], np.cumsum(later)])
+        at = 0
+        while at < len(node):
+            end = max(at + 1, int(np.searchsorted(before, before[at] + PAIRS_AT_ONCE, "right")) - 1)
+            a, b = np.repeat(np.arange(at, end), later[at:end]), ragged(np.arange(at, end) + 1, later[at:end])
+            at = end
+            x, y = size[a], size[b]
+            few = (comp[a] != comp[b]) & ((i[a] == j[a]) | (own[a] != own[b])) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
+            a, b = a[few], b[few]
+            both = size[a] + size[b]
+            # sets that link differ in at most so many tokens
+            near = ~apart(sig, a, b, both * (100 - percent) // (100 + percent))
+            a, b, both = a[near], b[near], both[near]
+            slack = [np.minimum(required(size[c], percent), SHARED) - required(size[c], percent) for c in (a, b)]
+            need = np.maximum(1, -(-percent * both // (100 + percent)) + np.minimum(*slack))
+            columns = [np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), need]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "need"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, edges in whole_groups(batches, ["token", "i", "j"]):
+            yield from pairs(rows, edges)
+
+    ordered = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return ordered.mapInArrow(run, "a long, b long, need long")
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], key: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows of whole groups of sorted batches, and where each group begins and the last ends."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
+        if not rows.num_rows:
+            continue
+        keys = np.column_stack([rows.column(c).to_numpy() for c in key])
+        edges = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1])
+        held = rows.slice(edges[-1])
+        if edges[-1]:
+            yield rows.slice(0, edges[-1]), edges
+    if held is not None:
+        yield held, np.array([0, held.num_rows])
+
+
 # ---- number of links --------------------------------------------------------------
 
 
@@ -305,9 +398,10 @@ def overlaps(row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
-def link_counts(comps: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def link_counts(comps: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """node, links: with how many documents of other nodes each node of ``comps`` links."""
-    members = comps.join(texts, "node").join(nodes.select("node", "copies"), "node")
+    members = stored(comps.join(nodes.select("node", "copies", "row.k1", "row.k2"), "node"), "reps")
+    members = members.join(texts_of(docs, members), ["k1", "k2"])
     members = stored(members.select("comp", "node", "copies", "text"), "linked")
     blocks = members.groupBy("comp").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("long").alias("blocks")
@@ -337,18 +431,8 @@ def link_counts(comps: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, pe
         return pa.RecordBatch.from_arrays([pa.array(node), pa.array(out)], ["node", "links"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
-            if not rows.num_rows:
-                continue
-            key = np.column_stack([rows.column(c).to_numpy() for c in ("comp", "i", "j")])
-            edges = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1])
-            held = rows.slice(edges[-1])
-            if edges[-1]:
-                yield counted(rows.slice(0, edges[-1]), edges)
-        if held is not None:
-            yield counted(held, np.array([0, held.num_rows]))
+        for rows, edges in whole_groups(batches, ["comp", "i", "j"]):
+            yield counted(rows, edges)
 
     ordered = dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
     return ordered.mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
@@ -404,8 +488,10 @@ def placed_documents(docs: DataFrame, n: int, percent: int, count_links: bool) -
                     pa.array(size),
                     pa.array(mix(node + size.astype(np.uint64)).view(np.int64), mask=~some),
                     pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), KEYS).cast(pa.list_(pa.int64())),
+                    pa.array(np.diff(off)),
+                    pa.FixedSizeBinaryArray.from_buffers(pa.binary(BUCKETS), rows, [None, pa.py_buffer(signatures(row, value, rows))]).cast(pa.binary()),
                 ],
-                ["doc_id", "k1", "k2", "n_shingles", "node", "keys"],
+                ["doc_id", "k1", "k2", "n_shingles", "node", "keys", "bytes", "sig"],
             )
 
     def postings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,27 +513,25 @@ def placed_documents(docs: DataFrame, n: int, percent: int, count_links: bool) -
                 ["token", "node", "size"],
             )
 
-    sets = stored(
-        docs.mapInArrow(summaries, "doc_id long, k1 long, k2 long, n_shingles long, node long, keys array<long>"), "sets"
-    )
+    columns = "doc_id long, k1 long, k2 long, n_shingles long, node long, keys array<long>, bytes long, sig binary"
+    sets = stored(docs.mapInArrow(summaries, columns), "sets")
     nodes = sets.filter("node is not null").groupBy("node").agg(
-        F.min(F.struct("k1", "k2")).alias("row"), F.min("keys").alias("keys"), F.count(F.lit(1)).alias("copies")
+        F.min(F.struct("k1", "k2", "bytes", "sig")).alias("row"), F.min("keys").alias("keys"), F.count(F.lit(1)).alias("copies")
     )
     nodes = stored(nodes, "nodes")
     found = docs.select("doc_id", "text").mapInArrow(postings, "token long, node long, size int")
     shared = found.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("token")
     shared = stored(found.join(shared, "token", "leftsemi").groupBy("token", "node").agg(F.first("size").alias("size")), "shared")
-    rows = nodes.join(shared.select("node").distinct(), "node", "leftsemi").select("node", "row.k1", "row.k2")
+    rows = nodes.join(shared.select("node").distinct(), "node", "leftsemi").select("node", "keys", "row.k1", "row.k2", "row.bytes", "row.sig")
     rows = stored(rows, "rows")
-    with_candidates = sieved(docs.select("k1", "k2", "text"), sieve(rows, "k2"))
-    texts = stored(with_candidates.join(rows, ["k1", "k2"]).select("node", "text"), "texts")
-    looked_at = nodes.join(rows.select("node"), "node").select("node", "keys")
-    comps = looked_at.select("node", F.col("node").alias("comp"))
+    placed = rows.select("node", "keys", F.col("node").alias("comp"))
     near = None
     for lo, hi in ROUNDS:
-        placed = looked_at.join(comps, "node", "left").select("node", "keys", F.coalesce("comp", "node").alias("comp"))
+        if near is not None:
+            comp = F.coalesce("comp", "node").alias("comp")
+            placed = stored(rows.select("node", "keys").join(comps, "node", "left").select("node", "keys", comp), "looked_at")
         pairs = functools.reduce(DataFrame.unionByName, [neighbours(placed, k, lo, hi) for k in range(SORTINGS)])
-        new = links(pairs.distinct(), nodes, texts, n, percent, "near")
+        new = links(pairs.distinct(), rows, docs, n, percent, "near")
         if near is not None and new.isEmpty():
             continue
         near = new if near is None else near.unionByName(new)
@@ -458,11 +542,12 @@ def placed_documents(docs: DataFrame, n: int, percent: int, count_links: bool) -
     )
     per_comp = members.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m"))
     open_tokens = per_comp.groupBy("token").agg(
-        F.max(F.struct("m", "comp")).alias("largest"), F.count(F.lit(1)).alias("comps")
-    ).filter("comps > 1").select("token", F.col("largest.comp").alias("main"))
+        F.max(F.struct("m", "comp")).alias("largest"), F.count(F.lit(1)).alias("comps"), F.sum("m").alias("total")
+    ).filter("comps > 1").select("token", F.col("largest.comp").alias("main"), "total")
     still = stored(members.join(open_tokens, "token"), "open")
-    left = still.filter("comp <> main").alias("x")
-    right = still.select("token", F.col("node").alias("node2"), F.col("size").alias("size2"), F.col("comp").alias("comp2"))
+    few = still.filter(F.col("total") <= FEW)
+    left = few.filter("comp <> main").alias("x")
+    right = few.select("token", F.col("node").alias("node2"), F.col("size").alias("size2"), F.col("comp").alias("comp2"))
     # the i-th common token of sets with overlap o is at place i + size - o at most, so that many lie in both prefixes
     alpha = "((%s * {p} + 99) div 100)".format(p=percent)
     slack = [f"least({alpha % x}, {SHARED}) - {alpha % x}" for x in ("size", "size2")]
@@ -475,18 +560,23 @@ def placed_documents(docs: DataFrame, n: int, percent: int, count_links: bool) -
             & ((F.col("comp2") == F.col("main")) | (F.col("node") < F.col("node2")))
             & (100 * F.least("size", "size2") >= percent * F.greatest("size", "size2"))
         )
-        .groupBy(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
-        .agg(F.count(F.lit(1)).alias("common"), F.min(need).alias("need"))
+        .select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"), need.cast("long").alias("need"))
+    )
+    many = still.filter(F.col("total") > FEW).drop("main").join(rows.select("node", "sig"), "node")
+    candidates = (
+        candidates.unionByName(common_of_many(many, percent))
+        .groupBy("a", "b")
+        .agg(F.count(F.lit(1)).alias("common"), F.min("need").alias("need"))
         .filter("common >= need")
         .select("a", "b")
     )
-    more = links(candidates, nodes, texts, n, percent, "more")
+    more = links(candidates, rows, docs, n, percent, "more")
     if not more.isEmpty():
         comps = components(near.unionByName(more))
 
     placed = sets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     if count_links:
-        counts = stored(link_counts(comps, nodes, texts, n, percent), "counts")
+        counts = stored(link_counts(comps, nodes, docs, n, percent), "counts")
         placed = placed.join(nodes.select("node", "copies"), "node", "left").join(counts, "node", "left")
         # texts without words are no node and have no links
         placed = placed.withColumn("n_links", F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("links", F.lit(0)))

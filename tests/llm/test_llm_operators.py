@@ -298,6 +298,42 @@ def test_join_counts_links_within_components(spark, monkeypatch, n, percent, gro
     assert max(want) > 10
 
 
+def test_signatures_keep_every_link():
+    rng = np.random.default_rng(4)
+    base = rng.integers(1, 1 << 63, 120, dtype=np.uint64)
+    sets = [np.unique(np.delete(base, rng.integers(120, size=int(rng.integers(0, 40))))) for _ in range(60)]
+    row, value = np.repeat(np.arange(60), [len(x) for x in sets]), np.concatenate(sets)
+    sig = jaccard.signatures(row, value, 60)
+    a, b = np.triu_indices(60, 1)
+    size, common = np.array([len(x) for x in sets]), np.array([len(np.intersect1d(sets[x], sets[y])) for x, y in zip(a, b, strict=True)])
+    both = size[a] + size[b]
+    left_out = jaccard.apart(sig, a, b, both * 10 // 190)
+    link = 100 * common >= 90 * (both - common)
+    assert link.any() and not (left_out & link).any()
+    assert left_out[~link].mean() > 0.6
+
+
+def test_dense_group_below_the_threshold_makes_few_pairs(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MEET", 7, raising=False)
+    rng = np.random.default_rng(3)
+    ws, docs = [f"w{i}" for i in range(120)], []
+    for i in range(48):  # each copy lacks words that the others have, and has none of its own
+        at = int(rng.integers(0, 112))
+        docs.append((i, " ".join(ws[:at] + ws[at + 8 :])))
+    compared, links = [], jaccard.links
+
+    def counted(pairs, *args):
+        compared.append((args[-1], pairs.count()))
+        return links(pairs, *args)
+
+    monkeypatch.setattr(jaccard, "links", counted)
+    got = jaccard.similar_documents(frame(spark, docs), 3, 90, count_links=False).select("doc_id", "component_id").collect()
+    comp = reached([shingles(t, 3) for _, t in docs], 90)
+    smallest = {c: min(i for i, x in enumerate(comp) if x == c) for c in comp}
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: smallest[c] for i, c in enumerate(comp)}
+    assert sum(n for name, n in compared if name == "more") <= 48
+
+
 def test_join_of_nothing(spark):
     assert jaccard.similar_documents(frame(spark, []), 3, 90).collect() == []
 
