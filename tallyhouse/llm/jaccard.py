@@ -12,7 +12,9 @@ nodes link when 100 * intersection >= percent * union. The join is exact and wor
    each of them the members of its largest component are not compared with one another. Pairs are counted by shared
    tokens and filtered by size. Tokens of more than ``FEW`` nodes, as those of dense groups, make no row for each pair:
    their nodes meet in blocks with signatures, a byte for each of ``BUCKETS`` parts of the set. Parts that differ hold
-   a token of one side only, so a pair with more of them than a link allows is left out before it becomes a row.
+   a token of one side only, so a pair with more of them than a link allows is left out before it becomes a row. Nodes
+   with up to ``LISTED`` tokens of this kind carry all of them, so that a pair of such nodes becomes one row, at its
+   smallest common token, and not one for each.
 4. Before a pair is verified, its sets must share prefix tokens under ``ORDERS`` further orders as well; only pairs that
    pass every filter are compared token by token.
 5. Components of all links.
@@ -37,6 +39,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,9 +62,13 @@ FEW_PAIRS = 4
 FEW, MEET, PAIRS_AT_ONCE = 16, 4096, 1 << 17
 #: Parts of a signature, how many of them are looked at first, and rows that get theirs at once.
 BUCKETS, FIRST, ROWS_AT_ONCE = 256, 64, 1 << 12
+#: Tokens of many nodes that a node carries, if it has no more, and pairs whose lists are compared at once.
+LISTED, LISTS_AT_ONCE = 32, 1 << 11
 #: Tokens seen so often are put last, and in a task at least so often to be counted.
 OFTEN, OFTEN_IN_TASK = 32, 2
 FREQUENT = 1 << 20
+#: Stands for no token where a list has ended.
+UNLISTED = np.iinfo(np.int64).max
 SEEDS = np.random.default_rng(11).integers(1, 1 << 63, KEYS + ORDERS, dtype=np.uint64)
 
 
@@ -321,19 +328,38 @@ def apart(sig: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np
     return differ > most
 
 
+def common_listed(token: np.ndarray, listed: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of listed tokens that the pairs (a, b) of rows have in common, or 0 if one of these is smaller than the ``token``
+    that brought them together."""
+    out = np.zeros(len(a), np.int64)
+    for at in range(0, len(a), LISTS_AT_ONCE):
+        some = slice(at, at + LISTS_AT_ONCE)
+        x, y = listed[a[some]], listed[b[some]]
+        both = (x[:, :, None] == y[:, None, :]).any(2) & (x < UNLISTED)
+        before = (both & (x < token[a[some], None])).any(1)
+        out[some] = np.where(before, 0, both.sum(1))
+    return out
+
+
 def common_of_many(found: DataFrame, percent: int) -> DataFrame:
-    """a, b, need for each token that a pair has in common, as the join of tokens with few nodes gives it, but only of pairs
-    that signatures leave possible. ``found``: token, node, size, comp, total (nodes of the token), sig."""
+    """a, b, need, common: how many tokens a pair has in common, over one or more rows, of pairs that signatures leave possible.
+    ``found``: token, node, size, comp, total (nodes of the token), sig."""
+    tokens = F.when(F.count(F.lit(1)) <= LISTED, F.collect_list("token")).alias("listed")
+    found = found.join(found.groupBy("node").agg(tokens), "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     dealt = (
         found.withColumn("blocks", F.ceil(F.col("total") / MEET).cast("long"))
         .select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "size", "comp", "sig")
+        .select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "size", "comp", "sig", "listed")
     )
 
     def pairs(group: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
-        i, j, own, node, size, comp = (group.column(c).to_numpy() for c in ("i", "j", "own", "node", "size", "comp"))
+        token, i, j, own, node, size, comp = (group.column(c).to_numpy() for c in ("token", "i", "j", "own", "node", "size", "comp"))
         size = size.astype(np.int64)
+        lists = group.column("listed").combine_chunks()
+        whole = lists.is_valid().to_numpy(zero_copy_only=False)
+        listed = np.full((len(node), LISTED), UNLISTED)
+        listed[np.arange(LISTED) < pc.list_value_length(lists).fill_null(0).to_numpy()[:, None]] = lists.flatten().to_numpy()
         sig = text_bytes(group.column("sig").combine_chunks())[0].reshape(-1, BUCKETS)
         later = np.repeat(edges[1:], np.diff(edges)) - np.arange(len(node)) - 1
         before = np.concatenate([[0], np.cumsum(later)])
@@ -348,18 +374,21 @@ def common_of_many(found: DataFrame, percent: int) -> DataFrame:
             both = size[a] + size[b]
             # sets that link differ in at most so many tokens
             near = ~apart(sig, a, b, both * (100 - percent) // (100 + percent))
-            a, b, both = a[near], b[near], both[near]
+            a, b = a[near], b[near]
+            common, both_whole = np.ones(len(a), np.int64), whole[a] & whole[b]
+            common[both_whole] = common_listed(token, listed, a[both_whole], b[both_whole])
+            a, b, common, both = (x[common > 0] for x in (a, b, common, both[near]))
             slack = [np.minimum(required(size[c], percent), SHARED) - required(size[c], percent) for c in (a, b)]
             need = np.maximum(1, -(-percent * both // (100 + percent)) + np.minimum(*slack))
-            columns = [np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), need]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "need"])
+            columns = [np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), need, common]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "need", "common"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, edges in whole_groups(batches, ["token", "i", "j"]):
             yield from pairs(rows, edges)
 
     ordered = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return ordered.mapInArrow(run, "a long, b long, need long")
+    return ordered.mapInArrow(run, "a long, b long, need long, common long")
 
 
 def whole_groups(batches: Iterable[pa.RecordBatch], key: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -564,9 +593,10 @@ def placed_documents(docs: DataFrame, n: int, percent: int, count_links: bool) -
     )
     many = still.filter(F.col("total") > FEW).drop("main").join(rows.select("node", "sig"), "node")
     candidates = (
-        candidates.unionByName(common_of_many(many, percent))
+        candidates.withColumn("common", F.lit(1).cast("long"))
+        .unionByName(common_of_many(many, percent))
         .groupBy("a", "b")
-        .agg(F.count(F.lit(1)).alias("common"), F.min("need").alias("need"))
+        .agg(F.sum("common").alias("common"), F.min("need").alias("need"))
         .filter("common >= need")
         .select("a", "b")
     )

@@ -334,6 +334,22 @@ def test_dense_group_below_the_threshold_makes_few_pairs(spark, monkeypatch):
     assert sum(n for name, n in compared if name == "more") <= 48
 
 
+@pytest.mark.parametrize("listed", [40, 32, 20])
+def test_pairs_of_many_nodes_come_once(spark, monkeypatch, listed):
+    monkeypatch.setattr(jaccard, "LISTED", listed, raising=False)
+    rng = np.random.default_rng(6)
+    node, sets = np.arange(1, 41) * 7, [rng.choice(60, int(rng.integers(25, 41)), False) for _ in range(40)]
+    rows = [(int(t), int(i), 100, int(i), 40, bytes(jaccard.BUCKETS)) for i, s in zip(node, sets, strict=True) for t in s]
+    found = spark.createDataFrame(rows, "token long, node long, size int, comp long, total long, sig binary")
+    got, times = Counter(), Counter()
+    for r in jaccard.common_of_many(found, 90).collect():
+        got[r["a"], r["b"]] += r["common"]
+        times[r["a"], r["b"]] += 1
+    pairs = [(x, y) for x in range(40) for y in range(x + 1, 40)]
+    assert got == {(node[x], node[y]): len(np.intersect1d(sets[x], sets[y])) for x, y in pairs}
+    assert all(times[node[x], node[y]] == 1 for x, y in pairs if max(len(sets[x]), len(sets[y])) <= listed)
+
+
 def test_join_of_nothing(spark):
     assert jaccard.similar_documents(frame(spark, []), 3, 90).collect() == []
 
