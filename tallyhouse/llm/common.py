@@ -126,10 +126,10 @@ def sieve(values: DataFrame, column: str) -> np.ndarray:
         values.select((place / 64).cast("long").alias("word"), F.expr(f"shiftleft(1L, int(({column} & {bits - 1}) % 64))").alias("bit"))
         .groupBy("word")
         .agg(F.bit_or("bit").alias("bit"))
-        .toPandas()
+        .toArrow()  # rows would be Python objects of many times their size
     )
     out = np.zeros(bits // 64, np.int64)
-    out[found["word"].to_numpy(np.int64)] = found["bit"].to_numpy(np.int64)
+    out[found["word"].to_numpy()] = found["bit"].to_numpy()
     return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
 
 

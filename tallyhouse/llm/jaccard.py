@@ -171,11 +171,11 @@ def frequent_tokens(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
         .filter(F.col("n") >= OFTEN)
         .orderBy(F.desc("n"), "token")
         .limit(FREQUENT)
-        .toPandas()
+        .toArrow()
     )
-    tokens = found["token"].to_numpy(np.int64).view(np.uint64)
+    tokens = found["token"].to_numpy().view(np.uint64)
     order = np.argsort(tokens)
-    return tokens[order], found["n"].to_numpy(np.uint64)[order]
+    return tokens[order], found["n"].to_numpy().astype(np.uint64)[order]
 
 
 # ---- verification ---------------------------------------------------------------

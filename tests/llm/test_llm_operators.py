@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from tallyhouse.llm import ann, decontaminate, jaccard, packing, pii, pii_rules, quality, repeats, secret_scan, toxicity, warc
+from tallyhouse.llm import ann, common, decontaminate, jaccard, packing, pii, pii_rules, quality, repeats, secret_scan, toxicity, warc
 from tallyhouse.llm.tagger import Tagger
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k1 string, token int, comp int"
@@ -350,6 +351,22 @@ def test_pairs_of_many_nodes_come_once(spark, monkeypatch, listed):
     assert all(times[node[x], node[y]] == 1 for x, y in pairs if max(len(sets[x]), len(sets[y])) <= listed)
 
 
+def test_driver_gets_sieves_and_tokens_as_arrow(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "OFTEN", 1)
+    texts = spark.range(64).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 1500), x -> id || 'w' || x), ' ') AS text")
+    texts = texts.unionByName(texts).coalesce(1)  # each token twice in one task
+    values = spark.range(1 << 18).select(F.xxhash64("id").alias("h"))
+    tracemalloc.start()
+    tokens, counts = jaccard.frequent_tokens(texts, 1)
+    bitmap = common.sieve(values, "h")
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(tokens) == 64 * 1500 and counts.sum() == 128 * 1500 and (np.diff(tokens.astype(object)) > 0).all()
+    hashes = np.array([r["h"] for r in values.limit(1000).collect()], np.int64)
+    assert common.passes(bitmap, hashes).all() and bitmap.sum() <= 1 << 18
+    assert most < 16 << 20  # 100,000 rows as Python objects are more
+
+
 def test_join_of_nothing(spark):
     assert jaccard.similar_documents(frame(spark, []), 3, 90).collect() == []
 
