@@ -188,7 +188,8 @@ def pack(
         last = groups == 1 or k == rounds - 1
         # dealt in order of length, so each group has as many large and small pieces as any other
         placed = number_rows(rest, ["length", "row"], "place") if groups > 1 else rest.withColumn("place", F.lit(0))
-        dealt = placed.withColumn("grp", F.pmod("place", F.lit(groups)) + first_group).drop("place")
+        # a long in every round, that of one group too: sequence ids shift it by 24 bits, and an int overflows from group 128 on
+        dealt = placed.withColumn("grp", F.pmod("place", F.lit(groups)).cast("long") + first_group).drop("place")
         packed = stored(
             dealt.groupBy("grp").applyInPandas(
                 functools.partial(pack_group, capacity=capacity, last=last),

@@ -1,10 +1,12 @@
 """The pipeline, stage by stage, against what each stage promises."""
 
+import functools
 import re
 
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
+from tallyhouse.llm import packing
 from tallyhouse.llm.common import stored
 
 SMALL = "/root/testdata/sf0.001"
@@ -70,6 +72,15 @@ def test_packing_holds_every_document(stages):
     assert stages[5].groupBy("sequence_id").agg(F.sum("length").alias("s")).filter("s > 1024").isEmpty()
 
 
+def test_packing_of_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "pack", functools.partial(packing.pack, group_rows=10))
+    docs = spark.range(1300).select(F.col("id").alias("doc_id"), F.lit(" a" * 299).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(598).alias("n_chars"))
+    got = corpus_pipeline.pack_sequences(spark, docs, SMALL)
+    assert got.select("doc_id").distinct().count() == got.count() == 1300
+    bins = got.groupBy("sequence_id").agg(F.sum("length").alias("s"), F.count("*").alias("n")).collect()
+    assert len(bins) == -(-1300 // 3) and {r["s"] for r in bins if r["n"] == 3} == {900}
+
+
 def test_intermediate_tables_of_the_join_are_removed(spark):
     import glob
 
