@@ -494,6 +494,15 @@ def test_bound_and_rounds(spark):
     assert many.groupBy("sequence_id").agg(F.sum("length").alias("s")).filter("s > 1024").isEmpty()
 
 
+def test_last_group_after_many(spark):
+    # 130 groups of four bins each leave a piece each, so 13 groups follow, then 2, then one
+    rows = spark.range(1300).select("id", F.lit(300).cast("long").alias("length"))
+    got = packing.pack(rows, group_rows=10)
+    assert dict(got.dtypes)["sequence_id"] == "bigint" and sorted(r["id"] for r in got.collect()) == [*range(1300)]
+    bins = got.groupBy("sequence_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("offset")).alias("at")).collect()
+    assert len(bins) == -(-1300 // 3) and all(r["at"] == [0, 300, 600][: r["n"]] for r in bins)
+
+
 # ---- 10: nearest vectors -----------------------------------------------------------------
 
 
