@@ -185,6 +185,12 @@ def test_profile_estimates_only_what_no_flag_needs(spark):
     assert profiling.profile(df.limit(0)).filter("total_rows = 0 and distinct_values = 0").count() == 6
 
 
+def test_profile_is_exact_beyond_a_million_values(spark):
+    df = spark.range(2_400_000).select((F.col("id") % 1_200_000).alias("half"), F.when(F.col("id") % 3 > 0, F.col("id")).cast("string").alias("some"))
+    found = {r.column_name: (r.total_rows, r.nulls, r.distinct_values, r.flag) for r in profiling.profile(df).collect()}
+    assert found == {"half": (2_400_000, 0, 1_200_000, ""), "some": (2_400_000, 800_000, 1_600_001, "")}
+
+
 def test_readiness_reads_each_table_once(spark, layers):
     raw = layers.all_raw
     report = profiling.readiness(raw)
